@@ -6,6 +6,8 @@ gaps of the open bins, of the squared number of bins with that gap becomes small
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +25,29 @@ CACHED_WORDS = 400_000
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+# The letters that byte-level BPE writes for bytes: printable ones stand for themselves, the others from U+0100 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {c: 256 + k for k, c in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_LOWER_LINE = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LETTER = np.array([97 <= c <= 122 for c in range(256)])
+_MARK = np.array([33 <= c <= 126 and not chr(c).isalnum() and c != 39 for c in range(256)])
+
+
 class Words:
-    """Encodes texts by a tokenizer file whose tokens never span a space or a line feed, keeping words' ids."""
+    """Encodes texts by a lower-casing word-level BPE whose tokens never span a space or a line feed.
+
+    Texts are cut there and between a letter and a mark other than an apostrophe, where its words end too. A word's ids
+    are kept, in two generations of bounded size; words of letters alone go to the model directly. A text that
+    holds a special token goes to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.kept, self.before = self.tokenizer.model, {b"": b""}, {}
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -37,19 +55,34 @@ class Words:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
+    @staticmethod
+    def cut(text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass").translate(_LOWER_LINE)
+        b = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero(_LETTER[b[:-1]] & _MARK[b[1:]]) + 1
+        return (np.insert(b, at, 32).tobytes() if len(at) else raw).split(b" ")
+
+    def ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else word.decode("latin-1").translate(_BYTE_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        kept = self.kept
-        if len(kept) > CACHED_WORDS:
-            kept.clear()
-            kept[""] = b""
-        new = list({w for words in split for w in words if w not in kept})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([kept[w] for w in words]) for words in split]
+        if len(self.kept) > CACHED_WORDS:
+            self.before, self.kept = self.kept, {b"": b""}
+        special = {k for k, t in enumerate(texts) if any(x in t for x in self.special)}
+        split, kept, before = [[] if k in special else self.cut(t) for k, t in enumerate(texts)], self.kept, self.before
+        for w in {w for words in split for w in words if w not in kept}:
+            ids = before.get(w)
+            kept[w] = self.ids(w) if ids is None else ids
+        done = [b"".join([kept[w] for w in words]) for words in split]
+        for k in special:
+            done[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return done
 
 
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
