@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import language_id, media, packing
+from . import language_id, licenses, media, mixing, packing, secrets
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_transport_stream": media.op3_transport_stream,
     "op6_language_id": language_id.op6_language_id,
+    "op7_mixing": mixing.op7_mixing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_license_scan": licenses.OP1_SQL,
+    "op2_secret_scan": secrets.OP2_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+}
