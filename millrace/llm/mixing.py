@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 BIG = "decimal(38,0)"
+MAX_BROADCAST_LEAVES = 10_000  # rows of a leaf's names and three numbers
 LEVELS = ("domain", "lang", "source")
 
 
@@ -96,15 +97,17 @@ def mix(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id", text: str
     part = epoch.withColumn("prefix", F.least(F.col("tokens").cast(BIG), F.greatest(F.lit(0).cast(BIG), F.col("own") - F.col("epoch") * F.col("tokens")))).where("prefix > 0")
     part = checkpoint(part.select(*LEVELS, "epoch", "tokens", F.col("prefix").cast("long").alias("prefix"), F.col("own").cast("long").alias("budget")))
     order = F.md5(F.concat_ws("|", F.lit(plan.seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # a few leaves go to every task, so that a hot leaf stays where it was read; more of them are joined by shuffle
+    near = F.broadcast if part.count() <= MAX_BROADCAST_LEAVES else lambda df: df
     taken = ["doc_id", *LEVELS, "epoch", "n_tokens", "budget"]
-    whole = rows.join(part.where("prefix >= tokens"), [*LEVELS]).select(*taken)
-    cut = rows.join(part.where("prefix < tokens"), [*LEVELS]).withColumn("order", order).withColumn("bucket", F.substring("order", 1, 2))
+    whole = rows.join(near(part.where("prefix >= tokens")), [*LEVELS]).select(*taken)
+    cut = rows.join(near(part.where("prefix < tokens")), [*LEVELS]).withColumn("order", order).withColumn("bucket", F.substring("order", 1, 2))
     # where in its order a leaf's prefix ends: sums of 256 buckets first, then only the documents of the last bucket
     sums = cut.groupBy(*LEVELS, "epoch", "prefix", "bucket").agg(F.sum("n_tokens").alias("sum"))
     along = Window.partitionBy(*LEVELS, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(along), F.lit(0)))
     last = sums.where("before < prefix and before + sum >= prefix").select(*LEVELS, "epoch", F.col("bucket").alias("end"), "before")
-    cut = cut.join(last, [*LEVELS, "epoch"])
+    cut = cut.join(near(last), [*LEVELS, "epoch"])
     within = Window.partitionBy(*LEVELS, "epoch").orderBy("order", "doc_id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
     end = cut.where("bucket = end").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("start < prefix")
     return whole.unionByName(cut.where("bucket < end").select(*taken)).unionByName(end.select(*taken))
