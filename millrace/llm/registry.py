@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, media, mixing, packing, secrets
+from . import jaccard, language_id, licenses, media, mixing, packing, secrets
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
