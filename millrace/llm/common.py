@@ -95,23 +95,46 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words `[^\\x20\\x09-\\x0D]+`, in order, with A-Z in lower case."""
-    raw = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    if not len(raw):
-        return np.empty(0, np.uint64)
-    inner = ~SPACE[raw]
+PIECE = 1 << 20
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` in UTF-8 bytes, in order, with A-Z in lower case; where each starts.
+
+    Long input is cut at white space, so that memory is bounded by PIECE bytes and the longest word.
+    """
+    if len(raw) > 2 * PIECE:
+        found, at = [], 0
+        while at < len(raw):
+            end = at + PIECE
+            while end < len(raw) and not SPACE[raw[end]]:
+                end += 1
+            hashes, starts = words_of(raw[at:end]) if end - at <= 2 * PIECE else _words(raw[at:end])
+            found.append((hashes, starts + at))
+            at = end
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    return _words(raw)
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    b = LOWER[np.frombuffer(raw, np.uint8)]
+    inner = ~SPACE[b]
     edge = np.diff(inner.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
-        return np.empty(0, np.uint64)
-    power, inverse = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(mixed(raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        return np.empty(0, np.uint64), start
+    power, inverse = _powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * power[: len(b)], out=total[1:])
+    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return words_of((text or "").encode("utf-8", "surrogatepass"))[0]

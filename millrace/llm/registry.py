@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language_id, licenses, media, mixing, packing, secrets, suffixes
+from . import jaccard, language_id, language_model, licenses, media, mixing, packing, secrets, suffixes
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
+    "op10_language_model": language_model.op10_language_model,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
