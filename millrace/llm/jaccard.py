@@ -4,7 +4,7 @@ Documents with equal sets are one class. Under any order of all tokens, two sets
 token among the first n - ceil(t n) + 1 of each; how many they must share there follows from their sizes. Two
 independent orders are used, both with frequent tokens last, and only pairs that pass both filters are verified on the
 whole sets. Classes made up of frequent tokens, such as thousands of copies with small changes, are compared with one
-leader for each frequent token first; then only those in another component than the leader meet the rest.
+leader for each frequent token first; then those outside the largest component meet the others in blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from .graph import components
 
 WIDTH = 5
 LEAST = Fraction(3, 4)
-FREQUENT = 8  # documents among CHUNK tokens that make a token frequent there
-MAX_FREQUENT = 1 << 18  # of the most frequent ones are put last: 2 MB at most go to each executor
+FREQUENT = 8  # documents that make a token frequent, counted where a chunk of CHUNK tokens has it twice or more
+MAX_FREQUENT = 1 << 19  # of the most frequent ones are put last: 4 MB at most go to each executor
+CELL = 1000  # sets on either side of a block of comparisons
 CHUNK = 4_000_000
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SECOND = np.uint64(0xA0761D6478BD642F)
@@ -58,7 +59,7 @@ def _profiles(least: Fraction, width: int):
 
         def frequent() -> pd.DataFrame:
             tokens, df = np.unique(np.concatenate(held), return_counts=True)
-            many = df >= FREQUENT
+            many = df >= 2
             return pd.DataFrame({"doc_id": None, "n": df[many].astype(np.int64), "sig": tokens[many].view(np.int64), "kind": 1})
 
         for batch in batches:
@@ -79,8 +80,8 @@ def _profiles(least: Fraction, width: int):
 
 
 def _postings(frequent, least: Fraction, width: int, buckets: int):
-    """Prefix tokens of each set under both orders, as sorted runs for each bucket; and, as single rows (kind 2), the
-    frequent tokens in prefixes."""
+    """Prefix tokens of each set under both orders, as sorted runs for each bucket (kinds 0 and 1); and the frequent
+    tokens in prefixes under the first (kind 2)."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = frequent.value
@@ -88,15 +89,10 @@ def _postings(frequent, least: Fraction, width: int, buckets: int):
         known: set[int] = set()
         size = 0
 
-        def row(kind, bucket, blob, token=0, sig=0, n=0, h=0, ph=0):
-            return kind, bucket, blob, token, sig, n, h, ph
-
-        names = ["kind", "bucket", "blob", "token", "sig", "n", "h", "ph"]
-
         def runs() -> pd.DataFrame:
             out = []
             meta = np.array([x[:4] for x in held], np.int64).reshape(-1, 4)
-            for order in (0, 1):
+            for order in (0, 1, 2):
                 tokens = np.concatenate([x[4 + order] for x in held])
                 owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[4 + order]) for x in held])
                 bucket = (tokens % np.uint64(buckets)).astype(np.int64)
@@ -108,11 +104,10 @@ def _postings(frequent, least: Fraction, width: int, buckets: int):
                     if i < j:
                         own, local = np.unique(owner[i:j], return_inverse=True)
                         m = meta[own]
-                        out.append(row(order, b, pack(tokens[i:j], local.astype(np.uint16 if len(own) <= 65536 else np.uint32), m[:, 0], m[:, 1].astype(np.int32), m[:, 2].astype(np.int32), m[:, 3].astype(np.int32))))
-            return pd.DataFrame(out, columns=names)
+                        out.append((order, b, pack(tokens[i:j], local.astype(np.uint16 if len(own) <= 65536 else np.uint32), m[:, 0], m[:, 1].astype(np.int32), m[:, 2].astype(np.int32), m[:, 3].astype(np.int32))))
+            return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
 
         for batch in batches:
-            dense = []
             for text in batch["text"]:
                 s = shingles(text if isinstance(text, str) else None, width)
                 if not len(s) or (sig := signature(s)) in known:
@@ -124,12 +119,8 @@ def _postings(frequent, least: Fraction, width: int, buckets: int):
                 own, often = s[~late], s[late]
                 p = n - needed(n, least) + 1
                 ph = max(0, p - len(own))
-                held.append((sig, n, len(often), ph, own[:p], own[np.argsort(mixed(own ^ SECOND))[:p]] if len(own) > p else own))
-                size += 2 * min(p, len(own))
-                for token in often[:ph].view(np.int64).tolist():
-                    dense.append(row(2, -1, None, token, sig, n, len(often), ph))
-            if dense:
-                yield pd.DataFrame(dense, columns=names)
+                held.append((sig, n, len(often), ph, own[:p], own[np.argsort(mixed(own ^ SECOND))[:p]] if len(own) > p else own, often[:ph]))
+                size += 2 * p
             if size > CHUNK:
                 yield runs()
                 held, size, known = [], 0, set()
@@ -146,8 +137,8 @@ def _share(na, nb, least: Fraction):
 
 
 def _pairs(least: Fraction):
-    """Within a bucket: pairs of sets that share prefix tokens under each order, how many, and how many they need; and,
-    of sets with frequent tokens in their prefix, how many of their other tokens another set shares."""
+    """Within a bucket: pairs of sets that share prefix tokens under each order, how many, and how many they need; and
+    the frequent tokens in prefixes with their sets (kind 2, as a and b)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -163,16 +154,14 @@ def _pairs(least: Fraction):
             token, sig = token[at], sig[at]
             new = np.append(True, (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]))
             token, sig = token[new], sig[new]
+            if order == 2:
+                found.append(pd.DataFrame({"kind": 2, "a": token.view(np.int64), "b": sig, "need": [meta[x][0] for x in sig.tolist()], "c0": 0, "c1": 0}))
+                continue
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(start, len(token)))
             start, size = start[size > 1], size[size > 1]
             if not len(start):
                 continue
-            if order == 0:
-                shared = sig[np.repeat(start, size) + np.concatenate([np.arange(k) for k in size])]
-                live, times = np.unique(shared, return_counts=True)
-                many = np.array([meta[x][2] > 0 for x in live.tolist()])
-                found.append(pd.DataFrame({"a": live[many], "b": live[many], "need": 0, "c0": times[many].astype(np.int64), "c1": 0, "dense": True}))
             first, second = [], []
             for k in np.unique(size):  # all groups of one size together
                 members = sig[start[size == k][:, None] + np.arange(k)]
@@ -189,11 +178,11 @@ def _pairs(least: Fraction):
             ia, ib = pair // len(known), pair % len(known)
             rest = np.maximum(needed(n[ia], least), needed(n[ib], least)) - 1  # of the larger set behind its prefix
             need = np.maximum(1, _share(n[ia], n[ib], least) - rest) - np.minimum(ph[ia], ph[ib])
-            x = pd.DataFrame({"a": known[ia], "b": known[ib], "need": need, "c0": 0, "c1": 0, "dense": (ph[ia] > 0) & (ph[ib] > 0)})
+            x = pd.DataFrame({"kind": 0, "a": known[ia], "b": known[ib], "need": need, "c0": 0, "c1": 0})
             x[f"c{order}"] = count.astype(np.int64)
             found.append(x)
         if not found:
-            return pd.DataFrame({"a": [], "b": [], "need": [], "c0": [], "c1": [], "dense": []})
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "need": [], "c0": [], "c1": []})
         return pd.concat(found)
 
     return meet
@@ -215,6 +204,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return x.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
+def _block(least: Fraction):
+    """Similar pairs of sets in different components, of one side of a block with the other; one for each component."""
+
+    def block(odd: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(odd) or not len(rows):
+            return pd.DataFrame({"a": [], "b": []})
+        sets = [unpack(b)[0] for b in rows["tokens"]]
+        n = np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        reps, parts, a, b = rows["rep"].to_numpy(), rows["component"].to_numpy(), [], []
+        for rep, part, blob in zip(odd["rep"], odd["component"], odd["tokens"], strict=True):
+            s = unpack(blob)[0]
+            i, j = np.searchsorted(tokens, s), np.searchsorted(tokens, s, side="right")
+            at = np.repeat(i - np.append(0, np.cumsum(j - i)[:-1]), j - i) + np.arange((j - i).sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            x = np.flatnonzero((shared >= _share(n, len(s), least)) & (parts != part))
+            _, first = np.unique(parts[x], return_index=True)  # the others of a component are joined already
+            a += [rep] * len(first)
+            b += reps[x[first]].tolist()
+        return pd.DataFrame({"a": a, "b": b})
+
+    return block
+
+
 def _fits(na: Column, nb: Column, least: Fraction) -> Column:
     return F.least(na, nb) * least.denominator >= F.greatest(na, nb) * least.numerator
 
@@ -230,28 +245,26 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = checkpoint(rows.mapInPandas(_profiles(least, width), "doc_id long, n long, sig long, kind int"))
     classes, tokens = seen.where("kind = 0").drop("kind"), seen.where("kind = 1")
-    often = tokens.groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(MAX_FREQUENT).select("sig").toPandas()["sig"]
+    often = tokens.groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "sig").limit(MAX_FREQUENT).select("sig").toPandas()["sig"]
     frequent = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
     reps = classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    posted = rows.select("text").mapInPandas(_postings(frequent, least, width, partitions(spark)), "kind int, bucket long, blob binary, token long, sig long, n long, h long, ph long")
-    heavy = checkpoint(posted.where("kind = 2").select("token", "sig", "n", "h", "ph").distinct())
-    met = posted.where("kind < 2").select("kind", "bucket", "blob").groupBy("bucket").applyInPandas(_pairs(least), "a long, b long, need long, c0 long, c1 long, dense boolean")
-    met = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.max("dense").alias("dense"))
-    met = checkpoint(met.where("dense or (c0 >= need and c1 >= need)"))
-    candidates = met.where("a <> b and c0 >= need and c1 >= need").select("a", "b")
+    posted = rows.select("text").mapInPandas(_postings(frequent, least, width, partitions(spark)), "kind int, bucket long, blob binary")
+    met = checkpoint(posted.groupBy("bucket").applyInPandas(_pairs(least), "kind int, a long, b long, need long, c0 long, c1 long"))
+    heavy = met.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("need").alias("n"))
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    candidates = pairs.where("c0 >= need and c1 >= need").select("a", "b")
 
     # one leader for each frequent token: the class of the smallest document
     members = heavy.join(reps, "sig")
     leader = members.groupBy("token").agg(F.min(F.struct("rep", "sig", "n")).alias("l"))
-    star = members.join(leader, "token").where((F.col("sig") != F.col("l.sig")) & _fits(F.col("n"), F.col("l.n"), least))
+    star = checkpoint(members.join(leader, "token").where(F.col("sig") != F.col("l.sig")).select("sig", "rep", "n", F.col("l.sig").alias("l_sig"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n")).distinct())
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    first = candidates.union(star.select(*ordered(F.col("sig"), F.col("l.sig")))).distinct()
-    first = checkpoint(first)
+    first = checkpoint(candidates.union(star.where(_fits(F.col("n"), F.col("l_n"), least)).select(*ordered(F.col("sig"), F.col("l_sig")))).distinct())
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """sig, tokens of the classes in pairs, from one document each."""
-        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct().join(reps, "sig")
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        """sig, tokens of classes, from one document each."""
+        wanted = sigs.select("sig").distinct().join(reps, "sig")
 
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -261,26 +274,25 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
         return rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sig", "text").mapInPandas(made, "sig long, tokens binary").dropDuplicates(["sig"])
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        good = _verified(pairs, sets_of(pairs), least)
-        good = good.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("rb")), "b")
-        return good.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-    links = checkpoint(linked(first))
-    if not heavy.isEmpty():
-        # those that their leader's component lacks, against all the others with that token
-        part = components(links)
-        named = members.join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        # of a set with frequent tokens all other tokens are in the prefix; those another set shares bound what two share
-        live = met.where("a = b").select(F.col("a").alias("sig"), F.col("c0").alias("live"))
-        named = checkpoint(named.join(live, "sig", "left").fillna(0, ["live"]))
-        head = named.groupBy("token").agg(F.min(F.struct("rep", "component")).alias("l")).select("token", F.col("l.component").alias("main"))
-        out = named.join(head, "token").where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in ("sig", "n", "h", "ph", "component", "live")))
-        most = F.least("h", "o_h") + F.least("live", "o_live")
-        t = least / (1 + least)
-        pair = out.join(named, "token").where((F.col("component") != F.col("o_component")) & _fits(F.col("n"), F.col("o_n"), least) & (most * t.denominator >= (F.col("n") + F.col("o_n")) * t.numerator))
-        more = pair.select(*ordered(F.col("sig"), F.col("o_sig"))).distinct().join(first, ["a", "b"], "left_anti")
-        links = links.union(checkpoint(linked(checkpoint(more))))
+    both = first.select(F.col("a").alias("sig")).union(first.select(F.col("b").alias("sig")))
+    good = _verified(first, sets_of(both), least)
+    good = good.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("rb")), "b")
+    links = checkpoint(good.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if not star.isEmpty():
+        # All sets that share a frequent prefix token, linked or not, are one cluster. Those outside its largest component
+        # meet all of it in blocks.
+        cluster = components(star.select(F.col("rep").alias("a"), F.col("l_rep").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+        own = star.select("sig", "rep").union(star.select("l_sig", "l_rep")).distinct().join(cluster, "rep")
+        own = checkpoint(own.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+        sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all"))
+        sizes = sizes.where(F.col("all") > F.col("m.k")).select("cluster", F.col("m.component").alias("main"), F.ceil(F.col("all") / CELL).cast("int").alias("down"), F.ceil((F.col("all") - F.col("m.k")) / CELL).cast("int").alias("across"))
+        held = own.join(sizes, "cluster")
+        held = checkpoint(held.join(sets_of(held), "sig"))
+        place = lambda n, salt: F.pmod(F.xxhash64("sig", F.lit(salt)), F.col(n)).cast("int")
+        rows_ = held.select("cluster", place("down", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), "rep", "component", "tokens")
+        odd = held.where("component <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), place("across", 2).alias("j"), "rep", "component", "tokens")
+        more = odd.groupBy("cluster", "i", "j").cogroup(rows_.groupBy("cluster", "i", "j")).applyInPandas(_block(least), "a long, b long")
+        links = links.union(checkpoint(more))
     part = components(links)
     named = classes.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(reps, "sig", "left").join(part.withColumnRenamed("id", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
