@@ -13,10 +13,12 @@ added up after. This concerns routing only: every document is counted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from .common import PIECE, checkpoint, fold, mixed, pack, partitions, unpack, wo
 
 BITS = 14
 CLASSES = 1 << BITS
+CHUNK = 64  # classes whose totals go together
 DISCOUNT, STRENGTH = 0.8, 1.0  # of a class's restaurant
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
 BURN_IN, SAMPLES, SEED = 3, 3, 11
@@ -160,7 +163,8 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
             out.append((0, group, key[0], pack(c[e].astype(np.int32), *(s[0][e].astype(np.int32) for s in samples), known[w].astype(np.int64), *(s[k][w].astype(np.int64) for k in (1, 2) for s in samples)), 0, None))
         seen = np.bincount(u, weights=c, minlength=CLASSES).astype(np.int64)
         tables = [np.bincount(u, weights=s[0], minlength=CLASSES).astype(np.int64) for s in samples]
-        out += [(1, 0, 0, None, k, [int(seen[k]), *(int(x[k]) for x in tables)]) for k in np.flatnonzero(seen).tolist()]
+        per = np.stack([seen, *tables], axis=1).reshape(-1, CHUNK * (1 + SAMPLES))
+        out += [(1, 0, 0, None, k, per[k].tolist()) for k in np.flatnonzero(per.any(axis=1)).tolist()]
         split = scale > 1
         out += [(2, 0, 0, None, int(words[k].view(np.int64)), [int(known[k]), *(int(s[1][k]) for s in samples)]) for k in np.flatnonzero(split & (known > 0)).tolist()]
         out.append((3, 0, 0, None, 0, [int(known.sum()), int((known[~split] > 0).sum()), *(int(s[1].sum()) for s in samples), *(int(s[2][~split].sum()) for s in samples)]))
@@ -172,13 +176,13 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
 class Totals:
     """What all buckets give together: bounded by the classes and the frequent words."""
 
-    def __init__(self, rows: pd.DataFrame, hot: np.ndarray):
+    def __init__(self, rows: pd.DataFrame):
         self.classes = np.zeros((CLASSES, 1 + SAMPLES))
         all_ = np.zeros(2 + 2 * SAMPLES, np.int64)
         found = {}
         for kind, k, v in zip(rows["kind"], rows["id"], rows["v"], strict=True):
             if kind == 1:
-                self.classes[k] = v
+                self.classes[k * CHUNK : (k + 1) * CHUNK] = np.reshape(v, (CHUNK, 1 + SAMPLES))
             elif kind == 2:
                 found[k] = v
             else:
@@ -210,6 +214,35 @@ class Totals:
         return ((c[:, None] - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * p) / (STRENGTH + seen)).mean(axis=1)
 
 
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"kind": rows["kind"].iloc[:1], "id": rows["id"].iloc[:1], "v": [np.sum(np.stack(list(rows["v"])), axis=0)]})
+
+
+def _dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """pid, blob: rows (doc_id, text, train) of each group, compressed, as they leave their task."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            pid = batch.column("pid").to_numpy()
+            order = np.argsort(pid, kind="stable")
+            found, start = np.unique(pid[order], return_index=True)
+            blobs = []
+            for i, j in zip(start, [*start[1:], len(order)], strict=True):
+                own = batch.take(pa.array(order[i:j])).select(["doc_id", "text", "train"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=options) as writer:
+                    writer.write_batch(own)
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["pid", "blob"])
+
+    return rows.withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).mapInArrow(deal, "pid long, blob binary")
+
+
+def _opened(blobs: pd.Series) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
+
+
 def _frequent(rows: DataFrame, buckets: int) -> np.ndarray:
     """Words that make up at least 1 / (4 buckets) of the tokens in a bounded sample of documents: 4 buckets at most."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, rows.count()))
@@ -234,27 +267,27 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
     Perplexity is 10 ** (-score / n_tokens).
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = 2 * partitions(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    rows = rows.withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     hot = _frequent(rows, n)
 
     def ask(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        e = Entries(list(own["text"]), own["train"].to_numpy(float), hot, n)
+        table = _opened(own["blob"])
+        e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
         return pd.DataFrame([(key[0], b, pack(e.words[w], k.astype(np.int32), e.u[x].astype(np.uint16), e.train[x])) for b, x, w, k in e.parts()], columns=["pid", "bucket", "blob"])
 
-    asked = rows.groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
+    asked = _dealt(rows, n).groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
     answers = checkpoint(asked.groupBy("bucket").applyInPandas(_bucket_function(hot, n, 1e6), "kind int, pid long, bucket long, blob binary, id long, v array<long>"))
-    sums = F.array(*(F.sum(F.get("v", F.lit(k))) for k in range(2 + 2 * SAMPLES)))
-    totals = Totals(answers.where("kind > 0").groupBy("kind", "id").agg(sums.alias("v")).select("kind", "id", F.when(F.col("kind") == 3, F.col("v")).otherwise(F.slice("v", 1, 1 + SAMPLES)).alias("v")).toPandas(), hot)
+    totals = Totals(answers.where("kind > 0").select("kind", "id", "v").groupBy("kind", "id").applyInPandas(_summed, "kind int, id long, v array<long>").toPandas())
     shared = spark.sparkContext.broadcast(totals)
 
     def answer(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         all_ = shared.value
-        e = Entries(list(own["text"]), own["train"].to_numpy(float), hot, n)
+        table = _opened(own["blob"])
+        e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
         reply = dict(zip(replies["bucket"], replies["blob"], strict=True))
         known, p = np.zeros(len(e.u), np.int64), np.zeros(len(e.u))
         for b, x, w, k in e.parts():
@@ -263,13 +296,13 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
             seen, parent = all_.word(e.words[w], seen, m_r[:SAMPLES], m_r[SAMPLES:])
             known[x] = np.repeat(seen, k)
             p[x] = all_.predictive(c.astype(np.int64), t, e.u[x], np.repeat(parent, k, axis=0))
-        size = len(own)
+        size = len(table)
         total = lambda v: np.bincount(e.doc, weights=v[e.entry], minlength=size)
         base = np.log10((known + 0.5) / (all_.tokens + 0.5 * (all_.vocabulary + 1)))
-        return pd.DataFrame({"doc_id": own["doc_id"], "n_tokens": np.bincount(e.doc, minlength=size), "n_known": total((known > 0).astype(float)).astype(np.int64), "train_tokens": all_.tokens, "base_score": total(base), "score": total(np.log10(p))})
+        return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "n_tokens": np.bincount(e.doc, minlength=size), "n_known": total((known > 0).astype(float)).astype(np.int64), "train_tokens": all_.tokens, "base_score": total(base), "score": total(np.log10(p))})
 
     replies = answers.where("kind = 0").select("pid", "bucket", "blob")
-    return rows.groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _dealt(rows, n).groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
