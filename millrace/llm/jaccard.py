@@ -24,6 +24,7 @@ WIDTH = 5
 LEAST = Fraction(3, 4)
 FREQUENT = 8  # documents that make a token frequent, counted where a chunk of CHUNK tokens has it twice or more
 MAX_FREQUENT = 1 << 19  # of the most frequent ones are put last: 4 MB at most go to each executor
+MAX_BROADCAST = 1 << 18  # rows of two numbers
 CELL = 1000  # sets on either side of a block of comparisons
 CHUNK = 4_000_000
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -53,14 +54,21 @@ def needed(n: int, least: Fraction) -> int:
     return -(-n * least.numerator // least.denominator)
 
 
-def _profiles(least: Fraction, width: int):
+def _profiles(width: int, buckets: int):
+    """doc_id, size and signature of each set (kind 0); for each bucket the tokens that a chunk has twice or more (kind 1,
+    the bucket as n)."""
+
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def frequent() -> pd.DataFrame:
             tokens, df = np.unique(np.concatenate(held), return_counts=True)
-            many = df >= 2
-            return pd.DataFrame({"doc_id": None, "n": df[many].astype(np.int64), "sig": tokens[many].view(np.int64), "kind": 1})
+            tokens, df = tokens[df > 1], df[df > 1].astype(np.int32)
+            bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            own = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
+            return pd.DataFrame({"doc_id": None, "n": [b for b, _ in own], "sig": 0, "kind": 1, "blob": [pack(tokens[x], df[x]) for _, x in own]})
 
         for batch in batches:
             rows = []
@@ -72,13 +80,23 @@ def _profiles(least: Fraction, width: int):
                 if size > CHUNK:
                     yield frequent()
                     held, size = [], 0
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "kind"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "kind"]).assign(blob=None)
         if size:
             yield frequent()
 
     return profile
 
 
+def _often(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's frequent tokens, the most frequent ones if there are more than fit."""
+    parts = [unpack(b) for b in rows["blob"]]
+    tokens, which = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    df = np.bincount(which, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+    x = np.flatnonzero(df >= FREQUENT)
+    x = x[np.argsort(-df[x], kind="stable")[:MAX_FREQUENT]]
+    return pd.DataFrame({"token": tokens[x].view(np.int64), "df": df[x]})
+
+
 def _postings(frequent, least: Fraction, width: int, buckets: int):
     """Prefix tokens of each set under both orders, as sorted runs for each bucket (kinds 0 and 1); and the frequent
     tokens in prefixes under the first (kind 2)."""
@@ -243,9 +261,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = checkpoint(rows.mapInPandas(_profiles(least, width), "doc_id long, n long, sig long, kind int"))
-    classes, tokens = seen.where("kind = 0").drop("kind"), seen.where("kind = 1")
-    often = tokens.groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "sig").limit(MAX_FREQUENT).select("sig").toPandas()["sig"]
+    seen = checkpoint(rows.mapInPandas(_profiles(width, partitions(spark)), "doc_id long, n long, sig long, kind int, blob binary"))
+    classes = seen.where("kind = 0").select("doc_id", "n", "sig")
+    often = seen.where("kind = 1").groupBy("n").applyInPandas(_often, "token long, df long")
+    often = often.orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).select("token").toPandas()["token"]
     frequent = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
     reps = classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
@@ -264,7 +283,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def sets_of(sigs: DataFrame) -> DataFrame:
         """sig, tokens of classes, from one document each."""
-        wanted = sigs.select("sig").distinct().join(reps, "sig")
+        wanted = checkpoint(sigs.select("sig").distinct().join(reps, "sig"))
+        # two numbers a row; a few go to where the texts are, more meet the texts by shuffle
+        wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
 
         def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
