@@ -16,16 +16,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent, as in unit tests on one machine, a folder is made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests, one is made here."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
