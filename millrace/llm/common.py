@@ -37,19 +37,13 @@ def fold(column: Column, k: int) -> Column:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob. Sorted unsigned 64-bit arrays go as byte planes of their steps."""
+    """Arrays as one compressed blob, as planes of bytes; unsigned 64-bit arrays, if sorted, as their steps."""
     parts = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
-        planes = a.dtype == np.uint64
-        if planes:
-            steps = np.empty_like(a)
-            steps[:1] = a[:1]
-            np.subtract(a[1:], a[:-1], out=steps[1:])
-            body = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-        else:
-            body = np.ascontiguousarray(a).tobytes()
         parts.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes())
-        parts.append(body)
+        if a.dtype == np.uint64 and len(a):
+            a = np.append(a[:1], a[1:] - a[:-1])
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -60,14 +54,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         kind, size = np.frombuffer(raw, np.int64, 2, at)
         at += 16
         dtype = np.dtype(chr(kind))
-        a = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at)
+        planes = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, -1)
         at += size * dtype.itemsize
-        if dtype == np.uint64:
-            a = np.ascontiguousarray(a.reshape(8, -1).T).view(np.uint64).ravel()
-            a = np.cumsum(a, dtype=np.uint64)
-        else:
-            a = a.view(dtype)
-        out.append(a)
+        a = np.ascontiguousarray(planes.T).view(dtype).ravel()
+        out.append(np.cumsum(a, dtype=np.uint64) if dtype == np.uint64 else a)
     return out
 
 

@@ -26,7 +26,7 @@ from .common import PIECE, checkpoint, fold, mixed, pack, partitions, unpack, wo
 
 BITS = 14
 CLASSES = 1 << BITS
-CHUNK = 64  # classes whose totals go together
+CHUNK = 1024  # classes whose totals go together
 DISCOUNT, STRENGTH = 0.8, 1.0  # of a class's restaurant
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
 BURN_IN, SAMPLES, SEED = 3, 3, 11
@@ -160,7 +160,7 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
         for group, w, x in zip(rows["pid"], word_of, asked, strict=True):
             e = entry[at : at + len(x[2])]
             at += len(x[2])
-            out.append((0, group, key[0], pack(c[e].astype(np.int32), *(s[0][e].astype(np.int32) for s in samples), known[w].astype(np.int64), *(s[k][w].astype(np.int64) for k in (1, 2) for s in samples)), 0, None))
+            out.append((0, group, key[0], pack(c[e].astype(np.int32), *(s[0][e][c[e] > 1].astype(np.int32) for s in samples), known[w].astype(np.int64), *(s[k][w].astype(np.int64) for k in (1, 2) for s in samples)), 0, None))
         seen = np.bincount(u, weights=c, minlength=CLASSES).astype(np.int64)
         tables = [np.bincount(u, weights=s[0], minlength=CLASSES).astype(np.int64) for s in samples]
         per = np.stack([seen, *tables], axis=1).reshape(-1, CHUNK * (1 + SAMPLES))
@@ -222,7 +222,7 @@ def _dealt(rows: DataFrame, groups: int) -> DataFrame:
     """pid, blob: rows (doc_id, text, train) of each group, compressed, as they leave their task."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in batches:
             pid = batch.column("pid").to_numpy()
             order = np.argsort(pid, kind="stable")
@@ -267,7 +267,7 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
     Perplexity is 10 ** (-score / n_tokens).
     """
     spark = docs.sparkSession
-    n = 2 * partitions(spark)
+    n, groups = partitions(spark), 2 * partitions(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     hot = _frequent(rows, n)
@@ -277,7 +277,7 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
         return pd.DataFrame([(key[0], b, pack(e.words[w], k.astype(np.int32), e.u[x].astype(np.uint16), e.train[x])) for b, x, w, k in e.parts()], columns=["pid", "bucket", "blob"])
 
-    asked = _dealt(rows, n).groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
+    asked = _dealt(rows, groups).groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
     answers = checkpoint(asked.groupBy("bucket").applyInPandas(_bucket_function(hot, n, 1e6), "kind int, pid long, bucket long, blob binary, id long, v array<long>"))
     totals = Totals(answers.where("kind > 0").select("kind", "id", "v").groupBy("kind", "id").applyInPandas(_summed, "kind int, id long, v array<long>").toPandas())
     shared = spark.sparkContext.broadcast(totals)
@@ -292,7 +292,8 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         known, p = np.zeros(len(e.u), np.int64), np.zeros(len(e.u))
         for b, x, w, k in e.parts():
             c, *more = unpack(reply[b])
-            t, (seen, *m_r) = np.stack(more[:SAMPLES], axis=1), more[SAMPLES:]
+            t, (seen, *m_r) = np.repeat(np.minimum(c, 1)[:, None], SAMPLES, axis=1), more[SAMPLES:]
+            t[c > 1] = np.stack(more[:SAMPLES], axis=1)  # the others have a table for each customer
             seen, parent = all_.word(e.words[w], seen, m_r[:SAMPLES], m_r[SAMPLES:])
             known[x] = np.repeat(seen, k)
             p[x] = all_.predictive(c.astype(np.int64), t, e.u[x], np.repeat(parent, k, axis=0))
@@ -302,7 +303,7 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "n_tokens": np.bincount(e.doc, minlength=size), "n_known": total((known > 0).astype(float)).astype(np.int64), "train_tokens": all_.tokens, "base_score": total(base), "score": total(np.log10(p))})
 
     replies = answers.where("kind = 0").select("pid", "bucket", "blob")
-    return _dealt(rows, n).groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _dealt(rows, groups).groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
