@@ -1,4 +1,11 @@
 """Every registered query of the search engine, and its SQL."""
 
+from __future__ import annotations
+
+from millrace.queries import logs, search, words
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _part in (search, words, logs):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
