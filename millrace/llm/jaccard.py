@@ -26,7 +26,7 @@ FREQUENT = 8  # documents that make a token frequent, counted where a chunk of C
 MAX_FREQUENT = 1 << 19  # of the most frequent ones are put last: 4 MB at most go to each executor
 MAX_BROADCAST = 1 << 18  # rows of two numbers
 CELL = 1000  # sets on either side of a block of comparisons
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SECOND = np.uint64(0xA0761D6478BD642F)
 

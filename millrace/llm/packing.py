@@ -21,7 +21,7 @@ from .common import checkpoint
 CAPACITY = 4096
 END = 1
 SHARD = 16_384
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000  # of a generation, a few dozen MB in each worker
 _TOKENIZERS: dict[str, tuple] = {}
 
 
