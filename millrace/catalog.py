@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.queries import logs, search, words
+from millrace.queries import graph, logs, search, upkeep, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (search, words, logs):
+for _part in (search, words, logs, graph, upkeep):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _URL = re.compile(r"^(https?)://([^/?#]*)([^#]*)", re.I)
 
@@ -37,7 +38,7 @@ def normalised(url: str | None) -> str | None:
     return f"{scheme}://{host}{rest}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise(urls: pd.Series) -> pd.Series:
     return urls.map(normalised)
 

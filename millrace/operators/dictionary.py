@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from millrace.functions.text import tokens
 from millrace.operators.access import visible
@@ -84,7 +85,7 @@ def osa_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="object")
 

@@ -69,6 +69,12 @@ def spell_levenshtein(spark, sf):
     return D.correct(_asked(spark, sf), _built(spark, sf).where("freq >= 15"))
 
 
+def spell_ascii(spark, sf):
+    """As spell_levenshtein among words of ASCII letters, whose bytes SQL's distance counts."""
+    plain = F.col("word").rlike("^[ -~]+$")
+    return D.correct(_asked(spark, sf).where(plain), _built(spark, sf).where("freq >= 15").where(plain))
+
+
 def spell_osa(spark, sf):
     return D.correct(_asked(spark, sf), _built(spark, sf).where("freq >= 15"), D.osa("word", "candidate"))
 
@@ -88,7 +94,7 @@ def _hits(own):
     return F.size(F.filter("w", lambda x: x.isin(*own)))
 
 
-QUERIES = {f.__name__: f for f in (dictionary_build, dictionary_top, top_words, dictionary_text, dictionary_roundtrip, aspell_list, suggest_prefix, suggest_topk_table, stopword_filter, spell_levenshtein, spell_osa, language_by_stop_words)}
+QUERIES = {f.__name__: f for f in (dictionary_build, dictionary_top, top_words, dictionary_text, dictionary_roundtrip, aspell_list, suggest_prefix, suggest_topk_table, stopword_filter, spell_levenshtein, spell_ascii, spell_osa, language_by_stop_words)}
 
 _S = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 _BUILD = f"""{DOCS}, {TOKENS}, kept as (select t.term as word, d.acl_allow, d.acl_denied, d.collection from tok t join docs d using (doc_id) where strlen(t.term) >= 4 and t.term not in {_S}),
@@ -105,8 +111,8 @@ SQL = {
     "suggest_prefix": f"with {_BUILD} select 'the ' || word as word, freq from dict where starts_with(word, 'on') and freq >= 15 and list_has_any(acl_allow, {ME}) and not list_has_any(acl_denied, {ME}) and list_has_any(collections, ['src3', 'src4', 'src5']) order by freq desc, word limit 10",
     "suggest_topk_table": f"with {_BUILD}, p as (select word, freq, unnest(list_transform(range(1, least(length(word), 5) + 1), lambda k: substr(word, 1, k))) as prefix from dict where freq >= 15) select prefix, place, word, freq from (select *, row_number() over (partition by prefix order by freq desc, word) as place from p) where place <= 10",
     "stopword_filter": f"with {TOKENS} select lang, count(*) as n, count(distinct term) as n_words from tok where length(term) >= 2 and term not in {_S} group by lang",
-    "spell_levenshtein": f"""with {_BUILD}, known as (select word, freq from dict where freq >= 15),
-        asked as (select distinct w[1] || substr(w, 3, 100) as word from (select unnest(regexp_extract_all(lower(text), {PATTERN})) as w from benchmark) where length(w) >= 5),
+    "spell_ascii": f"""with {_BUILD}, known as (select word, freq from dict where freq >= 15 and regexp_full_match(word, '[ -~]+')),
+        asked as (select distinct w[1] || substr(w, 3, 100) as word from (select unnest(regexp_extract_all(lower(text), {PATTERN})) as w from benchmark) where length(w) >= 5 and regexp_full_match(w[1] || substr(w, 3, 100), '[ -~]+')),
         near as (select a.word, k.word as c, levenshtein(a.word, k.word) as d, k.freq from asked a join known k on a.word[1] = k.word[1] and abs(length(a.word) - length(k.word)) <= 2 where levenshtein(a.word, k.word) <= 2),
         best as (select word, c, d from (select *, row_number() over (partition by word order by d, freq desc, c) as p from near) where p = 1)
         select a.word, case when k.word is not null or regexp_matches(a.word, '^[0-9]+$') then a.word else b.c end as correction, coalesce(case when k.word is not null or regexp_matches(a.word, '^[0-9]+$') then 0 else b.d end, -1)::int as distance
