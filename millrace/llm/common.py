@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts for Python are kept to BATCH_ROWS rows, unless the session asks for a number of its own."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back, as workers stay between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(column: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % F.lit(k)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mixed, pack, partitions, unpack, word_hashes
+from .common import checkpoint, mixed, pack, partitions, small_batches, trim, unpack, word_hashes
 from .graph import components
 
 WIDTH = 5
@@ -83,6 +83,8 @@ def _profiles(width: int, buckets: int):
             yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "kind"]).assign(blob=None)
         if size:
             yield frequent()
+        held = []
+        trim()
 
     return profile
 
@@ -144,6 +146,8 @@ def _postings(frequent, least: Fraction, width: int, buckets: int):
                 held, size, known = [], 0, set()
         if held:
             yield runs()
+        held = []
+        trim()
 
     return post
 
@@ -159,6 +163,7 @@ def _pairs(least: Fraction):
     the frequent tokens in prefixes with their sets (kind 2, as a and b)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()  # of the bucket before
         found = []
         for order, own in rows.groupby("kind", sort=True):
             tokens, sigs, meta = [], [], {}
@@ -217,6 +222,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= _share(len(x), len(y), least))
             yield batch.loc[good, ["a", "b"]]
+        trim()
 
     x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
     return x.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
@@ -260,6 +266,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     counts as linked when the similarity is exactly `least` or more; sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = checkpoint(rows.mapInPandas(_profiles(width, partitions(spark)), "doc_id long, n long, sig long, kind int, blob binary"))
     classes = seen.where("kind = 0").select("doc_id", "n", "sig")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, small_batches, trim
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -63,6 +63,7 @@ def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total[lang] = more if lang not in total else total[lang].add(more, fill_value=0)
     for lang, n in total.items():
         yield pd.DataFrame({"lang": lang, "gram": n.index.to_numpy(np.int64), "n": n.to_numpy(np.int64)})
+    trim()
 
 
 def learn_profiles(rows: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
@@ -70,6 +71,7 @@ def learn_profiles(rows: DataFrame, text: str = "text", lang: str = "lang", size
 
     Rows with a null text or language teach nothing; ties go to the smaller n-gram.
     """
+    small_batches(rows.sparkSession)
     pairs = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = pairs.mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -103,7 +105,9 @@ def identifier(profiles: DataFrame, size: int = PROFILE):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        found = pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        trim()
+        return found
 
     return predict
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches, trim
 
 CAPACITY = 4096
 END = 1
@@ -106,7 +106,9 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                         own = ids[at : at + 4 * capacity]
                         rows.append((i, p, at // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int64)) if with_ids else (i, p, at // 4, len(own) // 4, zlib.crc32(own)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        trim()
 
+    small_batches(docs.sparkSession)
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(pieces, schema)
 
