@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, language_id, mixing, packing, secrets
-from millrace.llm.common import checkpoint, shared_folder
+from millrace.llm.common import checkpoint, fresh, shared_folder
 
 LEAST_SCORE = 0.2
 MIX = mixing.Plan(permille=900, epochs=1)
@@ -23,11 +23,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters (null and empty ones too) and those far from every language's profile; fills a null
     lang with the language found. Without any labelled row nothing can be told, and only letterless texts go."""
     profiles = checkpoint(language_id.learn_profiles(docs))
-    found = language_id.identify(docs, profiles, into="__language")
+    own = fresh(docs, "__language")
+    found = language_id.identify(docs, profiles, into=own)
     if profiles.isEmpty():
-        return found.where(F.col("text").rlike(r"\p{L}")).drop("__language")
-    kept = found.where((F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
+        return found.where(F.col("text").rlike(r"\p{L}")).drop(own)
+    kept = found.where((F.col(f"{own}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{own}.lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +44,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of every secret; n_chars follows the text. No row goes."""
-    done = secrets.redact(secrets.find_secrets(docs, into="__secrets"), into="__secrets")
+    own = fresh(docs, "__secrets")
+    done = secrets.redact(secrets.find_secrets(docs, into=own), into=own)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.when(F.size(own) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the sources' target weights take; rows that share a doc_id are kept together."""
-    taken = checkpoint(mixing.mix(docs, MIX).select(F.col("doc_id").alias("__taken")).distinct())
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__taken")), "left_semi")
+    own = fresh(docs, "__taken")
+    taken = checkpoint(mixing.mix(docs, MIX).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

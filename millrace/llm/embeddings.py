@@ -187,7 +187,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 
 def audit(vectors: DataFrame, found: DataFrame, least: float = LEAST, step: int = 50) -> DataFrame:
-    """links, found, recall: brute force for the vectors whose id is divisible by `step`, against all, beside n_links.
+    """links, found, recall: brute force for the vectors whose id is divisible by `step`, against all, beside n_links; recall
+    is null where there is nothing to find.
 
     The queries of a label go, in blocks of SHARD, to each part of that label's vectors.
     """
@@ -208,7 +209,7 @@ def audit(vectors: DataFrame, found: DataFrame, least: float = LEAST, step: int
     queries = queries.select(*(F.col(c).alias(c) for c in (*keys, "vec_id", "embedding")))
     true = queries.groupBy(*keys).cogroup(rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).groupBy(*keys)).applyInPandas(count, "vec_id long, n long")
     true = true.groupBy("vec_id").agg(F.sum("n").alias("n")).join(found, "vec_id")
-    return true.agg(F.sum("n").alias("links"), F.sum("n_links").alias("found"), (F.sum(F.least("n", "n_links")) / F.sum("n")).alias("recall"))
+    return true.agg(F.sum("n").alias("links"), F.sum("n_links").alias("found"), F.try_divide(F.sum(F.least("n", "n_links")), F.sum("n")).alias("recall"))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:

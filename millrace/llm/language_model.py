@@ -106,7 +106,8 @@ def draw_tables(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.rand
     order = np.argsort(small, kind="stable")
     order = order[np.searchsorted(small[order], 2) :]
     sizes, start = np.unique(small[order], return_index=True)
-    for n, i, j in zip(sizes.tolist(), start, [*start[1:], len(order)], strict=True):
+    edges = np.append(start, len(order))
+    for n, i, j in zip(sizes.tolist(), edges[:-1], edges[1:], strict=True):
         step = max(1, (1 << 20) // n)
         for lo in range(i, j, step):
             x = order[lo : min(j, lo + step)]
@@ -228,7 +229,8 @@ def _dealt(rows: DataFrame, groups: int) -> DataFrame:
             order = np.argsort(pid, kind="stable")
             found, start = np.unique(pid[order], return_index=True)
             blobs = []
-            for i, j in zip(start, [*start[1:], len(order)], strict=True):
+            edges = np.append(start, len(order))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
                 own = batch.take(pa.array(order[i:j])).select(["doc_id", "text", "train"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema, options=options) as writer:

@@ -97,7 +97,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     probes = _probes(known)
     held = F.greatest(*(F.contains("__plain", F.lit(w)) for w in (*probes, *probes[:1]))) if probes else F.lit(False)
     # exploding one array keeps its value from being worked out again for each use
-    rows = docs.withColumn("__plain", F.explode(F.array(normalised(t)))).where(held).select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(units("text", F.array(t)), units("paragraph", several(F.split(t, "\n\n"))), units("line", several(F.split(t, "\n"))))).alias("u"))
+    rows = docs.select(doc_id, text, F.explode(F.array(normalised(t))).alias("__plain")).where(held).select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(units("text", F.array(t)), units("paragraph", several(F.split(t, "\n\n"))), units("line", several(F.split(t, "\n"))))).alias("u"))
     rows = rows.select("doc_id", "u.unit", "u.number", normalised(F.col("u.v")).alias("v"))
     rows = rows.where(F.contains("v", F.lit(" "))).withColumn("grams", F.explode(F.array(bigrams(F.col("v"))))).withColumn("n", F.size("grams"))
     # a literal row of the plan, not a table: the bounds leave the few templates of a like size

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 KINDS = ("assign", "access", "hex", "name", "key", "address")
 SCOPE = 200
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,7 +24,11 @@ NAME = r"""(?i:user|username|login|client_id|account|access_key_id)["']?\x20*[:=
 KEY = r"[A-Za-z0-9/+_-]{20,}"
 ADDRESS = r"(?:[a-z][a-z0-9+]*://[^\x00-\x20\x22\x27<>]+|[a-z0-9.-]+\.amazonaws\.com)"
 SPAN = "struct<s:int,k:int,e:int>"
-NONE = F.array().cast(f"array<{SPAN}>")
+
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
 
 def _spans(text: Column, regex: str, kind: int, group: int = 0, least: int = 1, fits: Callable[[Column], Column] | None = None) -> Column:
@@ -41,7 +47,7 @@ def _spans(text: Column, regex: str, kind: int, group: int = 0, least: int = 1,
         one = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
         return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), NONE.alias("out")), step, lambda a: a["out"])
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda a: a["out"])
 
 
 def _near(of: Column, others: Column) -> Column:
@@ -59,26 +65,30 @@ def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") ->
     Null and empty texts have none. Other columns pass through, a column named `into` is replaced; repeated rows are
     scanned each. Each stage looks only at rows that the one before leaves possible.
     """
-    t, low = F.col("__t"), F.col("__low")
+    own = fresh(docs, "__")
+    name = lambda k: f"{own}{k}"
+    col = lambda k: F.col(name(k))
+    t, low = col("t"), col("low")
     has = lambda *words: F.greatest(*(F.contains(low, F.lit(w)) for w in (*words, *words[:1])))
     mixed_case = lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
-    x = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    x = x.withColumn("__low", F.lower("__t"))
+    x = docs.withColumn(name("t"), F.coalesce(F.col(text), F.lit("")))
+    x = x.withColumn(name("low"), F.lower(t))
     x = x.withColumns({
-        "__assign": F.when(has("passw", "secret", "token", "api"), _spans(t, ASSIGN, 0, 2, 8)).otherwise(NONE),
-        "__access": F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1, 0, 16)).otherwise(NONE),
-        "__hex": F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(NONE),
-        "__name": F.when(has("user", "login", "client_id", "account", "access_key_id"), _spans(t, NAME, 3, 1, 3)).otherwise(NONE),
-        "__address": F.when(has("://", ".amazonaws.com"), _spans(t, ADDRESS, 5, 0, 8)).otherwise(NONE),
+        name("assign"): F.when(has("passw", "secret", "token", "api"), _spans(t, ASSIGN, 0, 2, 8)).otherwise(_none()),
+        name("access"): F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1, 0, 16)).otherwise(_none()),
+        name("hex"): F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none()),
+        name("name"): F.when(has("user", "login", "client_id", "account", "access_key_id"), _spans(t, NAME, 3, 1, 3)).otherwise(_none()),
+        name("address"): F.when(has("://", ".amazonaws.com"), _spans(t, ADDRESS, 5, 0, 8)).otherwise(_none()),
     })
-    # F.col, so that the spans found above are read, not found again
-    ids, strong = F.concat("__access", "__name"), F.concat("__assign", "__hex")
-    x = x.withColumn("__key", F.when((F.size(ids) > 0) | (F.size("__address") > 0), _spans(t, KEY, 4, 0, 20, mixed_case)).otherwise(NONE))
-    x = x.withColumn("__key", _near(_apart(F.col("__key"), F.concat("__assign", "__access", "__hex", "__address")), F.concat(ids, F.col("__address"))))
-    secret = F.concat(strong, F.col("__key"))
-    x = x.withColumns({"__name": _near(F.col("__name"), secret), "__address": _near(_near(F.col("__address"), secret), ids)})
-    x = x.withColumn(into, F.sort_array(F.concat("__assign", "__access", "__hex", "__name", "__key", "__address")))
-    return x.drop("__t", "__low", "__assign", "__access", "__hex", "__name", "__key", "__address")
+    # by name, so that the spans found above are read, not found again
+    ids, strong = F.concat(col("access"), col("name")), F.concat(col("assign"), col("hex"))
+    x = x.withColumn(name("key"), F.when((F.size(ids) > 0) | (F.size(col("address")) > 0), _spans(t, KEY, 4, 0, 20, mixed_case)).otherwise(_none()))
+    x = x.withColumn(name("key"), _near(_apart(col("key"), F.concat(strong, col("access"), col("address"))), F.concat(ids, col("address"))))
+    secret = F.concat(strong, col("key"))
+    x = x.withColumns({name("name"): _near(col("name"), secret), name("address"): _near(_near(col("address"), secret), ids)})
+    parts = ["assign", "access", "hex", "name", "key", "address"]
+    x = x.withColumn(name("all"), F.sort_array(F.concat(*map(col, parts))))
+    return x.withColumn(into, col("all")).drop(*map(name, ("t", "low", "all", *parts)))
 
 
 def listed(spans: Column) -> Column:
