@@ -137,6 +137,7 @@ def batch_documents(xml: str) -> tuple[list[dict], list[str]]:
 
 def read_batches(rows: DataFrame, xml: str = "xml") -> DataFrame:
     """Documents of XML batches, one row each; a broken document has only `error`, and the others of its batch stand."""
+    columns = ["collection", "url", "title", "body", "acl_allow", "acl_denied", "last_modified", "error"]
     schema = "collection string, url string, title string, body string, acl_allow array<string>, acl_denied array<string>, last_modified long, error string"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,8 +148,8 @@ def read_batches(rows: DataFrame, xml: str = "xml") -> DataFrame:
                     good, bad = batch_documents(x)
                 except ET.ParseError as e:
                     good, bad = [], [str(e)]
-                out += good + [{"error": e} for e in bad]
-            yield pd.DataFrame(out, columns=["collection", "url", "title", "body", "acl_allow", "acl_denied", "last_modified", "error"]).astype({"last_modified": "Int64"})
+                out += [[d.get(c) for c in columns] for d in (*good, *({"error": e} for e in bad))]
+            yield pd.DataFrame(out, columns=columns, dtype="object").astype({"last_modified": "Int64"})
 
     return rows.select(F.col(xml).alias("xml")).mapInPandas(parse, schema)
 
