@@ -109,7 +109,8 @@ def identifier(profiles: DataFrame, size: int = PROFILE):
         trim()
         return found
 
-    return predict
+    # so that a filter on the result and its later use read one evaluation
+    return predict.asNondeterministic()
 
 
 def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", into: str = "language") -> DataFrame:
