@@ -49,8 +49,9 @@ def auto_map(spark, sf):
 
 
 def mapping_counts(spark, sf):
-    m = _mapping(spark, sf)
-    return _users(spark, sf).agg(F.count("*").alias("n_users")).join(F.broadcast(m.agg(F.count("*").alias("n_mapped"))), F.lit(True)).select("n_users", "n_mapped", (F.col("n_users") - F.col("n_mapped")).alias("n_unmapped"))
+    one, none = F.lit(1), F.lit(0)
+    rows = _users(spark, sf).select(one.alias("u"), none.alias("m")).union(_mapping(spark, sf).select(none, one))
+    return rows.agg(F.sum("u").alias("n_users"), F.sum("m").alias("n_mapped")).select("n_users", "n_mapped", (F.col("n_users") - F.col("n_mapped")).alias("n_unmapped"))
 
 
 def user_groups(spark, sf):
@@ -117,8 +118,8 @@ def latest_version(spark, sf):
 def compaction(spark, sf):
     log_ = read(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("doc_id") % 3)).alias("pointer"))
     pointers = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("pointer"))
-    kept = ingest.live(log_, pointers).agg(F.count("*").alias("kept"))
-    return kept.join(F.broadcast(log_.agg(F.count("*").alias("total"))), F.lit(True)).select("kept", (F.col("total") - F.col("kept")).alias("removed"))
+    rows = ingest.live(log_, pointers).select(F.lit(1).alias("kept"), F.lit(0).alias("all")).union(log_.select(F.lit(0), F.lit(1)))
+    return rows.agg(F.sum("kept").alias("kept"), F.sum("all").alias("all")).select("kept", (F.col("all") - F.col("kept")).alias("removed"))
 
 
 def change_detect(spark, sf):
