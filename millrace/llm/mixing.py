@@ -72,13 +72,14 @@ def _dealt(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """leaves (domain, lang, source, tokens) with `own`, the leaf's budget of tokens. One row for each leaf."""
     x = leaves.withColumn("cap", (F.col("tokens") * plan.epochs).cast(BIG))
-    root = x.agg((F.coalesce(F.sum(F.col("tokens").cast(BIG)), F.lit(0)) * plan.permille).alias("b")).select(F.expr("b div 1000").cast(BIG).alias("budget"), F.lit(0).alias("one"))
-    above, parent = root, ["one"]
+    total = x.agg(F.sum(F.col("tokens").cast(BIG))).first()[0]
+    above, parent = None, ["one"]
     x = x.withColumn("one", F.lit(0))
     for level in LEVELS:
         keys = [*parent, level]
         nodes = x.groupBy(*keys).agg(F.sum("cap").cast(BIG).alias("cap")).withColumn("w", F.expr(plan.weight(level)).cast(BIG))
-        above = _dealt(nodes.join(above, parent), parent, level).select(*keys, F.col("own").alias("budget"))
+        nodes = nodes.join(above, parent) if above is not None else nodes.withColumn("budget", F.lit(str(int(total or 0) * plan.permille // 1000)).cast(BIG))
+        above = _dealt(nodes, parent, level).select(*keys, F.col("own").alias("budget"))
         parent = keys
     return x.join(above, ["one", *LEVELS]).select(*LEVELS, "tokens", F.col("budget").alias("own"))
 
