@@ -99,7 +99,7 @@ def exploded(rows: DataFrame, kind: str, key: str = "path", content: str = "cont
     return rows.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInPandas(parts, f"key {t}, part int, name string, text string, error string").withColumnRenamed("key", key)
 
 
-PACKED = struct.Struct("<20s200s50s2sI")  # fixed layout of a found link: sha1, url, anchor, two bytes, source
+PACKED = "<20s200s50s2sI"  # fixed layout of a found link: sha1, url, anchor, two bytes, source
 
 
 def found_links(rows: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def found_links(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for raw in batch["content"]:
-                for a, b, c, _, d in PACKED.iter_unpack(raw[: len(raw) // PACKED.size * PACKED.size]):
+                for a, b, c, _, d in struct.iter_unpack(PACKED, raw[: len(raw) // struct.calcsize(PACKED) * struct.calcsize(PACKED)]):
                     out.append((a.hex(), *(x.split(b"\0")[0].decode("utf-8", "replace") for x in (b, c)), d))
             yield pd.DataFrame(out, columns=["sha1", "url", "anchor", "src"])
 

@@ -1,4 +1,5 @@
 import io
+import struct
 import zipfile
 from datetime import datetime
 
@@ -133,7 +134,7 @@ def test_xml_batch(spark):
 
 
 def test_packed_links(spark):
-    raw = formats.PACKED.pack(b"\1" * 20, b"http://a", b"text", b"\0\0", 7) + b"half"
+    raw = struct.pack(formats.PACKED, b"\1" * 20, b"http://a", b"text", b"\0\0", 7) + b"half"
     got = formats.found_links(spark.createDataFrame([(bytearray(raw),)], "content binary")).first()
     assert (got.url, got.anchor, got.src, got.sha1) == ("http://a", "text", 7, "01" * 20)
 
