@@ -26,8 +26,21 @@ def postings(docs: DataFrame, terms: Sequence[str] | None = None, doc_id: str =
         rows = docs.where(F.greatest(*holds, *holds[:1])).select(doc_id, *keep, F.explode(F.array(tokens(F.col(text)))).alias("words"))
         one = F.array(*(F.struct(F.lit(t).alias("term"), positions(F.col("words"), t).alias("positions")) for t in wanted))
         return rows.select(F.col(doc_id).alias("doc_id"), *keep, F.inline(F.filter(one, lambda x: F.size(x["positions"]) > 0))).select("term", "doc_id", "positions", *keep)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    return rows.groupBy("term", "doc_id", *keep).agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "doc_id", "positions", *keep)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.explode(F.array(_ordered(F.col(text)))).alias("s"))
+    rows = rows.withColumn("a", F.explode(F.array(_starts(F.col("s")))))
+    ends = F.concat(F.slice("a", 2, F.size("a")), F.array(F.size("s")))
+    runs = F.zip_with("a", ends, lambda i, j: F.struct(F.get("s", i)["term"].alias("term"), F.transform(F.slice("s", i + 1, j - i), lambda x: x["pos"]).alias("positions")))
+    return rows.where(F.size("s") > 0).select("doc_id", *keep, F.inline(runs)).select("term", "doc_id", "positions", *keep)
+
+
+def _ordered(text: Column) -> Column:
+    """A text's tokens as (term, pos), by term and place."""
+    return F.sort_array(F.transform(tokens(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+
+
+def _starts(s: Column) -> Column:
+    """Where in an array of (term, pos) in order each term begins."""
+    return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
 
 
 def write_index(posts: DataFrame, path: str, collection: str = "collection") -> None:
@@ -40,12 +53,13 @@ def read_index(spark, path: str, terms: Sequence[str], collections: Sequence[str
     return rows.where(F.col("collection").isin(*collections)) if collections else rows
 
 
-def document_frequency(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, n_docs, n_hits: distinct terms are counted inside each row before anything is shuffled."""
-    words = F.explode(F.array(tokens(F.col(text))))
-    rows = docs.select(words.alias("words")).select(F.explode("words").alias("term"), F.lit(1).alias("one"), F.lit(0).alias("doc"))
-    first = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"), F.lit(0).alias("one"), F.lit(1).alias("doc"))
-    return rows.union(first).groupBy("term").agg(F.sum("doc").cast("long").alias("n_docs"), F.sum("one").cast("long").alias("n_hits"))
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, n_docs, n_hits: in a row's sorted tokens the first of a kind counts for the row,
+    so that one pass and one shuffle of partial sums do for both."""
+    rows = docs.select(F.explode(F.array(F.sort_array(tokens(F.col(text))))).alias("s"))
+    first = lambda w, i: F.when((i == 0) | (F.get("s", i - 1) != w), 1).otherwise(0)
+    rows = rows.select(F.explode(F.transform("s", lambda w, i: F.struct(w.alias("term"), first(w, i).alias("first")))).alias("x"))
+    return rows.groupBy("x.term").agg(F.sum("x.first").cast("long").alias("n_docs"), F.count("*").alias("n_hits"))
 
 
 def term_partition(term: Column) -> Column:
