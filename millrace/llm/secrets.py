@@ -17,6 +17,7 @@ from .common import fresh
 
 KINDS = ("assign", "access", "hex", "name", "key", "address")
 SCOPE = 200
+RUN = 256
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # the maximal runs of 32 and more
@@ -34,9 +35,11 @@ def _none() -> Column:
 def _spans(text: Column, regex: str, kind: int, group: int = 0, least: int = 1, fits: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches as spans of code points; those whose group is too short or unfit are dropped.
 
-    The pieces between matches, from split(), give the positions.
+    The pieces between matches, from split(), give the positions. They are added up within runs of RUN matches, and the
+    runs after, so that a text with very many matches takes no time in the square of their number.
     """
     parts = F.arrays_zip(F.split(text, regex, -1).alias("g"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(regex), F.lit(group)).alias("v"))
+    empty = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + F.length(p["g"])
@@ -47,7 +50,15 @@ def _spans(text: Column, regex: str, kind: int, group: int = 0, least: int = 1,
         one = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
         return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda a: a["out"])
+    def run(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(p, k * RUN + 1, RUN), empty, step))
+
+    def joined(a: Column, r: Column) -> Column:
+        moved = F.transform(r["out"], lambda x: F.struct((x["s"] + a["at"]).alias("s"), x["k"].alias("k"), (x["e"] + a["at"]).alias("e")))
+        return F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(moved)).alias("out"))
+
+    runs = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    return F.aggregate(run(parts), runs, joined, lambda a: F.flatten(a["out"]))
 
 
 def _near(of: Column, others: Column) -> Column:

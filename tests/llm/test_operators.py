@@ -83,6 +83,12 @@ def test_secrets_sql(spark, tmp_path):
     same(secrets.op2_secret_scan(spark, str(tmp_path)), con, secrets.OP2_SQL)
 
 
+def test_many_secrets(spark):
+    t = " ".join(f"token=abcdefgh{k} é" for k in range(3000))
+    got = secrets.find_secrets(frame(spark, [(1, t)])).first().secrets
+    assert [tuple(p) for p in got] == brute.secrets(t) and len(got) == 3000
+
+
 def test_redaction(spark):
     d = secrets.redact(secrets.find_secrets(frame(spark, [(1, "é token = abcdefgh1 end " + "ab" * 16), (2, "clean"), (3, None)])))
     assert {r.doc_id: r.text for r in d.collect()} == {1: "é [SECRET] end [SECRET]", 2: "clean", 3: None}
