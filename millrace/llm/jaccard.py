@@ -14,6 +14,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ WIDTH = 5
 LEAST = Fraction(3, 4)
 FREQUENT = 8  # documents that make a token frequent, counted where a chunk of CHUNK tokens has it twice or more
 MAX_FREQUENT = 1 << 19  # of the most frequent ones are put last: 4 MB at most go to each executor
-MAX_BROADCAST = 1 << 18  # rows of two numbers
+BITMAP_BITS = 27  # 16 MB whatever the number of ids; more ids let more texts through, which a join then drops
+CHUNK_BITS = 19
 CELL = 1000  # sets on either side of a block of comparisons
 CHUNK = 2_000_000
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -228,6 +230,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return x.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
+def _bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << BITMAP_BITS))
+
+
+def _bitmap(bits: DataFrame) -> np.ndarray:
+    """2^BITMAP_BITS bits as bytes; made in chunks by the executors."""
+
+    def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << CHUNK_BITS, bool)
+        own[rows["bit"].to_numpy(np.int64) & ((1 << CHUNK_BITS) - 1)] = True
+        return pd.DataFrame({"chunk": [key[0]], "bytes": [pack(np.packbits(own, bitorder="little"))]})
+
+    out = np.zeros((1 << (BITMAP_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
+    made = bits.distinct().withColumn("chunk", F.floor(F.col("bit") / (1 << CHUNK_BITS))).groupBy("chunk").applyInPandas(chunk, "chunk long, bytes binary")
+    for k, b in made.toPandas().itertuples(index=False):
+        out[k] = unpack(bytes(b))[0]
+    return out.ravel()
+
+
 def _block(least: Fraction):
     """Similar pairs of sets in different components, of one side of a block with the other; one for each component."""
 
@@ -289,18 +310,20 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     first = checkpoint(candidates.union(star.where(_fits(F.col("n"), F.col("l_n"), least)).select(*ordered(F.col("sig"), F.col("l_sig")))).distinct())
 
     def sets_of(sigs: DataFrame) -> DataFrame:
-        """sig, tokens of classes, from one document each."""
+        """sig, tokens of classes, from one document each, which a bitmap of hashed ids finds where the texts are."""
         wanted = checkpoint(sigs.select("sig").distinct().join(reps, "sig"))
-        # two numbers a row; a few go to where the texts are, more meet the texts by shuffle
-        wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+        bits = spark.sparkContext.broadcast(_bitmap(wanted.select(_bit(F.col("rep")).alias("bit"))))
 
-        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [shingles(t if isinstance(t, str) else None, width) for t in batch["text"]]
-                keep = [len(s) > 0 and signature(s) == g for s, g in zip(own, batch["sig"], strict=True)]
-                yield pd.DataFrame({"sig": batch["sig"][keep].to_numpy(), "tokens": [pack(s) for s, k in zip(own, keep, strict=True) if k]})
-
-        return rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sig", "text").mapInPandas(made, "sig long, tokens binary").dropDuplicates(["sig"])
+                bit = batch.column("bit").to_numpy()
+                sets = [shingles(t, width) for t in batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7)) & 1 == 1)).column("text").to_pylist()]
+                sets = [x for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()), pa.array([pack(x) for x in sets], pa.binary())], ["sig", "tokens"])
+            trim()
+
+        found = rows.select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(made, "sig long, tokens binary")
+        return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
     both = first.select(F.col("a").alias("sig")).union(first.select(F.col("b").alias("sig")))
     good = _verified(first, sets_of(both), least)

@@ -348,7 +348,8 @@ def test_jaccard_of_documents(spark, sf, docs):
 
 def test_jaccard_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 20)
-    monkeypatch.setattr(jaccard, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(jaccard, "BITMAP_BITS", 5)
+    monkeypatch.setattr(jaccard, "CHUNK_BITS", 4)
     rows = near(7)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(frame(spark, rows)).collect()} == brute.similar(rows)
 
