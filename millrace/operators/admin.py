@@ -74,6 +74,20 @@ def group_of(user: Column) -> Column:
     return F.array_distinct(F.array(user, F.substring_index(user, "-", 1)))
 
 
+# The languages that documents are marked with, numbered from 1
+DOCUMENT_LANGUAGES = ["ENG", "NOR", "DAN", "DEU", "FIN", "FRA", "ITA", "NLD", "POR", "RUS", "SWE"]
+
+
+def language_number(code: Column) -> Column:
+    """1 to 11; 0 for others."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, DOCUMENT_LANGUAGES)), F.upper(code)), F.lit(0)).cast("int")
+
+
+def language_code(number: Column) -> Column:
+    """The code of a number, null for 0 and others."""
+    return F.when(number.between(1, len(DOCUMENT_LANGUAGES)), F.get(F.array(*map(F.lit, DOCUMENT_LANGUAGES)), number - 1))
+
+
 def interface_language(code: Column) -> Column:
     c = F.lower(code)
     return F.when(c.isin("no", "nb", "nn"), "NBO").when(c.isin("en", "en_us"), "ENG").otherwise(F.upper(code))

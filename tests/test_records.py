@@ -3,7 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import records
+from millrace.operators import admin, records
 from millrace.sources import media
 
 
@@ -55,3 +55,10 @@ def test_settings(spark, tmp_path):
 def test_user_system(spark):
     d = records.user_system(spark, lambda: ["a", "b"], lambda u: [u, "all"])
     assert sorted(map(tuple, d.collect())) == [("a", "a"), ("a", "all"), ("b", "all"), ("b", "b")]
+
+
+def test_languages(spark):
+    d = spark.createDataFrame([("ENG", 1), ("swe", 11), ("xxx", 0), (None, 12)], "c string, n int")
+    got = d.select(admin.language_number(F.col("c")), admin.language_code(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [(1, "ENG"), (11, "SWE"), (0, None), (0, None)]
+    assert [r[0] for r in spark.createDataFrame([("nb",), ("en_us",), ("de",)], "c string").select(admin.interface_language(F.col("c"))).collect()] == ["NBO", "ENG", "DE"]
