@@ -113,7 +113,8 @@ def match_near(posts: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def rank_fields(posts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """doc_id, score: postings with a column `field` give points by occurrences; a table (doc_id, rank) adds its short rank.
+    """doc_id, score: postings with a column `field` give points by occurrences; their column `rank`, if they have one, or a
+    table (doc_id, rank) adds its short rank.
 
     Our definition, as the tables' use is not known: points of each term and field are added up.
     """
@@ -122,12 +123,21 @@ def rank_fields(posts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     for f in ranks.FIELD_POINTS:
         by = F.when(F.col("field") == f, ranks.points(f, n)).otherwise(by)
     first = F.when((F.col("field") == "title") & F.array_contains("positions", 0), ranks.FIRST_TITLE_WORD).otherwise(0)
+    if "rank" in posts.columns:
+        rows = posts.groupBy("doc_id").agg(F.sum(by + first).alias("score"), F.max("rank").alias("rank"))
+        return rows.select("doc_id", (F.col("score") + F.coalesce(ranks.short_rank(F.col("rank")), F.lit(0))).cast("long").alias("score"))
     rows = posts.groupBy("doc_id").agg(F.sum(by + first).alias("score"))
     if prior is None:
         return rows
     return rows.join(prior, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce(ranks.short_rank(F.col("rank")), F.lit(0))).cast("long").alias("score"))
 
 
+def with_fields(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Each document as two rows: its whole text as the body, its first line as the title; other columns on both."""
+    both = F.array(F.struct(F.lit("body").alias("field"), F.col(text).alias(text)), F.struct(F.lit("title").alias("field"), F.substring_index(text, "\n", 1).alias(text)))
+    return docs.select(*(c for c in docs.columns if c != text), F.inline(both))
+
+
 def page(rows: DataFrame, number: int = 1, size: int = 10, order: str = "relevance", most: int = 250, by: str = "doc_id") -> DataFrame:
     """A page of results, from 1. Orders: relevance (also for unknown names), newest, oldest; ties by doc_id."""
     first = {"newest": [F.desc("time")], "oldest": [F.asc("time")]}.get(order, [F.desc("score")])

@@ -53,12 +53,8 @@ def prox_search(spark, sf):
 
 def ranked_search(spark, sf):
     """Three words in the body, the first of them in the first line as a title, with the documents' short rank."""
-    d = read(spark, sf, "documents").select("doc_id", "text", "n_chars")
-    terms = ["the", "from", "that"]
-    body = search.postings(d, terms).withColumn("field", F.lit("body"))
-    title = search.postings(d.select("doc_id", F.substring_index("text", "\n", 1).alias("text")), terms).withColumn("field", F.lit("title"))
-    found = search.rank_fields(body.unionByName(title), d.select("doc_id", F.col("n_chars").alias("rank")))
-    return search.page(found, 1, 10)
+    d = search.with_fields(read(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("rank")))
+    return search.page(search.rank_fields(search.postings(d, ["the", "from", "that"], keep=("field", "rank"))), 1, 10)
 
 
 def lang_filter(spark, sf):
