@@ -312,12 +312,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def sets_of(sigs: DataFrame) -> DataFrame:
         """sig, tokens of classes, from one document each, which a bitmap of hashed ids finds where the texts are."""
         wanted = checkpoint(sigs.select("sig").distinct().join(reps, "sig"))
-        bits = spark.sparkContext.broadcast(_bitmap(wanted.select(_bit(F.col("rep")).alias("bit"))))
+        shared = spark.sparkContext.broadcast(pack(_bitmap(wanted.select(_bit(F.col("rep")).alias("bit")))))
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = unpack(shared.value)[0]
             for batch in batches:
                 bit = batch.column("bit").to_numpy()
-                sets = [shingles(t, width) for t in batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7)) & 1 == 1)).column("text").to_pylist()]
+                sets = [shingles(t, width) for t in batch.filter(pa.array((bits[bit >> 3] >> (bit & 7)) & 1 == 1)).column("text").to_pylist()]
                 sets = [x for x in sets if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()), pa.array([pack(x) for x in sets], pa.binary())], ["sig", "tokens"])
             trim()
