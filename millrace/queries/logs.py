@@ -27,8 +27,8 @@ def log_users_desc(spark, sf):
 
 
 def log_day_gapfill(spark, sf):
-    """Days on which a user saw errors, gaps filled."""
-    return S.per_day(log(spark, sf).where("query = 'error' and user % 9 = 0")).select(F.col("day").cast("string").alias("day"), "n")
+    """Errors of one kind by day, gaps filled."""
+    return S.per_day(log(spark, sf).where("query = 'error' and hits = 42")).select(F.col("day").cast("string").alias("day"), "n")
 
 
 def log_5min(spark, sf):
@@ -81,7 +81,7 @@ SQL = {
     "log_top_queries_of_user": f"{_DAY} select trim(query) as query, count(*) as num from log, now_ where tid > n - interval 30 day and user_ = 7 group by 1 order by num desc, query limit 10",
     "log_users_asc": f'with {LOG} select user_ as "user", count(*) as num from log group by 1 order by num, user_ limit 10',
     "log_users_desc": f'with {LOG} select user_ as "user", count(*) as num from log group by 1',
-    "log_day_gapfill": f"with {LOG}, n as (select tid::date as day, count(*) as n from log where query = 'error' and user_ % 9 = 0 group by 1), days as (select unnest(generate_series((select min(day) from n), (select max(day) from n), interval 1 day))::date as day) select day::varchar as day, coalesce(n, 0) as n from days left join n using (day)",
+    "log_day_gapfill": f"with {LOG}, n as (select tid::date as day, count(*) as n from log where query = 'error' and hits = 42 group by 1), days as (select unnest(generate_series((select min(day) from n), (select max(day) from n), interval 1 day))::date as day) select day::varchar as day, coalesce(n, 0) as n from days left join n using (day)",
     "log_5min": f"{_DAY} select count(*) as n, coalesce(avg(seconds), 0) as average, coalesce(min(seconds), 0) as least, coalesce(max(seconds), 0) as most from log, now_ where tid > n - interval 240 minute",
     "log_latest50": f'with {LOG} select id, query, user_ as "user", hits from log order by tid desc, id desc limit 50',
     "log_hits_histogram": f"with {LOG} select hits, count(*) as n from log group by hits",

@@ -24,7 +24,7 @@ def _shares(spark, sf):
     """A share for each supplier that isn't the seventh: connector, state, rate in minutes, last crawl."""
     k = F.col("s_suppkey")
     last = F.when(k % 9 == 0, None).otherwise(F.lit(NOW).cast("timestamp") - F.make_dt_interval(k % 3, k % 24, k % 60))
-    return read(spark, sf, "supplier").where(k % 7 > 0).select(k.alias("id"), F.concat(F.lit("src"), (k % 25).cast("string")).alias("collection"), (k % 6 + 1).cast("int").alias("connector"), F.when(k % 4 > 0, 1).otherwise(0).alias("active"), (k % 5 * 720).cast("int").alias("rate"), last.alias("last"))
+    return read(spark, sf, "supplier").where(k % 7 > 0).select(k.alias("id"), F.concat(F.lit("src"), (k % 17).cast("string")).alias("collection"), (k % 6 + 1).cast("int").alias("connector"), F.when(k % 4 > 0, 1).otherwise(0).alias("active"), (k % 5 * 720).cast("int").alias("rate"), last.alias("last"))
 
 
 def _connectors(spark):
@@ -87,7 +87,7 @@ def connector_nest(spark, sf):
 
 
 def pushed_collections(spark, sf):
-    return admin.pushed(read(spark, sf, "documents").select(F.col("source").alias("collection")).distinct(), _shares(spark, sf).where("id < 20"))
+    return admin.pushed(read(spark, sf, "documents").select(F.col("source").alias("collection")).distinct(), _shares(spark, sf))
 
 
 def due_collections(spark, sf):
@@ -225,7 +225,7 @@ def batch_metrics(spark, sf):
 QUERIES = {f.__name__: f for f in (unmapped_users, auto_map, mapping_counts, user_groups, user_collections, group_collections, shares_join, connectors_in_use, connector_nest, pushed_collections, due_collections, next_crawl_text, table_gateway, mounts, latest_version, compaction, change_detect, upsert_log, first_wins, interleave, stale_documents, old_client_urls, uncrawled, file_type_facet, name_buckets, acl_mask_parse, address_ranges, eml_explode, result_items, result_json, stream_metrics, batch_metrics)}
 
 _C = "connectors(id, name) as (values " + ", ".join(f"({i}, '{n}')" for i, n in CONNECTORS) + ")"
-_SHARES = f"""shares as (select s_suppkey as id, 'src' || (s_suppkey % 25) as collection, (s_suppkey % 6 + 1)::int as connector, (s_suppkey % 4 > 0)::int as active, (s_suppkey % 5 * 720)::int as rate,
+_SHARES = f"""shares as (select s_suppkey as id, 'src' || (s_suppkey % 17) as collection, (s_suppkey % 6 + 1)::int as connector, (s_suppkey % 4 > 0)::int as active, (s_suppkey % 5 * 720)::int as rate,
     case when s_suppkey % 9 = 0 then null else timestamp '{NOW}' - to_days((s_suppkey % 3)::int) - to_hours(s_suppkey % 24) - to_minutes(s_suppkey % 60) end as last from supplier where s_suppkey % 7 > 0)"""
 _EFF = "case when rate > 0 then rate else 1440 end"
 _M = f"({_EFF} - floor(epoch(timestamp '{NOW}' - last) / 60))::bigint"
@@ -240,7 +240,7 @@ SQL = {
     "connectors_in_use": f"with {_C}, {_SHARES} select name as connector_name, count(*) as n from shares s join connectors c on c.id = s.connector group by name",
     "connector_nest": f"""with {_C}, {_SHARES}, n as (select source, count(*) as n from documents group by source), own as (select connector, collection, coalesce(n, 0) as n from shares left join n on source = collection where active = 1),
         g as (select connector, string_agg(collection || '=' || n, ',' order by collection, n) as c from own group by connector) select id, name, coalesce(c, '') as collections from connectors left join g on id = connector""",
-    "pushed_collections": f"with {_SHARES} select distinct source as collection from documents where source not in (select collection from shares where id < 20)",
+    "pushed_collections": f"with {_SHARES} select distinct source as collection from documents where source not in (select collection from shares)",
     "due_collections": f"with {_SHARES} select id, collection, case when last is null then 0 when rate <= 0 then 1 else 2 end as turn from shares where active = 1 and connector <> 14 and (last is null or last + to_minutes({_EFF}) <= timestamp '{NOW}') and {_EFF} < 1440",
     "next_crawl_text": f"""with {_SHARES}, x as (select id, {_M} as m from shares where last is not null), y as (select *, abs(m) as a, case when abs(m) < 60 then abs(m) when abs(m) < 1440 then abs(m) // 60 else abs(m) // 1440 end as v from x)
         select id, m, case when m < 0 then 'overdue by ' else 'in ' end || case when a < 1 then 'now' else v || case when a < 60 then ' minute' when a < 1440 then ' hour' else ' day' end || case when v = 1 then '' else 's' end end as text from y""",
