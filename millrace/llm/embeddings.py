@@ -1,10 +1,9 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph over overlapping cluster shards.
+"""Near-duplicate embeddings by comparisons within overlapping cluster shards.
 
-Vectors of a label are dealt to the shards of their two nearest pivots. Each shard builds a graph: a vector's
-neighbours are pruned so that none is much nearer to another neighbour than to the vector, and a few random links are
-added. A vector's adjacency lists from its shards are united. Every vector then searches its shards: greedily from the
-medoid first, then expanding whatever lies near the range, and what it finds is verified by its cosine in double
-precision. A shard too large for one task is cut into blocks that are searched two by two.
+Vectors of a label are dealt to the shards of their nearest pivots: the two nearest, and every other within a margin of
+the nearest. The margin follows from how far apart two vectors in range can lie and from the dimensions that the pivots
+spread over; where these are few it is the bound that no pair escapes. All vectors of a shard are compared, by their
+cosines in double precision. A shard too large for one task is cut into blocks that are compared two by two.
 """
 
 from __future__ import annotations
@@ -18,13 +17,10 @@ from .common import checkpoint
 from .graph import components
 
 LEAST = 0.93
-SLACK = 0.05  # how far below the range nodes are still expanded
 SHARD = 1000  # vectors of a block, and of a label that needs no pivots
 PIVOTS = 256  # of a label at most; fitted on a sample of about so many vectors
 APART = 0.8  # pivots are less similar than this, so that one cluster of near copies has one pivot
-NEAR, RANDOM, POOL = 24, 8, 64
-GREEDY = 48  # expansions before only the range is followed
-ALPHA = 1.2
+SPREADS = 1.25  # margin, in standard deviations of what a pair in range differs by between two pivots
 SALT = 8_000  # vectors dealt to pivots together
 
 
@@ -33,118 +29,76 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def robust_graph(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Neighbours of unit vectors, NEAR + RANDOM of each; -1 where fewer."""
-    n = len(x)
-    out = np.full((n, NEAR + RANDOM), -1, np.int64)
-    if n < 2:
-        return out
-    near = x @ x.T
-    np.fill_diagonal(near, -np.inf)
-    pool = min(POOL, n - 1)
-    best = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
-    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1), 1)
-    for i in range(n):
-        c = best[i]
-        far = np.sqrt(np.maximum(0, 2 - 2 * near[i, c]))
-        between = np.sqrt(np.maximum(0, 2 - 2 * near[c[:, None], c]))
-        np.fill_diagonal(between, 0)
-        alive, k = np.ones(pool, bool), 0
-        for j in range(pool):
-            if alive[j]:
-                out[i, k] = c[j]
-                k += 1
-                if k == NEAR:
-                    break
-                alive &= ALPHA * between[j] > far
-                alive[j] = False
-    out[:, NEAR:] = rng.integers(0, n, (n, RANDOM))
+def shards_of(x: np.ndarray, p: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pivots p each unit vector of x is dealt to: the two nearest and those within the margin.
+
+    Vectors x and y in range are |x - y| apart at most, so y prefers pivot b to x's nearest a only if x lies within
+    |x - y| of the plane between them. Over d dimensions the part of x - y across that plane deviates by |x - y| / sqrt(d).
+    """
+    among = p @ p.T
+    dims = min(x.shape[1], len(p) ** 2 / (among**2).sum())
+    near = x @ p.T
+    first = near.argmax(axis=1)
+    margin = min(1.0, SPREADS / np.sqrt(dims)) * np.sqrt(max(0.0, 2 - 2 * least)) * np.sqrt(np.maximum(0, 2 - 2 * among))
+    dealt = near[np.arange(len(x)), first][:, None] - near <= margin[first]
+    np.put_along_axis(dealt, np.argsort(-near, axis=1, kind="stable")[:, :2], True, axis=1)
+    return dealt
+
+
+def _assigner(least: float):
+    def assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        """The shards of each vector, the only one where a label has no pivots."""
+        if not len(rows):
+            return pd.DataFrame({"rep": [], "shards": []})
+        shards = [[0]] * len(rows)
+        if len(pivots):
+            p = _unit(pivots.sort_values("rep")["embedding"])
+            kept: list[int] = []
+            for i in range(len(p)):
+                if not kept or (p[kept] @ p[i]).max() < APART:
+                    kept.append(i)
+            shards = [np.flatnonzero(own).tolist() for own in shards_of(_unit(rows["embedding"]), p[kept], least)]
+        return pd.DataFrame({"rep": rows["rep"], "shards": shards})
+
+    return assign
+
+
+def _earlier(shards: pd.Series, shard: int) -> np.ndarray:
+    """Which pairs of vectors share a shard before this one."""
+    n = len(shards)
+    bits = np.zeros((n, -(-max(shard, 1) // 64) * 64), bool)
+    for k, own in enumerate(shards):
+        bits[k, [s for s in own if s < shard]] = True
+    out = np.zeros((n, n), bool)
+    for word in np.packbits(bits, axis=1).view(np.uint64).T:
+        out |= (word[:, None] & word) != 0
     return out
 
 
-def range_search(q: np.ndarray, x: np.ndarray, adjacency: np.ndarray, least: float) -> np.ndarray:
-    """Which of x each q finds at a cosine of `least` or more: all queries step together."""
-    n, m = len(q), len(x)
-    similar = np.full((n, m + 1), -np.inf)  # the last column stands for no neighbour
-    done = np.zeros((n, m + 1), bool)
-    done[:, m] = True
-    start = int((x @ x.mean(axis=0)).argmax())
-    similar[:, start] = q @ x[start]
-    active = np.arange(n)
-    for step in range(GREEDY + m):
-        open_ = np.where(done[active], -np.inf, similar[active])
-        pick = open_.argmax(axis=1)
-        best = open_[np.arange(len(active)), pick]
-        go = best > -np.inf if step < GREEDY else best >= least - SLACK
-        active, pick = active[go], pick[go]
-        if not len(active):
-            break
-        done[active, pick] = True
-        to = adjacency[pick]
-        rows = np.repeat(active, to.shape[1])
-        to = to.ravel()
-        new = (to >= 0) & (similar[rows, to] == -np.inf)
-        rows, to = rows[new], to[new]
-        similar[rows, to] = np.einsum("ij,ij->i", q[rows], x[to])
-    return similar[:, :m] >= least
-
-
-def _assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """The two nearest of a label's pivots for each vector, the only shard where there are none."""
-    if not len(rows):
-        return pd.DataFrame({"rep": [], "shards": []})
-    shards = [[0]] * len(rows)
-    if len(pivots):
-        p = _unit(pivots.sort_values("rep")["embedding"])
-        kept: list[int] = []
-        for i in range(len(p)):
-            if not kept or (p[kept] @ p[i]).max() < APART:
-                kept.append(i)
-        near = _unit(rows["embedding"]) @ p[kept].T
-        shards = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :2], axis=1).tolist()
-    return pd.DataFrame({"rep": rows["rep"], "shards": shards})
-
-
-def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep")
-    reps = rows["rep"].to_numpy()
-    graph = robust_graph(_unit(rows["embedding"]), np.random.default_rng(len(rows)))
-    back: list[set] = [set() for _ in reps]
-    for i, own in enumerate(graph[:, :NEAR].tolist()):
-        for j in own:
-            if j >= 0 and len(back[j]) < NEAR:
-                back[j].add(i)
-    return pd.DataFrame({"rep": reps, "near": [reps[sorted({j for j in own if j >= 0} | more - {i})] for i, (own, more) in enumerate(zip(graph.tolist(), back, strict=True))]})
-
-
-def _searcher(least: float):
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Within two blocks of a shard: for each vector how many others it links with and one link; each pair of
+def _comparer(least: float):
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Within two blocks of a shard: for each vector that links, with how many others and one of them; each pair of
         vectors counts in the smallest shard both are in."""
         shard, i, j = int(key[2]), int(key[3]), int(key[4])
         rows = rows.sort_values("rep").reset_index(drop=True)
-        x, reps, block = _unit(rows["embedding"]), rows["rep"].to_numpy(), rows["block"].to_numpy()
+        x, block = _unit(rows["embedding"]), rows["block"].to_numpy()
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = np.zeros((len(x), len(x)), bool)
-        for a, b in {(i, j), (j, i)}:
-            q, d = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            if len(q) and len(d):
-                place = {r: k for k, r in enumerate(reps[d].tolist())}
-                lists = [[place[r] for r in near if r in place] for near in rows["near"].iloc[d]]
-                adjacency = np.full((len(d), max(1, max(map(len, lists)))), -1, np.int64)
-                for k, near in enumerate(lists):
-                    adjacency[k, : len(near)] = near
-                found[np.ix_(q, d)] |= range_search(x[q], x[d], adjacency, least)
+        found[np.ix_(a, b)] = x[a] @ x[b].T >= least
         found |= found.T
         np.fill_diagonal(found, False)
-        other = np.array([next((s for s in own if s != shard), -1) for own in rows["shards"]])
-        count = found & ~((other[:, None] == other) & (other >= 0) & (other < shard))
-        label, before = reps.copy(), None
+        some = np.flatnonzero(found.any(axis=1))
+        rows, found = rows.iloc[some], found[np.ix_(some, some)]
+        if not len(some):
+            return pd.DataFrame({"rep": [], "n": [], "to": []})
+        count = found & ~_earlier(rows["shards"], shard)
+        label, before = rows["rep"].to_numpy(), None
         while before is None or (label != before).any():
             before = label
             label = np.minimum(label, np.where(found, label, np.iinfo(np.int64).max).min(axis=1))
-        return pd.DataFrame({"rep": reps, "n": count @ rows["times"].to_numpy(), "to": label})
+        return pd.DataFrame({"rep": rows["rep"], "n": count @ rows["times"].to_numpy(), "to": label})
 
-    return search
+    return compare
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
@@ -154,9 +108,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     components, and those without a label, link with nothing. Equal vectors link without a search. A null vec_id names
     no component. Other columns are not read.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
+    if rows.schema["embedding"].dataType.simpleString() != "array<float>":  # floats travel as they are, in half the bytes
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", finite) & (squares > 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     same = ["label", "embedding"]
@@ -169,17 +125,17 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     pivots = pivots.select(*(F.col(c).alias(c) for c in (*group, "rep", "embedding")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     dealt = known.select(*group, F.pmod(F.xxhash64("rep", F.lit(2)), F.col("salts")).cast("int").alias("salt"), "rep", "embedding")
     keys = [*group, "salt"]
-    shards = dealt.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInPandas(_assign, "rep long, shards array<int>")
-    placed = checkpoint(found.join(shards, "rep").select("rep", *group, "embedding", "times", "shards", F.explode("shards").alias("shard")))
-    blocks = placed.groupBy(*group, "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
+    shards = dealt.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInPandas(_assigner(least), "rep long, shards array<int>")
+    placed = checkpoint(found.select("rep", *group).join(shards, "rep").select("rep", *group, "shards", F.explode("shards").alias("shard")))
+    blocks = placed.groupBy(*group, "shard").agg(F.count("*").alias("k"))
+    blocks = blocks.select(*group, "shard", F.when(F.col("k") > 2 * SHARD, F.ceil(F.col("k") / SHARD)).otherwise(1).cast("int").alias("blocks"))  # two blocks go together anyway
     placed = placed.join(blocks, [*group, "shard"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    near = placed.groupBy(*group, "shard", "block").applyInPandas(_build, "rep long, near array<long>")
-    near = near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # of two shards at most
-    cells = placed.join(near, "rep").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
-    links = checkpoint(cells.groupBy(*group, "shard", "i", "j").applyInPandas(_searcher(least), "rep long, n long, to long"))
+    cells = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")}).drop("blocks", "k")
+    cells = cells.join(found.select("rep", "embedding", "times"), "rep")
+    links = checkpoint(cells.groupBy(*group, "shard", "i", "j").applyInPandas(_comparer(least), "rep long, n long, to long"))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     part = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    reps = found.join(counts, "rep").join(part.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "n", "times", F.coalesce("component", "rep").alias("component"))
+    reps = found.join(counts, "rep", "left").join(part.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("n", F.lit(0)).alias("n"), "times", F.coalesce("component", "rep").alias("component"))
     # bad vectors don't take part in the join; the others find their class by the vector itself
     out = rows.where("good").join(reps, same).select("vec_id", (F.col("n") + F.col("times") - 1).alias("n_links"), F.col("component").alias("component_id"))
     out = out.union(rows.where("not good").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))

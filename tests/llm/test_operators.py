@@ -225,6 +225,28 @@ def test_embeddings_recall(spark, sf):
     assert a.links == 0 or a.recall >= 0.9
 
 
+def test_no_pair_is_dealt_apart():
+    r = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    p, x = unit(r.normal(size=(256, 64))), unit(r.normal(size=(20_000, 64)))
+    u = r.normal(size=x.shape)
+    u = unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+    both = embeddings.shards_of(x, p, 0.93) & embeddings.shards_of(0.93 * x + math.sqrt(1 - 0.93**2) * u, p, 0.93)
+    assert both.any(axis=1).mean() >= 0.999
+
+
+def test_links_of_a_large_label(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    y = 0.932 * x + math.sqrt(1 - 0.932**2) * u
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(20_000), "embedding": [*x.astype(np.float32).tolist(), *y.astype(np.float32).tolist()]}), "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).repartition(4)
+    assert embeddings.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 0.999 * 20_000
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)]
