@@ -1,14 +1,15 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
-Words are dishes. A restaurant for each class of the previous word (a hash into CLASSES) shares one parent, whose base
+Words are dishes. A restaurant for each context, the previous word by its 64-bit hash, shares one parent, whose base
 is uniform over the known words and an unknown one. A dish's customers in a restaurant are the times the word follows
-the class in training; each of their tables is a customer of the parent. Given all other tables, a Gibbs step draws the
+the context in training; each of their tables is a customer of the parent. Given all other tables, a Gibbs step draws the
 number of tables of a dish from its conditional, in which seatings with as many tables are summed up by generalised
 Stirling numbers. Predictive probabilities are averaged over the last SAMPLES sweeps.
 
-Documents are dealt to groups; a group asks, once for each distinct (word, class), the bucket of that word, which
-counts, samples and answers. Frequent words, found in a bounded sample, are dealt by (word, class), and their totals
-added up after. This concerns routing only: every document is counted.
+Documents are dealt to groups; a group asks, once for each distinct (word, context), the bucket of that word, which
+counts, samples and answers. Frequent words, found in a bounded sample, are dealt by (word, context), and their totals
+added up after. This concerns routing only: every document is counted. The contexts' totals are added up in buckets of
+contexts, which answer the groups; they don't come to the driver.
 """
 
 from __future__ import annotations
@@ -24,10 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import PIECE, checkpoint, fold, mixed, pack, partitions, unpack, words_of
 
-BITS = 14
-CLASSES = 1 << BITS
-CHUNK = 1024  # classes whose totals go together
-DISCOUNT, STRENGTH = 0.8, 1.0  # of a class's restaurant
+DISCOUNT, STRENGTH = 0.8, 1.0  # of a context's restaurant
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
 BURN_IN, SAMPLES, SEED = 3, 3, 11
 EXACT = 256  # customers up to which a table count is drawn exactly; more are seated in blocks of an eighth
@@ -37,7 +35,7 @@ _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of texts, an end behind each; each token's text; the class of the token before."""
+    """Word hashes of texts, an end behind each; each token's text; the context: a hash of the token before."""
     words, owner, k = [], [], 0
     raws = [(t if isinstance(t, str) else "").encode("utf-8", "surrogatepass") for t in texts]
     while k < len(raws):
@@ -58,19 +56,29 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     all_words[at], all_docs[at], all_docs[ends] = h, doc, np.arange(n)
     before = np.append(START, all_words[:-1])[: len(all_words)]
     before[ends[:-1] + 1] = START
-    return all_words, all_docs, (mixed(before ^ _SALT) >> np.uint64(64 - BITS)).astype(np.int64)
+    return all_words, all_docs, mixed(before ^ _SALT)
+
+
+def context_parts(contexts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """bucket of contexts, places of those that it holds."""
+    bucket = (mixed(contexts + _SALT) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, order[edges[b] : edges[b + 1]]
 
 
 class Entries:
-    """The distinct (word, class) of a group of texts, dealt to buckets: by word, frequent words by both."""
+    """The distinct (word, context) of a group of texts, dealt to buckets: by word, frequent words by both."""
 
     def __init__(self, texts: list[str | None], train: np.ndarray, hot: np.ndarray, buckets: int):
         w, self.doc, u = tokens(texts)
         self.words, word = np.unique(w, return_inverse=True)
-        keys, self.entry = np.unique(word << BITS | u, return_inverse=True)
+        self.contexts, u = np.unique(u, return_inverse=True)
+        keys, self.entry = np.unique(word << 32 | u, return_inverse=True)
         self.train = np.bincount(self.entry, weights=train[self.doc], minlength=len(keys)).astype(np.int32)
-        word, self.u = keys >> BITS, keys & (CLASSES - 1)
-        spread = self.words[word] ^ np.where(np.isin(self.words, hot)[word], mixed(self.u.astype(np.uint64) + np.uint64(1)), np.uint64(0))
+        word, self.u = keys >> 32, keys & 0xFFFFFFFF
+        spread = self.words[word] ^ np.where(np.isin(self.words, hot)[word], mixed(self.contexts[self.u] + np.uint64(1)), np.uint64(0))
         bucket = (mixed(spread + _SALT) % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
         self.word = word
@@ -137,10 +145,11 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
         words, which = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
         place = np.cumsum([0] + [len(x[0]) for x in asked])
         word_of = [which[i:j] for i, j in zip(place[:-1], place[1:], strict=True)]
-        keys = np.concatenate([np.repeat(w, x[1]) << BITS | x[2] for w, x in zip(word_of, asked, strict=True)])
+        contexts, u = np.unique(np.concatenate([x[2][x[3]] for x in asked]), return_inverse=True)
+        keys = np.concatenate([np.repeat(w, x[1]) for w, x in zip(word_of, asked, strict=True)]) << 32 | u
         keys, entry = np.unique(keys, return_inverse=True)
-        c = np.bincount(entry, weights=np.concatenate([x[3] for x in asked]), minlength=len(keys)).astype(np.int64)
-        word, u = keys >> BITS, keys & (CLASSES - 1)
+        c = np.bincount(entry, weights=np.concatenate([x[4] for x in asked]), minlength=len(keys)).astype(np.int64)
+        word, u = keys >> 32, keys & 0xFFFFFFFF
         scale = np.where(np.isin(words, hot), buckets, 1)
         known = np.bincount(word, weights=c, minlength=len(words)).astype(np.int64)
         t, base = np.minimum(c, 1), 1 / (vocabulary + 1)
@@ -150,7 +159,7 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
         for sweep in range(BURN_IN + SAMPLES):
             root = np.where(scale > 1, m / buckets, m).sum() * buckets
             p = (m - ROOT_DISCOUNT * r + (ROOT_STRENGTH + ROOT_DISCOUNT * r.sum() * buckets) * base) / (ROOT_STRENGTH + root)
-            tables = np.bincount(u, weights=t, minlength=CLASSES) * buckets
+            tables = np.bincount(u, weights=t, minlength=len(contexts)) * buckets
             t = draw_tables(c, (STRENGTH + DISCOUNT * tables[u]) * p[word], DISCOUNT, rng)
             own = np.bincount(word, weights=t, minlength=len(words)).astype(np.int64)
             m = own * scale
@@ -159,13 +168,12 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
                 samples.append((t, own, r))
         out, at = [], 0
         for group, w, x in zip(rows["pid"], word_of, asked, strict=True):
-            e = entry[at : at + len(x[2])]
-            at += len(x[2])
+            e = entry[at : at + len(x[3])]
+            at += len(x[3])
             out.append((0, group, key[0], pack(c[e].astype(np.int32), *(s[0][e][c[e] > 1].astype(np.int32) for s in samples), known[w].astype(np.int64), *(s[k][w].astype(np.int64) for k in (1, 2) for s in samples)), 0, None))
-        seen = np.bincount(u, weights=c, minlength=CLASSES).astype(np.int64)
-        tables = [np.bincount(u, weights=s[0], minlength=CLASSES).astype(np.int64) for s in samples]
-        per = np.stack([seen, *tables], axis=1).reshape(-1, CHUNK * (1 + SAMPLES))
-        out += [(1, 0, 0, None, k, per[k].tolist()) for k in np.flatnonzero(per.any(axis=1)).tolist()]
+        per = [np.bincount(u, weights=x, minlength=len(contexts)).astype(np.int64) for x in (c, *(s[0] for s in samples))]
+        trained = np.flatnonzero(per[0])
+        out += [(1, 0, 0, pack(contexts[trained[x]], *(v[trained[x]] for v in per)), b, None) for b, x in context_parts(contexts[trained], buckets)]
         split = scale > 1
         out += [(2, 0, 0, None, int(words[k].view(np.int64)), [int(known[k]), *(int(s[1][k]) for s in samples)]) for k in np.flatnonzero(split & (known > 0)).tolist()]
         out.append((3, 0, 0, None, 0, [int(known.sum()), int((known[~split] > 0).sum()), *(int(s[1].sum()) for s in samples), *(int(s[2][~split].sum()) for s in samples)]))
@@ -175,18 +183,16 @@ def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
 
 
 class Totals:
-    """What all buckets give together: bounded by the classes and the frequent words."""
+    """What all buckets give together: bounded by the buckets and the frequent words."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.classes = np.zeros((CLASSES, 1 + SAMPLES))
+        self.classes = np.array([v for kind, v in zip(rows["kind"], rows["v"], strict=True) if kind == 1], np.int64).reshape(-1, 1 + SAMPLES)  # of each bucket of contexts
         all_ = np.zeros(2 + 2 * SAMPLES, np.int64)
         found = {}
         for kind, k, v in zip(rows["kind"], rows["id"], rows["v"], strict=True):
-            if kind == 1:
-                self.classes[k * CHUNK : (k + 1) * CHUNK] = np.reshape(v, (CHUNK, 1 + SAMPLES))
-            elif kind == 2:
+            if kind == 2:
                 found[k] = v
-            else:
+            elif kind == 3:
                 all_ = np.array(v, np.int64)
         self.hot = np.array(sorted(found), np.int64).view(np.uint64)
         order = np.argsort(self.hot)
@@ -209,12 +215,27 @@ class Totals:
             m, r = np.where(own[:, None], self.hot_counts[at, 1:], m), np.where(own[:, None], self.hot_tables[at], r)
         return known, (m - ROOT_DISCOUNT * r + (ROOT_STRENGTH + ROOT_DISCOUNT * self.tables) * self.base) / (ROOT_STRENGTH + self.customers)
 
-    def predictive(self, c: np.ndarray, t: np.ndarray, u: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Mean over samples; t and p have a column for each."""
-        seen, tables = self.classes[u, :1], self.classes[u, 1:]
+    def predictive(self, c: np.ndarray, t: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Mean over samples; t and p have a column for each, context has the customers of it before."""
+        seen, tables = context[:, :1], context[:, 1:]
         return ((c[:, None] - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * p) / (STRENGTH + seen)).mean(axis=1)
 
 
+def _contexts(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Adds up the totals of a bucket's contexts, and answers each group; gives the sums of all, too."""
+    given = [unpack(b) for b in rows["blob"]]
+    contexts, which = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[0] for x in given)]), return_inverse=True)
+    # a last row for contexts without training
+    totals = np.stack([np.bincount(which, weights=np.concatenate([np.empty(0), *(x[k] for x in given)]), minlength=len(contexts) + 1) for k in range(1, 2 + SAMPLES)], axis=1).astype(np.int64)
+    out = [(1, 0, 0, None, key[0], totals.sum(axis=0).tolist())]
+    for group, blob in zip(asked["pid"], asked["blob"], strict=True):
+        (own,) = unpack(blob)
+        at = np.searchsorted(contexts, own)
+        at[np.append(contexts, np.uint64(0))[at] != own] = len(contexts)
+        out.append((4, group, key[0], pack(*totals[at].T.copy()), 0, None))
+    return pd.DataFrame(out, columns=["kind", "pid", "bucket", "blob", "id", "v"])
+
+
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": rows["kind"].iloc[:1], "id": rows["id"].iloc[:1], "v": [np.sum(np.stack(list(rows["v"])), axis=0)]})
 
@@ -277,11 +298,23 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
     def ask(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         table = _opened(own["blob"])
         e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
-        return pd.DataFrame([(key[0], b, pack(e.words[w], k.astype(np.int32), e.u[x].astype(np.uint16), e.train[x])) for b, x, w, k in e.parts()], columns=["pid", "bucket", "blob"])
-
-    asked = _dealt(rows, groups).groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
-    answers = checkpoint(asked.groupBy("bucket").applyInPandas(_bucket_function(hot, n, 1e6), "kind int, pid long, bucket long, blob binary, id long, v array<long>"))
-    totals = Totals(answers.where("kind > 0").select("kind", "id", "v").groupBy("kind", "id").applyInPandas(_summed, "kind int, id long, v array<long>").toPandas())
+        out = []
+        for b, x, w, k in e.parts():
+            u, which = np.unique(e.u[x], return_inverse=True)
+            out.append((key[0], b, pack(e.words[w], k.astype(np.int32), e.contexts[u], which.astype(np.int32), e.train[x])))
+        return pd.DataFrame(out, columns=["pid", "bucket", "blob"])
+
+    def ask_contexts(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        contexts = np.unique(tokens(_opened(own["blob"])["text"].to_pylist())[2])
+        return pd.DataFrame([(key[0], b, pack(contexts[x])) for b, x in context_parts(contexts, n)], columns=["pid", "bucket", "blob"])
+
+    answer_type = "kind int, pid long, bucket long, blob binary, id long, v array<long>"
+    dealt = _dealt(rows, groups)
+    asked = dealt.groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
+    answers = checkpoint(asked.groupBy("bucket").applyInPandas(_bucket_function(hot, n, 1e6), answer_type))
+    asked = dealt.groupBy("pid").applyInPandas(ask_contexts, "pid long, bucket long, blob binary")
+    contexts = checkpoint(answers.where("kind = 1").select("id", "blob").groupBy("id").cogroup(asked.groupBy("bucket")).applyInPandas(_contexts, answer_type))
+    totals = Totals(answers.where("kind > 1").union(contexts.where("kind = 1")).select("kind", "id", "v").groupBy("kind", "id").applyInPandas(_summed, "kind int, id long, v array<long>").toPandas())
     shared = spark.sparkContext.broadcast(totals)
 
     def answer(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -290,22 +323,25 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         all_ = shared.value
         table = _opened(own["blob"])
         e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
-        reply = dict(zip(replies["bucket"], replies["blob"], strict=True))
+        reply = {(kind, b): blob for kind, b, blob in zip(replies["kind"], replies["bucket"], replies["blob"], strict=True)}
+        context = np.zeros((len(e.contexts), 1 + SAMPLES), np.int64)
+        for b, x in context_parts(e.contexts, n):
+            context[x] = np.stack(unpack(reply[4, b]), axis=1)
         known, p = np.zeros(len(e.u), np.int64), np.zeros(len(e.u))
         for b, x, w, k in e.parts():
-            c, *more = unpack(reply[b])
+            c, *more = unpack(reply[0, b])
             t, (seen, *m_r) = np.repeat(np.minimum(c, 1)[:, None], SAMPLES, axis=1), more[SAMPLES:]
             t[c > 1] = np.stack(more[:SAMPLES], axis=1)  # the others have a table for each customer
             seen, parent = all_.word(e.words[w], seen, m_r[:SAMPLES], m_r[SAMPLES:])
             known[x] = np.repeat(seen, k)
-            p[x] = all_.predictive(c.astype(np.int64), t, e.u[x], np.repeat(parent, k, axis=0))
+            p[x] = all_.predictive(c.astype(np.int64), t, context[e.u[x]], np.repeat(parent, k, axis=0))
         size = len(table)
         total = lambda v: np.bincount(e.doc, weights=v[e.entry], minlength=size)
         base = np.log10((known + 0.5) / (all_.tokens + 0.5 * (all_.vocabulary + 1)))
         return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "n_tokens": np.bincount(e.doc, minlength=size), "n_known": total((known > 0).astype(float)).astype(np.int64), "train_tokens": all_.tokens, "base_score": total(base), "score": total(np.log10(p))})
 
-    replies = answers.where("kind = 0").select("pid", "bucket", "blob")
-    return _dealt(rows, groups).groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = answers.where("kind = 0").union(contexts.where("kind = 4")).select("kind", "pid", "bucket", "blob")
+    return dealt.groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:

@@ -437,6 +437,16 @@ def test_totals_add_up(spark, monkeypatch):
     assert got[1000].n_known == 2 and got[1001].n_tokens == got[1002].n_tokens == 1 and got[1001].score == got[1002].score < 0
 
 
+def test_each_word_is_a_context_of_its_own(spark):
+    """Contexts of one follower each: however many words there are, a follower of another context stays improbable."""
+    n = 40_000
+    train = [(k, " ".join(f"a{i} b{i % 50}" for i in range(k, n, 100)), True) for k in range(100)]
+    asked = [(1000, " ".join(f"a{i} b{i % 50}" for i in range(500)), False), (1001, " ".join(f"a{i} b{(i + 7) % 50}" for i in range(500)), False)]
+    got = {x.doc_id: x.score for x in language_model.score(spark.createDataFrame(train + asked, "doc_id long, text string, t boolean"), "t").collect()}
+    assert len(set(language_model.tokens([x for _, x, _ in train])[2].tolist())) == n + 51
+    assert got[1000] > got[1001]
+
+
 def test_without_training(spark):
     got = language_model.score(frame(spark, [(1, "a b"), (2, None)]), "false").orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0), (1, 0, 0)] and all(r.base_score == 0 and r.score == pytest.approx(0) for r in got)
