@@ -1,41 +1,52 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
-Words are dishes. A restaurant for each context, the previous word by its 64-bit hash, shares one parent, whose base
-is uniform over the known words and an unknown one. A dish's customers in a restaurant are the times the word follows
-the context in training; each of their tables is a customer of the parent. Given all other tables, a Gibbs step draws the
-number of tables of a dish from its conditional, in which seatings with as many tables are summed up by generalised
-Stirling numbers. Predictive probabilities are averaged over the last SAMPLES sweeps.
-
-Documents are dealt to groups; a group asks, once for each distinct (word, context), the bucket of that word, which
-counts, samples and answers. Frequent words, found in a bounded sample, are dealt by (word, context), and their totals
-added up after. This concerns routing only: every document is counted. The contexts' totals are added up in buckets of
-contexts, which answer the groups; they don't come to the driver.
+Words are dishes. Every pair of words before a word has its own restaurant, all pairs with the same last word share
+that word's restaurant as their parent, and those share one root, whose base is uniform over the known words and an
+unknown one. A dish's tables in a restaurant are its customers in the parent. A Gibbs step takes a dish's tables out of
+its restaurant and of the parents, and draws how many it has from the conditional, in which seatings with as many tables
+are summed up by generalised Stirling numbers. A sweep draws all dishes from the totals of the sweep before; then all
+totals are exchanged. After BURN_IN sweeps, SAMPLES more are drawn from the same totals, and predictive probabilities
+are averaged over them. Draws are seeded by the words and the sweep, and totals are sums over all of training, so the
+scores depend neither on partitions nor on order.
+
+Tasks ask, once for each distinct (word before that, word before, word) of a chunk of texts, the bucket of the word
+before; a bucket holds whole restaurants and their parents. A frequent word before, found in a bounded sample, is dealt
+by (word before, word), and its restaurants' totals are exchanged like those of the root: this is routing only. Each
+word, and each restaurant so split, has an owner that adds up its totals. Messages are compressed arrays; texts are not
+shuffled, and buckets answer with each document's sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, checkpoint, fold, mixed, pack, partitions, unpack, words_of
+from .common import PIECE, fold, mixed, pack, partitions, trim, unpack, words_of
 
-DISCOUNT, STRENGTH = 0.8, 1.0  # of a context's restaurant
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
-BURN_IN, SAMPLES, SEED = 3, 3, 11
-EXACT = 256  # customers up to which a table count is drawn exactly; more are seated in blocks of an eighth
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+LEAF, MIDDLE, ROOT = (0.8, 0.5), (0.75, 0.5), (0.6, 1.0)  # discount and strength of the restaurants of pairs, of words, of the root
+BURN_IN, SAMPLES, SEED = 4, 3, 11
+EXACT = 512  # customers up to which Stirling numbers come from their table; beyond, from their saddle points
+CHUNK = 12 << 20  # bytes of texts that ask together
+HEAVY = 32  # documents of a chunk from which a bucket answers an entry's probability rather than the documents' sums
 SAMPLE_DOCUMENTS = 2_000
-_SALT = np.uint64(0x2545F4914F6CDD1D)
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_SALT, _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+# what a row holds
+ASK, DOCS, IDS, LISTS, STATE, SUMS, OWN, LOCAL, FRESH, PART, ALL, KNOWN, FINAL, HEAVIES = range(14)
+MESSAGE = "dest long, src long, kind int, blob binary"
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of texts, an end behind each; each token's text; the context: a hash of the token before."""
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts, an end behind each, and each token's text."""
     words, owner, k = [], [], 0
     raws = [(t if isinstance(t, str) else "").encode("utf-8", "surrogatepass") for t in texts]
     while k < len(raws):
@@ -49,48 +60,24 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         owner.append(np.searchsorted(starts, at, side="right") - 1 + first)
     h, doc = (np.concatenate(x) for x in (words, owner)) if words else (np.empty(0, np.uint64), np.empty(0, np.int64))
     n = len(raws)
-    count = np.bincount(doc, minlength=n)
-    ends = np.cumsum(count + 1) - 1
     all_words, all_docs = np.full(len(h) + n, END), np.empty(len(h) + n, np.int64)
     at = np.arange(len(h)) + doc
+    ends = np.cumsum(np.bincount(doc, minlength=n) + 1) - 1
     all_words[at], all_docs[at], all_docs[ends] = h, doc, np.arange(n)
-    before = np.append(START, all_words[:-1])[: len(all_words)]
-    before[ends[:-1] + 1] = START
-    return all_words, all_docs, mixed(before ^ _SALT)
+    return all_words, all_docs
 
 
-def context_parts(contexts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """bucket of contexts, places of those that it holds."""
-    bucket = (mixed(contexts + _SALT) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield b, order[edges[b] : edges[b + 1]]
-
-
-class Entries:
-    """The distinct (word, context) of a group of texts, dealt to buckets: by word, frequent words by both."""
-
-    def __init__(self, texts: list[str | None], train: np.ndarray, hot: np.ndarray, buckets: int):
-        w, self.doc, u = tokens(texts)
-        self.words, word = np.unique(w, return_inverse=True)
-        self.contexts, u = np.unique(u, return_inverse=True)
-        keys, self.entry = np.unique(word << 32 | u, return_inverse=True)
-        self.train = np.bincount(self.entry, weights=train[self.doc], minlength=len(keys)).astype(np.int32)
-        word, self.u = keys >> 32, keys & 0xFFFFFFFF
-        spread = self.words[word] ^ np.where(np.isin(self.words, hot)[word], mixed(self.contexts[self.u] + np.uint64(1)), np.uint64(0))
-        bucket = (mixed(spread + _SALT) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.word = word
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-
-    def parts(self):
-        """bucket, entries, their distinct words, how many entries of each."""
-        for b in range(len(self.edges) - 1):
-            own = self.order[self.edges[b] : self.edges[b + 1]]
-            if len(own):
-                words, n = np.unique(self.word[own], return_counts=True)
-                yield b, own, words, n
+def _before(x: np.ndarray, doc: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each and the one before that, `start` beyond a text's beginning."""
+    one, two = np.append(start, x[:-1])[: len(x)], np.append([start, start], x[:-2])[: len(x)]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(x)])
+    one[first] = two[first] = start
+    second = first + 1
+    two[second[second < len(x)]] = start
+    return one, two
+
+
+# draws
 
 
 @cache
@@ -106,164 +93,482 @@ def _stirling(discount: float) -> np.ndarray:
     return s
 
 
-def draw_tables(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with c customers, each new table weighing `weight`: p(t) ~ S(c, t) weight^t."""
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of positive numbers, by Stirling's series above 8."""
+    x = np.asarray(x, float)
+    shift, y = np.zeros_like(x), x.copy()
+    for _ in range(8):
+        low = y < 8
+        shift = np.where(low, shift + np.log(np.where(low, y, 1.0)), shift)
+        y = np.where(low, y + 1, y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def _saddle(n: float, t: np.ndarray, d: float) -> np.ndarray:
+    """log of n! / (t! d^t) [x^n] (1 - (1 - x)^d)^t at the saddle point, for t below n."""
+    low, high = np.full(len(t), 1e-12), np.full(len(t), 700.0)
+    for _ in range(70):  # s = -log(1 - x)
+        s = (low + high) / 2
+        over = np.log(-np.expm1(-s)) + math.log(d) - s * (d - 1) - np.log(-np.expm1(-d * s)) > np.log(n / t)
+        low, high = np.where(over, low, s), np.where(over, s, high)
+    s = (low + high) / 2
+    x, f = -np.expm1(-s), -np.expm1(-d * s)
+    one = d * np.exp(-s * (d - 1)) / f  # f'/f
+    two = d * (1 - d) * np.exp(-s * (d - 2)) / f
+    spread = t * (x * one + x * x * (two - one * one))
+    return _lgamma(np.array([n + 1.0])) - _lgamma(t + 1) - t * math.log(d) + t * np.log(f) - n * np.log(x) - 0.5 * np.log(2 * math.pi * spread)
+
+
+@cache
+def _saddle_error(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the saddle point misses at EXACT customers, by log t."""
+    t = np.arange(1, EXACT).astype(float)
+    return np.log(t), _saddle(EXACT, t, d) - _stirling(d)[EXACT, 1:EXACT]
+
+
+def stirling_beyond(n: int, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers of more than EXACT customers.
+
+    The saddle point's error depends on t / n^d where it matters, so that it is known from EXACT customers.
+    """
+    t = np.minimum(np.asarray(t, float), n - 1)
+    at, error = _saddle_error(d)
+    x = np.log(t) + d * math.log(EXACT / n)
+    return _saddle(n, t, d) - np.where(x < 0, error[0] + x * (error[1] - error[0]) / at[1], np.interp(x, at, error))
+
+
+def _draw_large(c: int, u: float, a: float, d: float, g: float, h: float, step: int) -> int:
+    """As draw_tables, for one dish of many customers: intervals of counts, then evenly within one."""
+
+    def log_p(t: np.ndarray) -> np.ndarray:
+        more = (t - 1) * math.log(d) + _lgamma(a / d + t) - _lgamma(np.array([a / d + 1]))
+        if step:
+            return stirling_beyond(c, t, d) + more + _lgamma(g + t) - _lgamma(np.array([g + 1.0])) - _lgamma(h + t) + _lgamma(np.array([h + 1.0]))
+        return stirling_beyond(c, t, d) + more + (t - 1) * (math.log(g / h) if g > 0 else -1e9)
+
+    t = np.unique(np.round(np.geomspace(1, c, 256)).astype(np.int64))
+    p = log_p(t.astype(float))
+    some = np.flatnonzero(p > p.max() - 40)
+    low, high = int(t[max(some[0] - 1, 0)]), int(t[min(some[-1] + 1, len(t) - 1)])
+    t = np.unique(np.linspace(low, high, min(513, high - low + 1)).astype(np.int64))
+    p = log_p(t.astype(float))
+    width = np.diff(np.append(t, high + 1))
+    p = np.cumsum(np.exp(p - p.max()) * width)
+    u *= p[-1]
+    k = min(int(np.searchsorted(p, u, side="right")), len(t) - 1)
+    before = p[k - 1] if k else 0.0
+    return int(t[k] + min(width[k] - 1, int(width[k] * (u - before) / (p[k] - before))))
+
+
+def draw_tables(c: np.ndarray, u: np.ndarray, a: np.ndarray, d: float, g: np.ndarray, h: np.ndarray, step: int = 1) -> np.ndarray:
+    """Tables of dishes with c customers, by the even numbers u: p(t) ~ S(c, t) prod (a + d i) (step i + g) / (step i + h)
+    over i from 1 to t - 1: a is the restaurant's strength and tables without this dish's, and the fraction the parent's
+    probability of the dish after i more tables of it."""
     t = np.minimum(c, 1)
-    s, log = _stirling(discount), np.log(np.maximum(weight, 1e-300))
-    small = np.minimum(c, EXACT)
-    order = np.argsort(small, kind="stable")
-    order = order[np.searchsorted(small[order], 2) :]
-    sizes, start = np.unique(small[order], return_index=True)
-    edges = np.append(start, len(order))
+    s = _stirling(d)
+    order = np.argsort(c, kind="stable")
+    order = order[np.searchsorted(c[order], 2) :]
+    end = np.searchsorted(c[order], EXACT, side="right")
+    sizes, start = np.unique(c[order[:end]], return_index=True)
+    edges = np.append(start, end)
     for n, i, j in zip(sizes.tolist(), edges[:-1], edges[1:], strict=True):
-        step = max(1, (1 << 20) // n)
-        for lo in range(i, j, step):
-            x = order[lo : min(j, lo + step)]
-            p = s[n, 1 : n + 1] + log[x, None] * np.arange(1, n + 1)
+        rows = max(1, (1 << 19) // n)
+        for lo in range(i, j, rows):
+            x, k = order[lo : min(j, lo + rows)], np.arange(1, n)
+            with np.errstate(divide="ignore"):
+                p = np.log(a[x, None] + d * k) + np.log(step * k + g[x, None]) - np.log(step * k + h[x, None])
+            p = s[n, 1 : n + 1] + np.concatenate([np.zeros((len(x), 1)), np.cumsum(p, axis=1)], axis=1)
             p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-            t[x] = 1 + (p < (rng.random(len(x)) * p[:, -1])[:, None]).sum(axis=1)
-    x = np.flatnonzero(c > EXACT)
-    n = np.full(len(x), EXACT)
-    while len(x):
-        block = np.minimum(n // 8, c[x] - n)
-        t[x] += rng.binomial(block, weight[x] / (n - discount * t[x] + weight[x]))
-        n = n + block
-        x, n = x[n < c[x]], n[n < c[x]]
+            t[x] = 1 + (p[:, :-1] < (u[x] * p[:, -1])[:, None]).sum(axis=1)
+    for x in order[end:].tolist():
+        t[x] = _draw_large(int(c[x]), float(u[x]), float(a[x]), d, float(g[x]), float(h[x]), step)
     return t
 
 
-def _bucket_function(hot: np.ndarray, buckets: int, vocabulary: float):
-    """Counts and samples the restaurants of a bucket; answers each group, and gives the bucket's totals.
+def even(keys: np.ndarray, sweep: int, level: int) -> np.ndarray:
+    """A number in [0, 1) for each key, sweep and level."""
+    step = np.uint64((4 * sweep + level + 1) * int(_ONE) & (1 << 64) - 1)
+    return (mixed(mixed(keys + np.uint64(SEED)) + step) >> np.uint64(11)).astype(float) * 2.0**-53
 
-    Totals of all buckets are not known yet: this bucket's, times their number, stand for them while sampling. The
-    probabilities later use the true ones.
-    """
 
-    def sample(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng((SEED, int(key[0])))
-        asked = [unpack(b) for b in rows["blob"]]
-        words, which = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
-        place = np.cumsum([0] + [len(x[0]) for x in asked])
-        word_of = [which[i:j] for i, j in zip(place[:-1], place[1:], strict=True)]
-        contexts, u = np.unique(np.concatenate([x[2][x[3]] for x in asked]), return_inverse=True)
-        keys = np.concatenate([np.repeat(w, x[1]) for w, x in zip(word_of, asked, strict=True)]) << 32 | u
-        keys, entry = np.unique(keys, return_inverse=True)
-        c = np.bincount(entry, weights=np.concatenate([x[4] for x in asked]), minlength=len(keys)).astype(np.int64)
-        word, u = keys >> 32, keys & 0xFFFFFFFF
-        scale = np.where(np.isin(words, hot), buckets, 1)
-        known = np.bincount(word, weights=c, minlength=len(words)).astype(np.int64)
-        t, base = np.minimum(c, 1), 1 / (vocabulary + 1)
-        m = np.bincount(word, weights=t, minlength=len(words)).astype(np.int64) * scale
-        r = np.minimum(m, 1)
-        samples = []
-        for sweep in range(BURN_IN + SAMPLES):
-            root = np.where(scale > 1, m / buckets, m).sum() * buckets
-            p = (m - ROOT_DISCOUNT * r + (ROOT_STRENGTH + ROOT_DISCOUNT * r.sum() * buckets) * base) / (ROOT_STRENGTH + root)
-            tables = np.bincount(u, weights=t, minlength=len(contexts)) * buckets
-            t = draw_tables(c, (STRENGTH + DISCOUNT * tables[u]) * p[word], DISCOUNT, rng)
-            own = np.bincount(word, weights=t, minlength=len(words)).astype(np.int64)
-            m = own * scale
-            r = draw_tables(m, np.full(len(m), (ROOT_STRENGTH + ROOT_DISCOUNT * r.sum() * buckets) * base), ROOT_DISCOUNT, rng)
-            if sweep >= BURN_IN:
-                samples.append((t, own, r))
-        out, at = [], 0
-        for group, w, x in zip(rows["pid"], word_of, asked, strict=True):
-            e = entry[at : at + len(x[3])]
-            at += len(x[3])
-            out.append((0, group, key[0], pack(c[e].astype(np.int32), *(s[0][e][c[e] > 1].astype(np.int32) for s in samples), known[w].astype(np.int64), *(s[k][w].astype(np.int64) for k in (1, 2) for s in samples)), 0, None))
-        per = [np.bincount(u, weights=x, minlength=len(contexts)).astype(np.int64) for x in (c, *(s[0] for s in samples))]
-        trained = np.flatnonzero(per[0])
-        out += [(1, 0, 0, pack(contexts[trained[x]], *(v[trained[x]] for v in per)), b, None) for b, x in context_parts(contexts[trained], buckets)]
-        split = scale > 1
-        out += [(2, 0, 0, None, int(words[k].view(np.int64)), [int(known[k]), *(int(s[1][k]) for s in samples)]) for k in np.flatnonzero(split & (known > 0)).tolist()]
-        out.append((3, 0, 0, None, 0, [int(known.sum()), int((known[~split] > 0).sum()), *(int(s[1].sum()) for s in samples), *(int(s[2][~split].sum()) for s in samples)]))
-        return pd.DataFrame(out, columns=["kind", "pid", "bucket", "blob", "id", "v"])
-
-    return sample
-
-
-class Totals:
-    """What all buckets give together: bounded by the buckets and the frequent words."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.classes = np.array([v for kind, v in zip(rows["kind"], rows["v"], strict=True) if kind == 1], np.int64).reshape(-1, 1 + SAMPLES)  # of each bucket of contexts
-        all_ = np.zeros(2 + 2 * SAMPLES, np.int64)
-        found = {}
-        for kind, k, v in zip(rows["kind"], rows["id"], rows["v"], strict=True):
-            if kind == 2:
-                found[k] = v
-            elif kind == 3:
-                all_ = np.array(v, np.int64)
-        self.hot = np.array(sorted(found), np.int64).view(np.uint64)
-        order = np.argsort(self.hot)
-        self.hot_counts = np.array([found[k] for k in sorted(found)], np.int64).reshape(len(found), 1 + SAMPLES)[order]
-        self.hot = self.hot[order]
-        self.tokens, self.vocabulary = int(all_[0]), int(all_[1]) + len(found)
-        self.customers, tables = all_[2 : 2 + SAMPLES], all_[2 + SAMPLES :]
-        self.base = 1 / (self.vocabulary + 1)
-        rng = np.random.default_rng(SEED)
-        self.hot_tables = np.stack([draw_tables(self.hot_counts[:, 1 + s], np.full(len(self.hot), (ROOT_STRENGTH + ROOT_DISCOUNT * tables[s]) * self.base), ROOT_DISCOUNT, rng) for s in range(SAMPLES)], axis=1) if len(found) else np.empty((0, SAMPLES), np.int64)
-        self.tables = tables + self.hot_tables.sum(axis=0)
-
-    def word(self, words: np.ndarray, known: np.ndarray, customers: list[np.ndarray], tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of words, and their probabilities in the parent for each sample."""
-        m, r = np.stack(customers, axis=1).astype(np.int64), np.stack(tables, axis=1).astype(np.int64)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
-            own = self.hot[at] == words
-            known = np.where(own, self.hot_counts[at, 0], known)
-            m, r = np.where(own[:, None], self.hot_counts[at, 1:], m), np.where(own[:, None], self.hot_tables[at], r)
-        return known, (m - ROOT_DISCOUNT * r + (ROOT_STRENGTH + ROOT_DISCOUNT * self.tables) * self.base) / (ROOT_STRENGTH + self.customers)
-
-    def predictive(self, c: np.ndarray, t: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Mean over samples; t and p have a column for each, context has the customers of it before."""
-        seen, tables = context[:, :1], context[:, 1:]
-        return ((c[:, None] - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * p) / (STRENGTH + seen)).mean(axis=1)
-
-
-def _contexts(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Adds up the totals of a bucket's contexts, and answers each group; gives the sums of all, too."""
-    given = [unpack(b) for b in rows["blob"]]
-    contexts, which = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[0] for x in given)]), return_inverse=True)
-    # a last row for contexts without training
-    totals = np.stack([np.bincount(which, weights=np.concatenate([np.empty(0), *(x[k] for x in given)]), minlength=len(contexts) + 1) for k in range(1, 2 + SAMPLES)], axis=1).astype(np.int64)
-    out = [(1, 0, 0, None, key[0], totals.sum(axis=0).tolist())]
-    for group, blob in zip(asked["pid"], asked["blob"], strict=True):
-        (own,) = unpack(blob)
-        at = np.searchsorted(contexts, own)
-        at[np.append(contexts, np.uint64(0))[at] != own] = len(contexts)
-        out.append((4, group, key[0], pack(*totals[at].T.copy()), 0, None))
-    return pd.DataFrame(out, columns=["kind", "pid", "bucket", "blob", "id", "v"])
-
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"kind": rows["kind"].iloc[:1], "id": rows["id"].iloc[:1], "v": [np.sum(np.stack(list(rows["v"])), axis=0)]})
-
-
-def _dealt(rows: DataFrame, groups: int) -> DataFrame:
-    """pid, blob: rows (doc_id, text, train) of each group, compressed, as they leave their task."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
-        for batch in batches:
-            pid = batch.column("pid").to_numpy()
-            order = np.argsort(pid, kind="stable")
-            found, start = np.unique(pid[order], return_index=True)
-            blobs = []
-            edges = np.append(start, len(order))
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                own = batch.take(pa.array(order[i:j])).select(["doc_id", "text", "train"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=options) as writer:
-                    writer.write_batch(own)
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["pid", "blob"])
+def pair_key(first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first + _ONE) ^ word)
+
 
-    return rows.withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).mapInArrow(deal, "pid long, blob binary")
+def leaf_key(second: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(second + _TWO) ^ pair_key(first, word))
 
 
-def _opened(blobs: pd.Series) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
+# asking
+
+
+def _edges(owner: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """owner, first and last place of each run of a sorted array of owners."""
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+    return list(zip(owner[at].tolist(), at.tolist(), np.append(at[1:], len(owner)).tolist(), strict=True))
+
+
+def asks(texts: list[str | None], train: np.ndarray, hot: np.ndarray, n: int, chunk: int) -> list[tuple]:
+    """What a chunk of texts asks each bucket, and what it keeps for itself: tokens of each text, entries in many texts."""
+    w, doc = tokens(texts)
+    words, x = np.unique(np.append(w, START), return_inverse=True)
+    start, x = int(x[-1]), x[:-1]
+    one, two = _before(x, doc, start)
+    if len(words) < 1 << 21:
+        order = np.argsort(one.astype(np.uint64) << np.uint64(42) | (x << 21 | two).astype(np.uint64), kind="stable")
+    else:
+        order = np.lexsort((two, x, one))
+    one, x, two, doc_of = one[order], x[order], two[order], doc[order]
+    entry = np.append(True, (one[1:] != one[:-1]) | (x[1:] != x[:-1]) | (two[1:] != two[:-1]))[: len(x)]
+    place = np.flatnonzero(entry | np.append(True, doc_of[1:] != doc_of[:-1])[: len(x)])
+    pair_entry, pair_doc, pair_n = (np.cumsum(entry) - 1)[place], doc_of[place], np.diff(np.append(place, len(x)))
+    at = np.flatnonzero(entry)
+    one, x, two = one[at], x[at], two[at]
+    c = np.bincount(pair_entry, weights=pair_n * train[pair_doc], minlength=len(at)).astype(np.int32)
+    many = np.bincount(pair_entry, minlength=len(at)).astype(np.int32)
+    heavy = many >= HEAVY
+    spread = words[one] ^ np.where(np.isin(words, hot)[one], mixed(words[x] + np.uint64(1)), np.uint64(0))
+    bucket = (mixed(spread + _SALT) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    by_pair = np.argsort(bucket[pair_entry], kind="stable")
+    light = by_pair[~heavy[pair_entry[by_pair]]]
+    lights = np.searchsorted(bucket[pair_entry[light]], np.arange(n + 1)) if n < len(light) else None
+    out = []
+    for b, i, j in _edges(bucket[order], n):
+        own = order[i:j]
+        loc, idx = np.unique(np.concatenate([one[own], x[own], two[own]]), return_inverse=True)
+        a, e, f = idx.astype(np.int32).reshape(3, -1)
+        if lights is None:
+            lo, hi = np.searchsorted(bucket[pair_entry[light]], [b, b + 1])
+        else:
+            lo, hi = lights[b], lights[b + 1]
+        pairs = light[lo:hi]
+        out.append((b, chunk, ASK, pack(words[loc], np.diff(a, prepend=0).astype(np.int32), e, f, c[own], np.where(heavy[own], 0, many[own]).astype(np.int32), pair_doc[pairs].astype(np.int32), pair_n[pairs].astype(np.int32))))
+    dense = by_pair[heavy[pair_entry[by_pair]]]
+    home = int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(n))
+    out.append((home, chunk, DOCS, pack(np.bincount(doc, minlength=len(texts)).astype(np.int64), many[order[heavy[order]]], pair_doc[dense].astype(np.int32), pair_n[dense].astype(np.int32))))
+    return out
+
+
+def _asker(hot: np.ndarray, n: int, schema: pa.Schema):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, size, k = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def flush():
+            nonlocal held, size, k
+            table = pa.Table.from_batches(held)
+            rows = asks(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n, base + k)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([table.schema.field("doc_id")]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.select(["doc_id"]))
+            rows.append((rows[-1][0], base + k, IDS, sink.getvalue().to_pybytes()))
+            held, size, k = [], 0, k + 1
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            lo = 0
+            while lo < len(lengths):
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(lengths[lo:]) + size, CHUNK, side="right")))
+                held.append(batch.slice(lo, hi - lo))
+                size += int(lengths[lo:hi].sum())
+                lo = hi
+                if size >= CHUNK or lo < len(lengths):
+                    yield from flush()
+        if held:
+            yield from flush()
+        trim()
+
+    return ask
+
+
+# buckets
+
+
+class Bucket:
+    """The restaurants of a bucket: leaves (second, first, word), their pairs (first, word), words."""
+
+    def __init__(self, rows: pd.DataFrame, hot: np.ndarray, n: int):
+        rows = rows[rows["kind"] == ASK].sort_values("src")
+        parts = [unpack(b) for b in rows["blob"]]
+        cat = lambda k, t: np.concatenate([np.empty(0, t), *(p[k] for p in parts)])
+        self.chunks = list(zip(rows["src"].tolist(), [len(p[1]) for p in parts], [len(p[6]) for p in parts], strict=True))
+        self.words = np.unique(cat(0, np.uint64))
+        at = [np.searchsorted(self.words, p[0]) for p in parts]
+        one, word, two = (np.concatenate([np.empty(0, np.int64), *(x[np.cumsum(p[k]) if k == 1 else p[k]] for x, p in zip(at, parts, strict=True))]) for k in (1, 2, 3))
+        pairs, inverse = np.unique(one << 32 | word, return_inverse=True)
+        leaves, self.leaf_of = np.unique(inverse << 32 | two, return_inverse=True)
+        del one, word, two, inverse
+        self.c = np.bincount(self.leaf_of, weights=cat(4, np.int32), minlength=len(leaves)).astype(np.int64)
+        self.many, self.pair_doc, self.pair_n = cat(5, np.int32), cat(6, np.int32), cat(7, np.int32)
+        self.pair_of, self.second = leaves >> 32, leaves & 0xFFFFFFFF
+        self.first, self.word = pairs >> 32, pairs & 0xFFFFFFFF
+        left, self.left_of = np.unique(self.first[self.pair_of] << 32 | self.second, return_inverse=True)
+        self.c2 = np.bincount(self.left_of, weights=self.c, minlength=len(left)).astype(np.int64)
+        used = np.zeros((2, len(self.words)), bool)
+        used[0, self.word] = used[1, self.first] = True
+        split = np.isin(self.words, hot)
+        self.lists = []  # what is shared with owners: places and keys, by owner and key
+        for places, keys in (
+            (x := np.flatnonzero(used[0]), self.words[x]),
+            (x := np.flatnonzero(used[1] & split), self.words[x]),
+            (x := np.flatnonzero(split[left >> 32]), mixed(mixed(self.words[left[x] & 0xFFFFFFFF] + _TWO) ^ self.words[left[x] >> 32])),
+        ):
+            owner = (mixed(keys ^ _SALT) % np.uint64(n)).astype(np.int64)
+            order = np.lexsort((keys, owner))
+            self.lists.append((places[order], keys[order], owner[order]))
+        self.owners = np.unique(np.concatenate([o for *_, o in self.lists]))
+        self.cuts = [np.searchsorted(o, np.append(self.owners, n)) for *_, o in self.lists]
+
+    def totals(self, t2: np.ndarray, t1: np.ndarray) -> dict:
+        """k of pairs, K and T1 of words before, T2 of their pairs, m of words: those of this bucket."""
+        total = lambda of, v, size: np.bincount(of, weights=v, minlength=size).astype(np.int64)
+        k = total(self.pair_of, t2, len(self.first))
+        return {"k": k, "K": total(self.first, k, len(self.words)), "T1": total(self.first, t1, len(self.words)), "T2": total(self.left_of, t2, len(self.c2)), "m": total(self.word, t1, len(self.words))}
+
+    def shared(self, sums: dict) -> list[np.ndarray]:
+        words, ones, twos = (places for places, *_ in self.lists)
+        return [sums["m"][words], sums["K"][ones], sums["T1"][ones], sums["T2"][twos]]
+
+    def dealt(self, arrays: list[tuple[int, np.ndarray]], me: int, kind: int) -> list[tuple]:
+        """Rows for the owners: arrays with the number of their list, cut."""
+        return [(o, me, kind, pack(*(v[self.cuts[k][i] : self.cuts[k][i + 1]] for k, v in arrays))) for i, o in enumerate(self.owners.tolist())]
+
+    def replied(self, rows: pd.DataFrame, lists: list[int]) -> list[np.ndarray]:
+        """The owners' answers put together again."""
+        rows = rows[rows["kind"] == OWN].sort_values("src")
+        parts = [unpack(b) for b in rows["blob"]]
+        return [np.concatenate([np.empty(0, np.int64), *(p[k] for p in parts)]) for k in range(len(lists))]
+
+    def with_replies(self, sums: dict, replies: list[np.ndarray]) -> dict:
+        words, ones, twos = (places for places, *_ in self.lists)
+        out = sums | {"r": np.zeros(len(self.words), np.int64)}
+        for name, places, values in zip(("m", "r", "K", "T1", "T2"), (words, words, ones, ones, twos), replies, strict=True):
+            out[name][places] = values
+        return out
+
+
+SETS = [0, 0, 1, 1, 2]  # the lists of m, r, K, T1, T2
+
+
+def sweep(b: Bucket, t2: np.ndarray, t1: np.ndarray, x: dict, M: int, R: int, V: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Draws all tables anew from totals x that hold t2 and t1. Without a vocabulary V, the base counts for nothing."""
+    (d2, s2), (d1, s1), (d0, s0) = LEAF, MIDDLE, ROOT
+    base = 1 / (V + 1) if V else 0.0
+    own = np.flatnonzero(b.c > 1)
+    pair = b.pair_of[own]
+    first, word, t = b.first[pair], b.word[pair], t2[own]
+    k = x["k"][pair] - t
+    kept = np.maximum(np.minimum(t1[pair], k), 1)
+    moved = kept - t1[pair]
+    m = x["m"][word] + moved
+    r = np.minimum(x["r"][word], m)
+    p = (m - d0 * r + (s0 + d0 * (R - x["r"][word] + r)) * base) / (s0 + M + moved)
+    new2 = np.minimum(b.c, 1)
+    new2[own] = draw_tables(b.c[own], even(leaf_key(b.words[b.second[own]], b.words[first], b.words[word]), number, 2), s2 + d2 * (x["T2"][b.left_of[own]] - t), d2, k - d1 * kept + (s1 + d1 * (x["T1"][first] + moved)) * p, s1 + x["K"][first] - t)
+    k = np.bincount(b.pair_of, weights=new2, minlength=len(b.first)).astype(np.int64)
+    own = np.flatnonzero(k > 1)
+    first, word, t = b.first[own], b.word[own], t1[own]
+    m = x["m"][word] - t
+    r = np.maximum(np.minimum(x["r"][word], m), 1)
+    new1 = np.minimum(k, 1)
+    new1[own] = draw_tables(k[own], even(pair_key(b.words[first], b.words[word]), number, 1), s1 + d1 * (x["T1"][first] - t), d1, m - d0 * r + (s0 + d0 * (R - x["r"][word] + r)) * base, s0 + M - t)
+    return new2, new1
+
+
+def _one(rows: pd.DataFrame, kind: int) -> list[np.ndarray]:
+    found = rows.loc[rows["kind"] == kind, "blob"]
+    return unpack(found.iloc[0]) if len(found) else []
+
+
+def _lister(hot: np.ndarray, n: int):
+    """A bucket's first word to the owners: keys, training counts and the tables it begins with."""
+
+    def start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(rows, hot, n)
+        t2 = np.minimum(b.c, 1)
+        t1 = np.minimum(np.bincount(b.pair_of, weights=t2, minlength=len(b.first)).astype(np.int64), 1)
+        known = np.bincount(b.word, weights=np.bincount(b.pair_of, weights=b.c, minlength=len(b.first)), minlength=len(b.words)).astype(np.int64)
+        (words, wk, _), (ones, ok, _), (twos, tk, _) = b.lists
+        m, K, T1, T2 = b.shared(b.totals(t2, t1))
+        out = b.dealt([(0, wk), (0, known[words]), (0, m), (1, ok), (1, K), (1, T1), (2, tk), (2, b.c2[twos]), (2, T2)], key[0], LISTS)
+        out.append((0, key[0], SUMS, pack(np.array([b.c.sum(), t1.sum()], np.int64))))
+        return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
+
+    return start
+
+
+def _sweeper(hot: np.ndarray, n: int, number: int, samples: int):
+    """One sweep of a bucket, or several from the same totals."""
+
+    def step(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        me, b = key[0], Bucket(asked, hot, n)
+        t2, t1 = np.minimum(b.c, 1), None
+        state = _one(rows, STATE)
+        if state:
+            t2[b.c > 1] = state[0]
+        k = np.bincount(b.pair_of, weights=t2, minlength=len(b.first)).astype(np.int64)
+        t1 = np.minimum(k, 1)
+        if state:
+            t1[k > 1] = state[1]
+        x = b.with_replies(b.totals(t2, t1), b.replied(rows, SETS))
+        (all_,) = _one(rows, ALL)
+        M, _, V, R = all_.tolist()
+        drawn = [sweep(b, t2, t1, x, M, R, V, number + s) for s in range(samples)]
+        sums = [b.totals(*d) for d in drawn]
+        out = b.dealt([(k, v) for s in sums for k, v in zip((0, 1, 1, 2), b.shared(s), strict=True)], me, LOCAL)
+        out.append((me, me, STATE, pack(*(v for (d2, d1), s in zip(drawn, sums, strict=True) for v in (d2[b.c > 1].astype(np.int32), d1[s["k"] > 1].astype(np.int32))))))
+        out.append((0, me, SUMS, pack(np.array([b.c.sum(), *(d1.sum() for _, d1 in drawn)], np.int64))))
+        out.append((me, me, KNOWN, pack(np.array([V, R], np.int64))))
+        out += [(me, me, FINAL, v) for v in rows.loc[rows["kind"] == FINAL, "blob"]]  # the owner's own state
+        parts = rows.loc[rows["kind"] == PART, "blob"]
+        if len(parts):
+            out.append((0, me, FRESH, pack(np.sum([unpack(p)[0] for p in parts], axis=0))))
+        return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
+
+    return step
+
+
+# owners
+
+
+def _owner(n: int, number: int, samples: int, last: bool):
+    """Adds up the totals of an owner's words and split restaurants, draws the root's tables, and answers the buckets."""
+
+    def own(key: tuple, lists: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        me = key[0]
+        listed = lists[lists["kind"] == LISTS].sort_values("src")
+        parts = {s: unpack(v) for s, v in zip(listed["src"].tolist(), listed["blob"], strict=True)}
+        cat = lambda k, t=np.int64: np.concatenate([np.empty(0, t), *(p[k] for p in parts.values())])
+        merged = [np.unique(cat(k, np.uint64), return_inverse=True) for k in (0, 3, 6)]
+        add = lambda of, v: np.bincount(merged[of][1], weights=v, minlength=len(merged[of][0])).astype(np.int64)
+        counts = [add(0, cat(1)), add(2, cat(7))]
+        words = merged[0][0]
+        if number:
+            local = rows[rows["kind"] == LOCAL]
+            by = {s: unpack(v) for s, v in zip(local["src"].tolist(), local["blob"], strict=True)}
+            given = [[np.concatenate([np.empty(0, np.int64), *(by[s][4 * j + k] for s in parts)]) for k in range(4)] for j in range(samples)]
+        else:
+            given = [[cat(2), cat(4), cat(5), cat(8)]]
+        known, old = _one(rows, KNOWN), _one(rows, FINAL)
+        V, R = known[0].tolist() if known else (0, 0)
+        answers, tables = [], []
+        for j, (m, K, T1, T2) in enumerate(given):
+            m, r = add(0, m), np.minimum(add(0, m), 1)
+            if V and old:
+                d, s = ROOT
+                some = np.flatnonzero(m > 1)
+                even_ = even(words[some], number + j, 0)
+                one = np.ones(len(some))
+                r[some] = draw_tables(m[some], even_, s + d * np.maximum(R - old[0][some], 0), d, one / (V + 1), one, step=0)
+            answers.append([(0, m), (0, r), (1, add(1, K)), (1, add(1, T1)), (2, add(2, T2))])
+            tables.append(r)
+        flat = [v for a in answers for v in a] + ([(0, counts[0]), (2, counts[1])] if last else [])
+        spread = [(k, v[merged[k][1]]) for k, v in flat]
+        cuts = [np.cumsum([0] + [len(p[k]) for p in parts.values()]) for k in (0, 3, 6)]
+        out = [(s, me, OWN, pack(*(v[cuts[k][i] : cuts[k][i + 1]] for k, v in spread))) for i, s in enumerate(parts)]
+        out.append((0, me, PART, pack(np.array([(counts[0] > 0).sum(), *(r.sum() for r in tables)], np.int64))))
+        out.append((me, me, FINAL, pack(tables[0].astype(np.int32))))
+        out += [(me, me, STATE, v) for v in rows.loc[rows["kind"] == STATE, "blob"]]
+        sums = pd.concat([lists, rows])
+        sums = sums.loc[sums["kind"] == SUMS] if not number else rows.loc[rows["kind"] == SUMS]
+        if me == 0:
+            total = np.sum([unpack(v)[0] for v in sums["blob"]], axis=0)
+            fresh = _one(rows, FRESH)
+            V, *R = fresh[0].tolist() if fresh else (0, 0)
+            all_ = pack(np.array([*total[1:], total[0], V, R[0]], np.int64))
+            out += [(b, me, ALL, all_) for b in range(n)]
+        return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
+
+    return own
+
+
+def _relay(n: int):
+    """Hands the last answers on, and to all buckets the sum of all owners' tables."""
+
+    def relay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(key[0], s, k, v) for s, k, v in zip(rows["src"], rows["kind"], rows["blob"], strict=True) if k in (OWN, STATE, ALL)]
+        parts = rows.loc[rows["kind"] == PART, "blob"]
+        if key[0] == 0:
+            total = pack(np.sum([unpack(p)[0] for p in parts], axis=0))
+            out += [(b, 0, PART, total) for b in range(n)]
+        return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
+
+    return relay
+
+
+# scores
+
+
+def probabilities(b: Bucket, drawn: list, sums: list[dict], c2: np.ndarray, M: list[int], R: list[int], V: int) -> np.ndarray:
+    """The mean predictive probability of each leaf's word."""
+    (d2, s2), (d1, s1), (d0, s0) = LEAF, MIDDLE, ROOT
+    base, out = 1 / (V + 1), np.zeros(len(b.c))
+    for (t2, t1), x, M_, R_ in zip(drawn, sums, M, R, strict=True):
+        p = (x["m"] - d0 * x["r"] + (s0 + d0 * R_) * base) / (s0 + M_)
+        p = (x["k"] - d1 * t1 + (s1 + d1 * x["T1"][b.first]) * p[b.word]) / (s1 + x["K"][b.first])
+        out += (b.c - d2 * t2 + (s2 + d2 * x["T2"][b.left_of]) * p[b.pair_of]) / (s2 + c2[b.left_of])
+    return out / len(drawn)
+
+
+def _answerer(hot: np.ndarray, n: int):
+    """Each chunk's sums over this bucket's tokens, by document; for entries in many documents, theirs."""
+
+    def answer(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        me = key[0]
+        out = [(s, me, k, v) for s, k, v in zip(asked["src"], asked["kind"], asked["blob"], strict=True) if k in (DOCS, IDS)]
+        if (asked["kind"] == ASK).any():
+            b = Bucket(asked, hot, n)
+            state = _one(rows, STATE)
+            replies = b.replied(rows, SETS * SAMPLES + [0, 2])
+            drawn, sums = [], []
+            for s in range(SAMPLES):
+                t2 = np.minimum(b.c, 1)
+                t2[b.c > 1] = state[2 * s]
+                k = np.bincount(b.pair_of, weights=t2, minlength=len(b.first)).astype(np.int64)
+                t1 = np.minimum(k, 1)
+                t1[k > 1] = state[2 * s + 1]
+                drawn.append((t2, t1))
+                sums.append(b.with_replies(b.totals(t2, t1), replies[5 * s : 5 * s + 5]))
+            known, c2 = np.zeros(len(b.words), np.int64), b.c2.copy()
+            known[b.lists[0][0]], c2[b.lists[2][0]] = replies[-2:]
+            ((*M, N, _, _),), ((V, *R),) = ([v.tolist() for v in _one(rows, kind)] for kind in (ALL, PART))
+            score = np.log10(probabilities(b, drawn, sums, c2, M, R, V))[b.leaf_of]
+            known = known[b.word[b.pair_of]][b.leaf_of]
+            base = np.log10((known + 0.5) / (N + 0.5 * (V + 1)))
+            at = at_pair = 0
+            for chunk, entries, pairs in b.chunks:
+                e, q = slice(at, at + entries), slice(at_pair, at_pair + pairs)
+                at, at_pair = at + entries, at_pair + pairs
+                which, times = np.repeat(np.arange(entries), b.many[e]), b.pair_n[q]
+                docs, of = np.unique(b.pair_doc[q], return_inverse=True)
+                add = lambda v: np.bincount(of, weights=v[which] * times, minlength=len(docs))  # noqa: B023, E731
+                out.append((chunk, me, SUMS, pack(np.diff(docs, prepend=0).astype(np.int32), add(known[e] > 0).astype(np.int32), add(base[e]), add(score[e]))))
+                heavy = np.flatnonzero(b.many[e] == 0) + e.start
+                if len(heavy):
+                    out.append((chunk, me, HEAVIES, pack((known[heavy] > 0).astype(np.int32), base[heavy], score[heavy])))
+            ids = np.array([N], np.int64)
+            out += [(s, me, ALL, pack(ids)) for s in sorted({c for c, *_ in b.chunks})]
+        return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
+
+    return answer
+
+
+def _collect(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's documents with the sums of all buckets."""
+    size, many, pair_doc, pair_n = _one(rows, DOCS)
+    (trained,) = _one(rows, ALL)
+    total = np.zeros((3, len(size)))
+    for kind, blob in rows.loc[rows["kind"] == SUMS, ["src", "blob"]].sort_values("src").itertuples(index=False):
+        docs, *values = unpack(blob)
+        total[:, np.cumsum(docs)] += np.stack(values)
+    heavies = [unpack(v) for v in rows[rows["kind"] == HEAVIES].sort_values("src")["blob"]]
+    if heavies:
+        of = np.repeat(np.arange(len(many)), many)
+        for k in range(3):
+            total[k] += np.bincount(pair_doc, weights=np.concatenate([h[k] for h in heavies])[of] * pair_n, minlength=len(size))
+    ids = pa.ipc.open_stream(rows.loc[rows["kind"] == IDS, "blob"].iloc[0]).read_all()["doc_id"]
+    return pd.DataFrame({"doc_id": ids.to_pandas(), "n_tokens": size, "n_known": total[0].round().astype(np.int64), "train_tokens": int(trained[0]), "base_score": total[1], "score": total[2]})
 
 
 def _frequent(rows: DataFrame, buckets: int) -> np.ndarray:
@@ -287,61 +592,34 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
 
     `train` is SQL for the rows to learn from, over docs' columns; null counts as false. A null or empty text is its end
     alone. Repeated rows are counted and scored each. Without training rows every token has the base's probability.
-    Perplexity is 10 ** (-score / n_tokens).
+    Perplexity is 10 ** (-score / n_tokens). Memory is bounded by a chunk of texts or the longest, and by a bucket's
+    entries.
     """
-    spark = docs.sparkSession
-    n, groups = partitions(spark), 2 * partitions(spark)
+    n = partitions(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     hot = _frequent(rows, n)
-
-    def ask(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        table = _opened(own["blob"])
-        e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
-        out = []
-        for b, x, w, k in e.parts():
-            u, which = np.unique(e.u[x], return_inverse=True)
-            out.append((key[0], b, pack(e.words[w], k.astype(np.int32), e.contexts[u], which.astype(np.int32), e.train[x])))
-        return pd.DataFrame(out, columns=["pid", "bucket", "blob"])
-
-    def ask_contexts(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        contexts = np.unique(tokens(_opened(own["blob"])["text"].to_pylist())[2])
-        return pd.DataFrame([(key[0], b, pack(contexts[x])) for b, x in context_parts(contexts, n)], columns=["pid", "bucket", "blob"])
-
-    answer_type = "kind int, pid long, bucket long, blob binary, id long, v array<long>"
-    dealt = _dealt(rows, groups)
-    asked = dealt.groupBy("pid").applyInPandas(ask, "pid long, bucket long, blob binary")
-    answers = checkpoint(asked.groupBy("bucket").applyInPandas(_bucket_function(hot, n, 1e6), answer_type))
-    asked = dealt.groupBy("pid").applyInPandas(ask_contexts, "pid long, bucket long, blob binary")
-    contexts = checkpoint(answers.where("kind = 1").select("id", "blob").groupBy("id").cogroup(asked.groupBy("bucket")).applyInPandas(_contexts, answer_type))
-    totals = Totals(answers.where("kind > 1").union(contexts.where("kind = 1")).select("kind", "id", "v").groupBy("kind", "id").applyInPandas(_summed, "kind int, id long, v array<long>").toPandas())
-    shared = spark.sparkContext.broadcast(totals)
-
-    def answer(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        all_ = shared.value
-        table = _opened(own["blob"])
-        e = Entries(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n)
-        reply = {(kind, b): blob for kind, b, blob in zip(replies["kind"], replies["bucket"], replies["blob"], strict=True)}
-        context = np.zeros((len(e.contexts), 1 + SAMPLES), np.int64)
-        for b, x in context_parts(e.contexts, n):
-            context[x] = np.stack(unpack(reply[4, b]), axis=1)
-        known, p = np.zeros(len(e.u), np.int64), np.zeros(len(e.u))
-        for b, x, w, k in e.parts():
-            c, *more = unpack(reply[0, b])
-            t, (seen, *m_r) = np.repeat(np.minimum(c, 1)[:, None], SAMPLES, axis=1), more[SAMPLES:]
-            t[c > 1] = np.stack(more[:SAMPLES], axis=1)  # the others have a table for each customer
-            seen, parent = all_.word(e.words[w], seen, m_r[:SAMPLES], m_r[SAMPLES:])
-            known[x] = np.repeat(seen, k)
-            p[x] = all_.predictive(c.astype(np.int64), t, context[e.u[x]], np.repeat(parent, k, axis=0))
-        size = len(table)
-        total = lambda v: np.bincount(e.doc, weights=v[e.entry], minlength=size)
-        base = np.log10((known + 0.5) / (all_.tokens + 0.5 * (all_.vocabulary + 1)))
-        return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "n_tokens": np.bincount(e.doc, minlength=size), "n_known": total((known > 0).astype(float)).astype(np.int64), "train_tokens": all_.tokens, "base_score": total(base), "score": total(np.log10(p))})
-
-    replies = answers.where("kind = 0").union(contexts.where("kind = 4")).select("kind", "pid", "bucket", "blob")
-    return dealt.groupBy("pid").cogroup(replies.groupBy("pid")).applyInPandas(answer, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+    asked = rows.mapInArrow(_asker(hot, n, schema), MESSAGE).groupBy("dest")
+    lists = asked.applyInPandas(_lister(hot, n), MESSAGE).groupBy("dest")
+    answers = lists.applyInPandas(_first(n), MESSAGE)
+    for number in range(1, BURN_IN + 2):
+        last = number > BURN_IN
+        samples = SAMPLES if last else 1
+        given = asked.cogroup(answers.groupBy("dest")).applyInPandas(_sweeper(hot, n, number, samples), MESSAGE)
+        answers = lists.cogroup(given.groupBy("dest")).applyInPandas(_owner(n, number, samples, last), MESSAGE)
+    answers = answers.groupBy("dest").applyInPandas(_relay(n), MESSAGE)
+    sums = asked.cogroup(answers.groupBy("dest")).applyInPandas(_answerer(hot, n), MESSAGE)
+    return sums.groupBy("dest").applyInPandas(_collect, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _first(n: int):
+    own = _owner(n, 0, 1, False)
+
+    def first(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
+        return own(key, lists, lists.iloc[:0])
+
+    return first
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
