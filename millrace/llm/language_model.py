@@ -35,13 +35,13 @@ from .common import PIECE, fold, mixed, pack, partitions, trim, unpack, words_of
 LEAF, MIDDLE, ROOT = (0.8, 0.5), (0.75, 0.5), (0.6, 1.0)  # discount and strength of the restaurants of pairs, of words, of the root
 BURN_IN, SAMPLES, SEED = 4, 3, 11
 EXACT = 512  # customers up to which Stirling numbers come from their table; beyond, from their saddle points
-CHUNK = 12 << 20  # bytes of texts that ask together
+CHUNK = 16 << 20  # bytes of texts that ask together
 HEAVY = 32  # documents of a chunk from which a bucket answers an entry's probability rather than the documents' sums
-SAMPLE_DOCUMENTS = 2_000
+SAMPLE_DOCUMENTS, COMMON = 2_000, 1 << 15  # words are coded, and frequent ones dealt, by what a sample shows
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT, _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 # what a row holds
-ASK, DOCS, IDS, LISTS, STATE, SUMS, OWN, LOCAL, FRESH, PART, ALL, KNOWN, FINAL, HEAVIES = range(14)
+ASK, DOCS, IDS, LISTS, STATE, SUMS, OWN, LOCAL, FRESH, PART, ALL, KNOWN, FINAL, HEAVIES, CORE = range(15)
 MESSAGE = "dest long, src long, kind int, blob binary"
 
 
@@ -202,62 +202,94 @@ def leaf_key(second: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndar
 # asking
 
 
-def _edges(owner: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+def _edges(owner: np.ndarray) -> list[tuple[int, int, int]]:
     """owner, first and last place of each run of a sorted array of owners."""
     at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
     return list(zip(owner[at].tolist(), at.tolist(), np.append(at[1:], len(owner)).tolist(), strict=True))
 
 
-def asks(texts: list[str | None], train: np.ndarray, hot: np.ndarray, n: int, chunk: int) -> list[tuple]:
+class Coder:
+    """Words as numbers: frequent ones, `common`, by their rank in a sample, others by their place in a list of their own."""
+
+    def __init__(self, common: np.ndarray):
+        self.common, self.size = common, len(common)
+        self.rank = np.argsort(common, kind="stable")
+        self.ordered = common[self.rank]
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """-1 for words that are not frequent."""
+        if not self.size:
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.ordered, words), self.size - 1)
+        return np.where(self.ordered[at] == words, self.rank[at], -1)
+
+
+def asks(texts: list[str | None], train: np.ndarray, coder: Coder, hot: np.ndarray, n: int, chunk: int, heavy_from: int) -> list[tuple]:
     """What a chunk of texts asks each bucket, and what it keeps for itself: tokens of each text, entries in many texts."""
     w, doc = tokens(texts)
     words, x = np.unique(np.append(w, START), return_inverse=True)
     start, x = int(x[-1]), x[:-1]
     one, two = _before(x, doc, start)
     if len(words) < 1 << 21:
-        order = np.argsort(one.astype(np.uint64) << np.uint64(42) | (x << 21 | two).astype(np.uint64), kind="stable")
+        key = one.astype(np.uint64) << np.uint64(42) | (x << 21 | two).astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        entry = np.append(True, key[1:] != key[:-1])[: len(x)]
     else:
         order = np.lexsort((two, x, one))
-    one, x, two, doc_of = one[order], x[order], two[order], doc[order]
-    entry = np.append(True, (one[1:] != one[:-1]) | (x[1:] != x[:-1]) | (two[1:] != two[:-1]))[: len(x)]
-    place = np.flatnonzero(entry | np.append(True, doc_of[1:] != doc_of[:-1])[: len(x)])
-    pair_entry, pair_doc, pair_n = (np.cumsum(entry) - 1)[place], doc_of[place], np.diff(np.append(place, len(x)))
+        entry = np.append(True, (np.diff(one[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(two[order]) != 0))[: len(x)]
     at = np.flatnonzero(entry)
-    one, x, two = one[at], x[at], two[at]
+    one, x, two = one[order[at]], x[order[at]], two[order[at]]
+    of, doc_of = np.cumsum(entry) - 1, doc[order]
+    many = np.diff(np.append(at, len(of)))
+    again = np.flatnonzero(many[of] > 1)  # tokens of entries that occur again, by document
+    doc_of[again] = doc_of[again][np.lexsort((doc_of[again], of[again]))]
+    place = np.flatnonzero(entry | np.append(True, doc_of[1:] != doc_of[:-1])[: len(of)])
+    pair_entry, pair_doc, pair_n = of[place], doc_of[place].astype(np.int32), np.diff(np.append(place, len(of))).astype(np.int32)
     c = np.bincount(pair_entry, weights=pair_n * train[pair_doc], minlength=len(at)).astype(np.int32)
     many = np.bincount(pair_entry, minlength=len(at)).astype(np.int32)
-    heavy = many >= HEAVY
+    heavy = many >= heavy_from
     spread = words[one] ^ np.where(np.isin(words, hot)[one], mixed(words[x] + np.uint64(1)), np.uint64(0))
-    bucket = (mixed(spread + _SALT) % np.uint64(n)).astype(np.int64)
+    bucket = (mixed(spread + _SALT) % np.uint64(n)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     by_pair = np.argsort(bucket[pair_entry], kind="stable")
-    light = by_pair[~heavy[pair_entry[by_pair]]]
-    lights = np.searchsorted(bucket[pair_entry[light]], np.arange(n + 1)) if n < len(light) else None
-    out = []
-    for b, i, j in _edges(bucket[order], n):
+    dense = heavy[pair_entry[by_pair]]
+    light, dense = by_pair[~dense], by_pair[dense]
+    lights = {b: (i, j) for b, i, j in _edges(bucket[pair_entry[light]])}
+    ranks, number = coder.ranks(words), np.empty(len(words), np.int32)
+    out, flags = [], np.zeros(len(words), bool)
+    for b, i, j in _edges(bucket[order]):
         own = order[i:j]
-        loc, idx = np.unique(np.concatenate([one[own], x[own], two[own]]), return_inverse=True)
-        a, e, f = idx.astype(np.int32).reshape(3, -1)
-        if lights is None:
-            lo, hi = np.searchsorted(bucket[pair_entry[light]], [b, b + 1])
+        ids = np.concatenate([one[own], x[own], two[own]])
+        if len(ids) * 8 > len(words):
+            flags[:] = False
+            flags[ids] = True
+            used = np.flatnonzero(flags)
         else:
-            lo, hi = lights[b], lights[b + 1]
+            used = np.unique(ids)
+        local = used[ranks[used] < 0]
+        number[used] = ranks[used]
+        number[local] = coder.size + np.arange(len(local))
+        a, e, f = number[one[own]], number[x[own]], number[two[own]]
+        head = np.append(True, a[1:] != a[:-1])
+        lo, hi = lights.get(b, (0, 0))
         pairs = light[lo:hi]
-        out.append((b, chunk, ASK, pack(words[loc], np.diff(a, prepend=0).astype(np.int32), e, f, c[own], np.where(heavy[own], 0, many[own]).astype(np.int32), pair_doc[pairs].astype(np.int32), pair_n[pairs].astype(np.int32))))
-    dense = by_pair[heavy[pair_entry[by_pair]]]
+        runs = np.diff(np.append(np.flatnonzero(head), len(own))).astype(np.int32)
+        out.append((b, chunk, ASK, pack(words[local], a[head], runs, e, f, c[own], np.where(heavy[own], 0, many[own]).astype(np.int32), pair_doc[pairs], pair_n[pairs])))
     home = int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(n))
-    out.append((home, chunk, DOCS, pack(np.bincount(doc, minlength=len(texts)).astype(np.int64), many[order[heavy[order]]], pair_doc[dense].astype(np.int32), pair_n[dense].astype(np.int32))))
+    out.append((home, chunk, DOCS, pack(np.bincount(doc, minlength=len(texts)).astype(np.int64), many[order[heavy[order]]], pair_doc[dense], pair_n[dense])))
     return out
 
 
-def _asker(hot: np.ndarray, n: int, schema: pa.Schema):
+def _asker(shared, n: int, schema: pa.Schema, chunk: int, heavy: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, size, k = TaskContext.get().partitionId() << 32, [], 0, 0
+        coder, hot = shared.value
 
         def flush():
             nonlocal held, size, k
             table = pa.Table.from_batches(held)
-            rows = asks(table["text"].to_pylist(), table["train"].to_numpy().astype(float), hot, n, base + k)
+            rows = asks(table["text"].to_pylist(), table["train"].to_numpy().astype(float), coder, hot, n, base + k, heavy)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([table.schema.field("doc_id")]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(table.select(["doc_id"]))
@@ -269,11 +301,11 @@ def _asker(hot: np.ndarray, n: int, schema: pa.Schema):
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
             lo = 0
             while lo < len(lengths):
-                hi = lo + max(1, int(np.searchsorted(np.cumsum(lengths[lo:]) + size, CHUNK, side="right")))
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(lengths[lo:]) + size, chunk, side="right")))
                 held.append(batch.slice(lo, hi - lo))
                 size += int(lengths[lo:hi].sum())
                 lo = hi
-                if size >= CHUNK or lo < len(lengths):
+                if size >= chunk or lo < len(lengths):
                     yield from flush()
         if held:
             yield from flush()
@@ -285,26 +317,45 @@ def _asker(hot: np.ndarray, n: int, schema: pa.Schema):
 # buckets
 
 
+def _keys(first: np.ndarray, second: np.ndarray, third: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of triples of numbers below `bound`, and where another triple begins."""
+    if bound < 1 << 21:
+        key = first.astype(np.uint64) << np.uint64(42) | (second << 21 | third).astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.append(True, key[1:] != key[:-1])[: len(key)]
+    order = np.lexsort((third, second, first))
+    return order, np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0) | (np.diff(third[order]) != 0))[: len(order)]
+
+
 class Bucket:
-    """The restaurants of a bucket: leaves (second, first, word), their pairs (first, word), words."""
+    """All entries of a bucket: leaves (first, word, second), their pairs (first, word), their words."""
 
-    def __init__(self, rows: pd.DataFrame, hot: np.ndarray, n: int):
+    def __init__(self, rows: pd.DataFrame, coder: Coder, hot: np.ndarray, n: int):
         rows = rows[rows["kind"] == ASK].sort_values("src")
         parts = [unpack(b) for b in rows["blob"]]
         cat = lambda k, t: np.concatenate([np.empty(0, t), *(p[k] for p in parts)])
-        self.chunks = list(zip(rows["src"].tolist(), [len(p[1]) for p in parts], [len(p[6]) for p in parts], strict=True))
-        self.words = np.unique(cat(0, np.uint64))
-        at = [np.searchsorted(self.words, p[0]) for p in parts]
-        one, word, two = (np.concatenate([np.empty(0, np.int64), *(x[np.cumsum(p[k]) if k == 1 else p[k]] for x, p in zip(at, parts, strict=True))]) for k in (1, 2, 3))
-        pairs, inverse = np.unique(one << 32 | word, return_inverse=True)
-        leaves, self.leaf_of = np.unique(inverse << 32 | two, return_inverse=True)
-        del one, word, two, inverse
-        self.c = np.bincount(self.leaf_of, weights=cat(4, np.int32), minlength=len(leaves)).astype(np.int64)
-        self.many, self.pair_doc, self.pair_n = cat(5, np.int32), cat(6, np.int32), cat(7, np.int32)
-        self.pair_of, self.second = leaves >> 32, leaves & 0xFFFFFFFF
-        self.first, self.word = pairs >> 32, pairs & 0xFFFFFFFF
-        left, self.left_of = np.unique(self.first[self.pair_of] << 32 | self.second, return_inverse=True)
+        self.chunks = list(zip(rows["src"].tolist(), [len(p[3]) for p in parts], [len(p[7]) for p in parts], strict=True))
+        self.words = np.unique(np.concatenate([coder.common, *(p[0] for p in parts)]))
+        common = np.searchsorted(self.words, coder.common)
+        at = [np.concatenate([common, np.searchsorted(self.words, p[0])]) for p in parts]
+        one = np.concatenate([np.empty(0, np.int64), *(np.repeat(x[p[1]], p[2]) for x, p in zip(at, parts, strict=True))])
+        word, two = (np.concatenate([np.empty(0, np.int64), *(x[p[k]] for x, p in zip(at, parts, strict=True))]) for k in (3, 4))
+        order, new = _keys(one, word, two, len(self.words))
+        self.leaf_of = np.empty(len(order), np.int32)
+        self.leaf_of[order] = np.cumsum(new) - 1
+        of = order[new]
+        first, word, self.second = (v[of].astype(np.int32) for v in (one, word, two))
+        del one, two, order
+        self.c = np.bincount(self.leaf_of, weights=cat(5, np.int32), minlength=len(of)).astype(np.int64)
+        new = np.append(True, (first[1:] != first[:-1]) | (word[1:] != word[:-1]))[: len(of)]
+        self.pair_of = (np.cumsum(new) - 1).astype(np.int32)
+        self.first, self.word = first[new], word[new]
+        self.many, self.pair_doc, self.pair_n = cat(6, np.int32), cat(7, np.int32), cat(8, np.int32)
+        left, left_of = np.unique(first.astype(np.int64) << 32 | self.second, return_inverse=True)
+        self.left_of = left_of.astype(np.int32)
         self.c2 = np.bincount(self.left_of, weights=self.c, minlength=len(left)).astype(np.int64)
+        self.total = np.bincount(self.pair_of, weights=self.c, minlength=len(self.first)).astype(np.int64)
         used = np.zeros((2, len(self.words)), bool)
         used[0, self.word] = used[1, self.first] = True
         split = np.isin(self.words, hot)
@@ -320,59 +371,119 @@ class Bucket:
         self.owners = np.unique(np.concatenate([o for *_, o in self.lists]))
         self.cuts = [np.searchsorted(o, np.append(self.owners, n)) for *_, o in self.lists]
 
-    def totals(self, t2: np.ndarray, t1: np.ndarray) -> dict:
-        """k of pairs, K and T1 of words before, T2 of their pairs, m of words: those of this bucket."""
-        total = lambda of, v, size: np.bincount(of, weights=v, minlength=size).astype(np.int64)
-        k = total(self.pair_of, t2, len(self.first))
-        return {"k": k, "K": total(self.first, k, len(self.words)), "T1": total(self.first, t1, len(self.words)), "T2": total(self.left_of, t2, len(self.c2)), "m": total(self.word, t1, len(self.words))}
-
-    def shared(self, sums: dict) -> list[np.ndarray]:
-        words, ones, twos = (places for places, *_ in self.lists)
-        return [sums["m"][words], sums["K"][ones], sums["T1"][ones], sums["T2"][twos]]
-
-    def dealt(self, arrays: list[tuple[int, np.ndarray]], me: int, kind: int) -> list[tuple]:
+    def dealt(self, arrays: list[tuple[int, np.ndarray]], me: int) -> list[tuple]:
         """Rows for the owners: arrays with the number of their list, cut."""
-        return [(o, me, kind, pack(*(v[self.cuts[k][i] : self.cuts[k][i + 1]] for k, v in arrays))) for i, o in enumerate(self.owners.tolist())]
-
-    def replied(self, rows: pd.DataFrame, lists: list[int]) -> list[np.ndarray]:
-        """The owners' answers put together again."""
-        rows = rows[rows["kind"] == OWN].sort_values("src")
-        parts = [unpack(b) for b in rows["blob"]]
-        return [np.concatenate([np.empty(0, np.int64), *(p[k] for p in parts)]) for k in range(len(lists))]
-
-    def with_replies(self, sums: dict, replies: list[np.ndarray]) -> dict:
-        words, ones, twos = (places for places, *_ in self.lists)
-        out = sums | {"r": np.zeros(len(self.words), np.int64)}
-        for name, places, values in zip(("m", "r", "K", "T1", "T2"), (words, words, ones, ones, twos), replies, strict=True):
-            out[name][places] = values
+        return [(o, me, LISTS, pack(*(v[self.cuts[k][i] : self.cuts[k][i + 1]] for k, v in arrays))) for i, o in enumerate(self.owners.tolist())]
+
+    def tables(self, t2: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tables of all leaves and pairs, from those that are drawn."""
+        full2 = np.minimum(self.c, 1)
+        full2[self.c > 1] = t2
+        full1 = np.minimum(self.total, 1)
+        full1[self.total > 1] = t1
+        return full2, full1
+
+    def totals(self, t2: np.ndarray, t1: np.ndarray, replies: list[np.ndarray]) -> dict:
+        """k of pairs, K and T1 of words before, T2 of their pairs; m and r of words: of all buckets, where shared."""
+        total = lambda of, v, size: np.bincount(of, weights=v, minlength=size).astype(np.int64)
+        k, words = total(self.pair_of, t2, len(self.first)), len(self.words)
+        out = {"m": np.zeros(words, np.int64), "r": np.zeros(words, np.int64), "k": k, "K": total(self.first, k, words), "T1": total(self.first, t1, words), "T2": total(self.left_of, t2, len(self.c2))}
+        for name, of, values in zip(NAMES, SETS, replies, strict=True):
+            out[name][self.lists[of][0]] = values
         return out
 
-
-SETS = [0, 0, 1, 1, 2]  # the lists of m, r, K, T1, T2
-
-
-def sweep(b: Bucket, t2: np.ndarray, t1: np.ndarray, x: dict, M: int, R: int, V: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def core(self) -> bytes:
+        """What sweeps need: leaves and pairs with more than one customer, and how much the others add to each total."""
+        pairs, leaves = np.flatnonzero(self.total > 1), np.flatnonzero(self.c > 1)
+        single = self.c == 1
+        alone = self.total == 1
+        place = np.empty(len(self.first), np.int64)
+        place[pairs] = np.arange(len(pairs))
+        m = np.bincount(self.word[alone], minlength=len(self.words))
+        K = np.bincount(self.first[alone], minlength=len(self.words))
+        T2 = np.bincount(self.left_of[single], minlength=len(self.c2))
+        where = []
+        for (places, *_), size in zip(self.lists, (len(self.words), len(self.words), len(self.c2)), strict=True):
+            at = np.full(size, -1, np.int32)
+            at[places] = np.arange(len(places))
+            where.append(at)
+        first, first_of = np.unique(self.first[pairs], return_inverse=True)
+        word, word_of = np.unique(self.word[pairs], return_inverse=True)
+        left, left_of = np.unique(self.left_of[leaves], return_inverse=True)
+        second, second_of = np.unique(self.second[leaves], return_inverse=True)
+        (words, *_), (ones, *_), (twos, *_) = self.lists
+        i = lambda v: v.astype(np.int32)
+        return pack(
+            self.words[first], i(np.diff(first_of, prepend=0)), i(K[first]), where[1][first], self.words[word], i(word_of), where[0][word], i(np.bincount(self.pair_of[single], minlength=len(self.first))[pairs]),
+            i(np.diff(place[self.pair_of[leaves]], prepend=0)), i(self.c[leaves]), i(left_of), i(T2[left]), where[2][left], self.words[second], i(second_of), i(m[words]), i(K[ones]), i(T2[twos]), i(self.owners), *(i(c) for c in self.cuts),
+        )
+
+
+NAMES, SETS = ("m", "r", "K", "T1", "T2"), (0, 0, 1, 1, 2)  # totals, and the list that each is shared by
+
+
+class Core:
+    """Leaves and pairs of a bucket whose tables are drawn."""
+
+    def __init__(self, blob: bytes):
+        x = unpack(blob)
+        self.firsts, self.first, self.single_K, self.one_at, self.words, self.word, self.word_at, self.singles = x[0], np.cumsum(x[1]), *x[2:8]
+        self.pair, self.c, self.left, self.single_T2, self.two_at, self.seconds, self.second = np.cumsum(x[8]), x[9].astype(np.int64), *x[10:15]
+        self.m, self.K, self.T2, self.owners, self.cuts = *x[15:19], x[19:]
+        self.pair_keys = pair_key(self.firsts[self.first], self.words[self.word])
+        self.leaf_keys = mixed(mixed(self.seconds[self.second] + _TWO) ^ self.pair_keys[self.pair])
+
+    def customers(self, t2: np.ndarray) -> np.ndarray:
+        return self.singles + np.bincount(self.pair, weights=t2, minlength=len(self.first)).astype(np.int64)
+
+    def own(self, t2: np.ndarray, t1: np.ndarray) -> tuple[dict, list[np.ndarray]]:
+        """This bucket's totals, and those that are shared, as the lists go."""
+        total = lambda of, v, size: np.bincount(of, weights=v, minlength=size).astype(np.int64)
+        k = self.customers(t2)
+        K, T1, T2 = total(self.first, k, len(self.firsts)), total(self.first, t1, len(self.firsts)), total(self.left, t2, len(self.single_T2))
+        shared = [self.m.astype(np.int64), self.K.astype(np.int64), self.K.astype(np.int64), self.T2.astype(np.int64)]
+        shared[0][self.word_at] += total(self.word, t1, len(self.words))
+        here = self.one_at >= 0
+        shared[1][self.one_at[here]] += K[here]
+        shared[2][self.one_at[here]] += T1[here]
+        here = self.two_at >= 0
+        shared[3][self.two_at[here]] += T2[here]
+        return {"k": k, "K": self.single_K + K, "T1": self.single_K + T1, "T2": self.single_T2 + T2}, shared
+
+    def all(self, sums: dict, replies: list[np.ndarray]) -> dict:
+        """Totals of all buckets, where they are shared."""
+        m, r, K, T1, T2 = replies
+        one, two = self.one_at, self.two_at
+        put = lambda own, at, given: np.where(at >= 0, given[np.maximum(at, 0)], own) if len(given) else own
+        return {"m": m[self.word_at], "r": r[self.word_at], "k": sums["k"], "K": put(sums["K"], one, K), "T1": put(sums["T1"], one, T1), "T2": put(sums["T2"], two, T2)}
+
+    def dealt(self, arrays: list[tuple[int, np.ndarray]], me: int) -> list[tuple]:
+        return [(o, me, LOCAL, pack(*(v[self.cuts[k][i] : self.cuts[k][i + 1]].astype(np.int32) for k, v in arrays))) for i, o in enumerate(self.owners.tolist())]
+
+
+def _replied(rows: pd.DataFrame, sets: int) -> list[np.ndarray]:
+    """The owners' answers put together again."""
+    rows = rows[rows["kind"] == OWN].sort_values("src")
+    parts = [unpack(b) for b in rows["blob"]]
+    return [np.concatenate([np.empty(0, np.int64), *(p[k] for p in parts)]) for k in range(sets)]
+
+
+def sweep(b: Core, t2: np.ndarray, t1: np.ndarray, x: dict, M: int, R: int, V: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Draws all tables anew from totals x that hold t2 and t1. Without a vocabulary V, the base counts for nothing."""
     (d2, s2), (d1, s1), (d0, s0) = LEAF, MIDDLE, ROOT
     base = 1 / (V + 1) if V else 0.0
-    own = np.flatnonzero(b.c > 1)
-    pair = b.pair_of[own]
-    first, word, t = b.first[pair], b.word[pair], t2[own]
-    k = x["k"][pair] - t
+    pair, first, word = b.pair, b.first[b.pair], b.word[b.pair]
+    k = x["k"][pair] - t2
     kept = np.maximum(np.minimum(t1[pair], k), 1)
     moved = kept - t1[pair]
     m = x["m"][word] + moved
     r = np.minimum(x["r"][word], m)
     p = (m - d0 * r + (s0 + d0 * (R - x["r"][word] + r)) * base) / (s0 + M + moved)
-    new2 = np.minimum(b.c, 1)
-    new2[own] = draw_tables(b.c[own], even(leaf_key(b.words[b.second[own]], b.words[first], b.words[word]), number, 2), s2 + d2 * (x["T2"][b.left_of[own]] - t), d2, k - d1 * kept + (s1 + d1 * (x["T1"][first] + moved)) * p, s1 + x["K"][first] - t)
-    k = np.bincount(b.pair_of, weights=new2, minlength=len(b.first)).astype(np.int64)
-    own = np.flatnonzero(k > 1)
-    first, word, t = b.first[own], b.word[own], t1[own]
-    m = x["m"][word] - t
+    new2 = draw_tables(b.c, even(b.leaf_keys, number, 2), s2 + d2 * (x["T2"][b.left] - t2), d2, k - d1 * kept + (s1 + d1 * (x["T1"][first] + moved)) * p, s1 + x["K"][first] - t2)
+    first, word = b.first, b.word
+    m = x["m"][word] - t1
     r = np.maximum(np.minimum(x["r"][word], m), 1)
-    new1 = np.minimum(k, 1)
-    new1[own] = draw_tables(k[own], even(pair_key(b.words[first], b.words[word]), number, 1), s1 + d1 * (x["T1"][first] - t), d1, m - d0 * r + (s0 + d0 * (R - x["r"][word] + r)) * base, s0 + M - t)
+    new1 = draw_tables(b.customers(new2), even(b.pair_keys, number, 1), s1 + d1 * (x["T1"][first] - t1), d1, m - d0 * r + (s0 + d0 * (R - x["r"][word] + r)) * base, s0 + M - t1)
     return new2, new1
 
 
@@ -381,45 +492,46 @@ def _one(rows: pd.DataFrame, kind: int) -> list[np.ndarray]:
     return unpack(found.iloc[0]) if len(found) else []
 
 
-def _lister(hot: np.ndarray, n: int):
-    """A bucket's first word to the owners: keys, training counts and the tables it begins with."""
+def _lister(shared, n: int):
+    """A bucket's first word to the owners: keys, training counts and the tables it begins with. To itself, its core."""
 
     def start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        b = Bucket(rows, hot, n)
-        t2 = np.minimum(b.c, 1)
-        t1 = np.minimum(np.bincount(b.pair_of, weights=t2, minlength=len(b.first)).astype(np.int64), 1)
-        known = np.bincount(b.word, weights=np.bincount(b.pair_of, weights=b.c, minlength=len(b.first)), minlength=len(b.words)).astype(np.int64)
-        (words, wk, _), (ones, ok, _), (twos, tk, _) = b.lists
-        m, K, T1, T2 = b.shared(b.totals(t2, t1))
-        out = b.dealt([(0, wk), (0, known[words]), (0, m), (1, ok), (1, K), (1, T1), (2, tk), (2, b.c2[twos]), (2, T2)], key[0], LISTS)
-        out.append((0, key[0], SUMS, pack(np.array([b.c.sum(), t1.sum()], np.int64))))
+        coder, hot = shared.value
+        b = Bucket(rows, coder, hot, n)
+        known = np.bincount(b.word, weights=b.total, minlength=len(b.words)).astype(np.int32)
+        (words, wk, _), (_, ok, _), (twos, tk, _) = b.lists
+        core = b.core()
+        c = Core(core)
+        t2, t1 = np.ones(len(c.c), np.int64), np.ones(len(c.first), np.int64)
+        m, K, T1, T2 = (v.astype(np.int32) for v in c.own(t2, t1)[1])
+        out = b.dealt([(0, wk), (0, known[words]), (0, m), (1, ok), (1, K), (1, T1), (2, tk), (2, b.c2[twos].astype(np.int32)), (2, T2)], key[0])
+        out.append((0, key[0], SUMS, pack(np.array([b.c.sum(), (b.total > 0).sum()], np.int64))))
+        out.append((key[0], key[0], CORE, core))
+        trim()
         return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
 
     return start
 
 
-def _sweeper(hot: np.ndarray, n: int, number: int, samples: int):
+def _sweeper(number: int, samples: int):
     """One sweep of a bucket, or several from the same totals."""
 
-    def step(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        me, b = key[0], Bucket(asked, hot, n)
-        t2, t1 = np.minimum(b.c, 1), None
-        state = _one(rows, STATE)
-        if state:
-            t2[b.c > 1] = state[0]
-        k = np.bincount(b.pair_of, weights=t2, minlength=len(b.first)).astype(np.int64)
-        t1 = np.minimum(k, 1)
-        if state:
-            t1[k > 1] = state[1]
-        x = b.with_replies(b.totals(t2, t1), b.replied(rows, SETS))
+    def step(key: tuple, kept: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        me, out = key[0], []
         (all_,) = _one(rows, ALL)
-        M, _, V, R = all_.tolist()
-        drawn = [sweep(b, t2, t1, x, M, R, V, number + s) for s in range(samples)]
-        sums = [b.totals(*d) for d in drawn]
-        out = b.dealt([(k, v) for s in sums for k, v in zip((0, 1, 1, 2), b.shared(s), strict=True)], me, LOCAL)
-        out.append((me, me, STATE, pack(*(v for (d2, d1), s in zip(drawn, sums, strict=True) for v in (d2[b.c > 1].astype(np.int32), d1[s["k"] > 1].astype(np.int32))))))
-        out.append((0, me, SUMS, pack(np.array([b.c.sum(), *(d1.sum() for _, d1 in drawn)], np.int64))))
-        out.append((me, me, KNOWN, pack(np.array([V, R], np.int64))))
+        M, N, V, R = all_.tolist()
+        core = kept.loc[kept["kind"] == CORE, "blob"]
+        if len(core):
+            b = Core(core.iloc[0])
+            t2, t1 = _one(rows, STATE) or (np.ones(len(b.c), np.int64), np.ones(len(b.first), np.int64))
+            t2, t1 = t2.astype(np.int64), t1.astype(np.int64)
+            alone = int(b.m.sum())
+            x = b.all(b.own(t2, t1)[0], _replied(rows, len(SETS)))
+            drawn = [sweep(b, t2, t1, x, M, R, V, number + s) for s in range(samples)]
+            out += b.dealt([(k, v) for d in drawn for k, v in zip((0, 1, 1, 2), b.own(*d)[1], strict=True)], me)
+            out.append((me, me, STATE, pack(*(v.astype(np.int32) for d in drawn for v in d))))
+            out.append((0, me, SUMS, pack(np.array([0, *(alone + d1.sum() for _, d1 in drawn)], np.int64))))
+        out.append((me, me, KNOWN, pack(np.array([V, R, N], np.int64))))
         out += [(me, me, FINAL, v) for v in rows.loc[rows["kind"] == FINAL, "blob"]]  # the owner's own state
         parts = rows.loc[rows["kind"] == PART, "blob"]
         if len(parts):
@@ -432,6 +544,10 @@ def _sweeper(hot: np.ndarray, n: int, number: int, samples: int):
 # owners
 
 
+def _short(v: np.ndarray) -> np.ndarray:
+    return v.astype(np.int32) if len(v) and v.max() < 1 << 31 else v
+
+
 def _owner(n: int, number: int, samples: int, last: bool):
     """Adds up the totals of an owner's words and split restaurants, draws the root's tables, and answers the buckets."""
 
@@ -447,11 +563,11 @@ def _owner(n: int, number: int, samples: int, last: bool):
         if number:
             local = rows[rows["kind"] == LOCAL]
             by = {s: unpack(v) for s, v in zip(local["src"].tolist(), local["blob"], strict=True)}
-            given = [[np.concatenate([np.empty(0, np.int64), *(by[s][4 * j + k] for s in parts)]) for k in range(4)] for j in range(samples)]
+            given = [[np.concatenate([np.empty(0, np.int32), *(by[s][4 * j + k] for s in parts)]) for k in range(4)] for j in range(samples)]
         else:
             given = [[cat(2), cat(4), cat(5), cat(8)]]
         known, old = _one(rows, KNOWN), _one(rows, FINAL)
-        V, R = known[0].tolist() if known else (0, 0)
+        V, R, N = known[0].tolist() if known else (0, 0, 0)
         answers, tables = [], []
         for j, (m, K, T1, T2) in enumerate(given):
             m, r = add(0, m), np.minimum(add(0, m), 1)
@@ -464,7 +580,7 @@ def _owner(n: int, number: int, samples: int, last: bool):
             answers.append([(0, m), (0, r), (1, add(1, K)), (1, add(1, T1)), (2, add(2, T2))])
             tables.append(r)
         flat = [v for a in answers for v in a] + ([(0, counts[0]), (2, counts[1])] if last else [])
-        spread = [(k, v[merged[k][1]]) for k, v in flat]
+        spread = [(k, _short(v)[merged[k][1]]) for k, v in flat]
         cuts = [np.cumsum([0] + [len(p[k]) for p in parts.values()]) for k in (0, 3, 6)]
         out = [(s, me, OWN, pack(*(v[cuts[k][i] : cuts[k][i + 1]] for k, v in spread))) for i, s in enumerate(parts)]
         out.append((0, me, PART, pack(np.array([(counts[0] > 0).sum(), *(r.sum() for r in tables)], np.int64))))
@@ -476,7 +592,7 @@ def _owner(n: int, number: int, samples: int, last: bool):
             total = np.sum([unpack(v)[0] for v in sums["blob"]], axis=0)
             fresh = _one(rows, FRESH)
             V, *R = fresh[0].tolist() if fresh else (0, 0)
-            all_ = pack(np.array([*total[1:], total[0], V, R[0]], np.int64))
+            all_ = pack(np.array([*total[1:], N + total[0], V, R[0]], np.int64))
             out += [(b, me, ALL, all_) for b in range(n)]
         return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
 
@@ -511,25 +627,17 @@ def probabilities(b: Bucket, drawn: list, sums: list[dict], c2: np.ndarray, M: l
     return out / len(drawn)
 
 
-def _answerer(hot: np.ndarray, n: int):
+def _answerer(shared, n: int):
     """Each chunk's sums over this bucket's tokens, by document; for entries in many documents, theirs."""
 
     def answer(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         me = key[0]
         out = [(s, me, k, v) for s, k, v in zip(asked["src"], asked["kind"], asked["blob"], strict=True) if k in (DOCS, IDS)]
         if (asked["kind"] == ASK).any():
-            b = Bucket(asked, hot, n)
-            state = _one(rows, STATE)
-            replies = b.replied(rows, SETS * SAMPLES + [0, 2])
-            drawn, sums = [], []
-            for s in range(SAMPLES):
-                t2 = np.minimum(b.c, 1)
-                t2[b.c > 1] = state[2 * s]
-                k = np.bincount(b.pair_of, weights=t2, minlength=len(b.first)).astype(np.int64)
-                t1 = np.minimum(k, 1)
-                t1[k > 1] = state[2 * s + 1]
-                drawn.append((t2, t1))
-                sums.append(b.with_replies(b.totals(t2, t1), replies[5 * s : 5 * s + 5]))
+            b = Bucket(asked, *shared.value, n)
+            state, replies = _one(rows, STATE), _replied(rows, len(SETS) * SAMPLES + 2)
+            drawn = [b.tables(state[2 * s], state[2 * s + 1]) for s in range(SAMPLES)]
+            sums = [b.totals(*d, replies[5 * s : 5 * s + 5]) for s, d in enumerate(drawn)]
             known, c2 = np.zeros(len(b.words), np.int64), b.c2.copy()
             known[b.lists[0][0]], c2[b.lists[2][0]] = replies[-2:]
             ((*M, N, _, _),), ((V, *R),) = ([v.tolist() for v in _one(rows, kind)] for kind in (ALL, PART))
@@ -547,8 +655,8 @@ def _answerer(hot: np.ndarray, n: int):
                 heavy = np.flatnonzero(b.many[e] == 0) + e.start
                 if len(heavy):
                     out.append((chunk, me, HEAVIES, pack((known[heavy] > 0).astype(np.int32), base[heavy], score[heavy])))
-            ids = np.array([N], np.int64)
-            out += [(s, me, ALL, pack(ids)) for s in sorted({c for c, *_ in b.chunks})]
+            out += [(s, me, ALL, pack(np.array([N], np.int64))) for s in sorted({c for c, *_ in b.chunks})]
+            trim()
         return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
 
     return answer
@@ -571,23 +679,25 @@ def _collect(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids.to_pandas(), "n_tokens": size, "n_known": total[0].round().astype(np.int64), "train_tokens": int(trained[0]), "base_score": total[1], "score": total[2]})
 
 
-def _frequent(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Words that make up at least 1 / (4 buckets) of the tokens in a bounded sample of documents: 4 buckets at most."""
+def _frequent(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bounded sample of documents: the COMMON most frequent words, those first, and words that make up at least
+    1 / (4 buckets) of the tokens, 4 buckets at most."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, rows.count()))
 
     def count(batches):
         for batch in batches:
             w, n = np.unique(tokens(list(batch["text"]))[0], return_counts=True)
-            many = n * 16 * buckets >= n.sum()
-            yield pd.DataFrame({"w": np.append(w[many].view(np.int64), 0), "n": np.append(n[many], 0), "all": np.append(np.zeros(many.sum(), np.int64), n.sum())})
+            yield pd.DataFrame({"w": np.append(w.view(np.int64), 0), "n": np.append(n, 0), "all": np.append(np.zeros(len(w), np.int64), n.sum())})
 
     found = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < round(share * (1 << 20))).select("text").mapInPandas(count, "w long, n long, all long")
-    found = found.groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).where("n > 0 or all > 0").orderBy(F.desc("all"), F.desc("n"), "w").limit(16 * buckets + 1).toPandas()
+    found = found.groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).where("n > 1 or all > 0").orderBy(F.desc("all"), F.desc("n"), "w").limit(COMMON + 1).toPandas()
     total = int(found["all"].sum())
-    return np.sort(found["w"][(found["n"] * 4 * buckets >= total) & (found["n"] > 0)].to_numpy(np.int64).view(np.uint64))
+    found = found[found["n"] > 0]
+    words = found["w"].to_numpy(np.int64).view(np.uint64)
+    return words, np.sort(words[found["n"].to_numpy() * 4 * buckets >= total])
 
 
-def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of each text, a row for each row.
 
     `train` is SQL for the rows to learn from, over docs' columns; null counts as false. A null or empty text is its end
@@ -595,21 +705,23 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
     Perplexity is 10 ** (-score / n_tokens). Memory is bounded by a chunk of texts or the longest, and by a bucket's
     entries.
     """
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = partitions(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    hot = _frequent(rows, n)
+    common, hot = _frequent(rows, n)
+    shared = spark.sparkContext.broadcast((Coder(common), hot))
     schema = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-    asked = rows.mapInArrow(_asker(hot, n, schema), MESSAGE).groupBy("dest")
-    lists = asked.applyInPandas(_lister(hot, n), MESSAGE).groupBy("dest")
+    asked = rows.mapInArrow(_asker(shared, n, schema, chunk, heavy), MESSAGE).groupBy("dest")
+    lists = asked.applyInPandas(_lister(shared, n), MESSAGE).groupBy("dest")
     answers = lists.applyInPandas(_first(n), MESSAGE)
     for number in range(1, BURN_IN + 2):
         last = number > BURN_IN
         samples = SAMPLES if last else 1
-        given = asked.cogroup(answers.groupBy("dest")).applyInPandas(_sweeper(hot, n, number, samples), MESSAGE)
+        given = lists.cogroup(answers.groupBy("dest")).applyInPandas(_sweeper(number, samples), MESSAGE)
         answers = lists.cogroup(given.groupBy("dest")).applyInPandas(_owner(n, number, samples, last), MESSAGE)
     answers = answers.groupBy("dest").applyInPandas(_relay(n), MESSAGE)
-    sums = asked.cogroup(answers.groupBy("dest")).applyInPandas(_answerer(hot, n), MESSAGE)
+    sums = asked.cogroup(answers.groupBy("dest")).applyInPandas(_answerer(shared, n), MESSAGE)
     return sums.groupBy("dest").applyInPandas(_collect, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -378,27 +378,52 @@ def test_jaccard_blocks(spark, monkeypatch):
 
 # 10
 
-def test_tables_are_drawn_from_their_conditional():
-    rng = np.random.default_rng(0)
-    d, w, c = 0.5, 0.7, 4
-    # seatings of four customers one by one: a table of k customers weighs k - d, a new one w
-    weights = Counter()
+def seatings(c, d, weights):
+    """p(t) by seating customers one by one: a table of k customers weighs k - d, the t-th one weights[t - 1]."""
+    found = Counter()
 
     def seat(sizes, p):
         if sum(sizes) == c:
-            weights[len(sizes)] += p
+            found[len(sizes)] += p
             return
         for k in range(len(sizes)):
             seat([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], p * (sizes[k] - d))
-        seat([*sizes, 1], p * w)
+        seat([*sizes, 1], p * weights[len(sizes)])
+
+    seat([1], 1.0)
+    total = sum(found.values())
+    return [found[t] / total for t in range(1, c + 1)]
 
-    seat([1], w)
-    t = language_model.draw_tables(np.full(40_000, c), np.full(40_000, w), d, rng)
-    total = sum(weights.values())
+
+def test_tables_are_drawn_from_their_conditional():
+    d, a, g, h, c, n = 0.5, 1.3, 0.4, 5.0, 5, 40_000
+    p = seatings(c, d, [None, *((a + d * i) * (i + g) / (i + h) for i in range(1, c))])
+    same = lambda v: np.full(n, v)
+    t = language_model.draw_tables(np.full(n, c), language_model.even(np.arange(n, dtype=np.uint64), 1, 2), same(a), d, same(g), same(h))
     for k in range(1, c + 1):
-        assert (t == k).mean() == pytest.approx(weights[k] / total, abs=0.01)
-    big = language_model.draw_tables(np.array([0, 1, 5000]), np.array([0.1, 0.1, 3.0]), d, rng)
-    assert big[0] == 0 and big[1] == 1 and 1 <= big[2] <= 5000
+        assert (t == k).mean() == pytest.approx(p[k - 1], abs=0.01)
+    t = language_model.draw_tables(np.full(n, c), language_model.even(np.arange(n, dtype=np.uint64), 2, 2), same(a), d, same(0.2), same(1.0), step=0)
+    p = seatings(c, d, [None, *((a + d * i) * 0.2 for i in range(1, c))])
+    for k in range(1, c + 1):
+        assert (t == k).mean() == pytest.approx(p[k - 1], abs=0.01)
+    assert language_model.draw_tables(np.array([0, 1]), np.array([0.5, 0.5]), np.ones(2), d, np.ones(2), np.ones(2)).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("d", [0.8, 0.75, 0.6])
+def test_many_customers(d):
+    """Stirling numbers beyond the table against the recurrence; draws of just more than EXACT customers against just as many."""
+    n, row = 3000, np.full(3002, -np.inf)
+    row[1], t = 0.0, np.arange(3002)
+    for k in range(1, n):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(row > -np.inf, np.log(np.maximum(k - d * t, 1e-300)) + row, -np.inf)
+        row = np.concatenate([[-np.inf], np.logaddexp(stay[1:], row[:-1])])
+    some = np.array([1, 2, 5, 10, 50, 200, 1000, 2000, 2999])
+    assert np.abs(language_model.stirling_beyond(n, some, d) - row[some]).max() < 0.1
+    u = (np.arange(400) + 0.5) / 400
+    full = lambda v: np.full(400, v)
+    below, above = (language_model.draw_tables(np.full(400, c), u, full(9.0), d, full(3.0), full(50.0)) for c in (language_model.EXACT, language_model.EXACT + 1))
+    assert above.mean() == pytest.approx(below.mean(), rel=0.02) and above.std() == pytest.approx(below.std(), rel=0.1)
 
 
 def test_language_model(spark, sf, docs):
@@ -413,38 +438,126 @@ def test_language_model(spark, sf, docs):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
     held = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_totals_add_up(spark, monkeypatch):
-    """Customers of the parent are the tables of all classes, so that probabilities add up to one over all words."""
-    kept, init = [], language_model.Totals.__init__
-
-    def watched(self, rows):
-        init(self, rows)
-        kept.append(self)
-
-    monkeypatch.setattr(language_model.Totals, "__init__", watched)
-    words, r = [f"w{k}" for k in range(30)], random.Random(3)
-    train = [(k, " ".join(r.choice(words) for _ in range(12)), True) for k in range(60)]
-    asked = [(1000, "w1 unknown", False), (1001, "", False), (1002, None, None)]
-    got = {x.doc_id: x for x in language_model.score(spark.createDataFrame(train + asked, "doc_id long, text string, t boolean"), "t").collect()}
-    t = kept[0]
-    vocabulary = {w for _, x, _ in train for w in x.split()}
-    assert t.vocabulary == len(vocabulary) + 1 and t.tokens == 60 * 13
-    assert t.classes[:, 0].sum() == 60 * 13 and (t.classes[:, 1:].sum(axis=0) == t.customers).all()
-    assert (t.tables >= t.vocabulary).all() and (t.tables <= t.customers).all()
-    assert got[1000].n_known == 2 and got[1001].n_tokens == got[1002].n_tokens == 1 and got[1001].score == got[1002].score < 0
-
-
-def test_each_word_is_a_context_of_its_own(spark):
-    """Contexts of one follower each: however many words there are, a follower of another context stays improbable."""
-    n = 40_000
-    train = [(k, " ".join(f"a{i} b{i % 50}" for i in range(k, n, 100)), True) for k in range(100)]
-    asked = [(1000, " ".join(f"a{i} b{i % 50}" for i in range(500)), False), (1001, " ".join(f"a{i} b{(i + 7) % 50}" for i in range(500)), False)]
-    got = {x.doc_id: x.score for x in language_model.score(spark.createDataFrame(train + asked, "doc_id long, text string, t boolean"), "t").collect()}
-    assert len(set(language_model.tokens([x for _, x, _ in train])[2].tolist())) == n + 51
-    assert got[1000] > got[1001]
+    base, score = (10 ** (-sum(r[k] for r in held) / sum(r.n_tokens for r in held)) for k in ("base_score", "score"))
+    assert score < base / 3
+
+
+def small_corpus(seed=3, n=60):
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(25)]
+    return [(k, " ".join(r.choices(words, [1 / (j + 1) for j in range(25)], k=12)), True) for k in range(n)] + [(1000, "w1 w2 w1 w2 unknown w3", False), (1001, "", False), (1002, None, None), (1003, "w1 w1 w1", False)]
+
+
+def sampler(rows):
+    """The same Gibbs sampler in plain loops over dictionaries: (probability of a word after two, scores)."""
+    L = language_model
+    (d2, s2), (d1, s1), (d0, s0) = L.LEAF, L.MIDDLE, L.ROOT
+    end, start = int(L.END), int(L.START)
+    own = {i: [*(int(w) for w in L.tokens([t])[0])] for i, t, _ in rows}
+    leaves = lambda w: zip([start, start, *w][: len(w)], [start, *w][: len(w)], w, strict=True)
+    c = Counter(x for i, _, train in rows if train for x in leaves(own[i]))
+    u64 = lambda v: np.array([v], np.uint64)
+
+    def draw(n, key, sweep, level, a, d, parent):
+        """parent(i): the parent's probability after i more tables."""
+        if n < 2:
+            return n
+        p = np.cumsum(seatings_table(n, d, [(a + d * i) * parent(i) for i in range(n)]))
+        return 1 + int((p[:-1] < float(L.even(key, sweep, level)[0]) * p[-1]).sum())
+
+    def seatings_table(n, d, weights):
+        s = [0.0] * (n + 1)
+        s[1] = 1.0
+        for k in range(1, n):
+            s = [0.0] + [(k - d * t) * s[t] + s[t - 1] for t in range(1, n + 1)]
+        out, w = [], 1.0
+        for t in range(1, n + 1):
+            out.append(s[t] * w)
+            w *= weights[t] if t < n else 1
+        return out
+
+    def totals(t2, t1):
+        k, K, T1, T2, m = Counter(), Counter(), Counter(), Counter(), Counter()
+        for (b, a, w), t in t2.items():
+            k[a, w] += t
+            K[a] += t
+            T2[b, a] += t
+        for (a, w), t in t1.items():
+            T1[a] += t
+            m[w] += t
+        return k, K, T1, T2, m
+
+    t2 = dict.fromkeys(c, 1)
+    t1 = {(a, w): 1 for _, a, w in c}
+    r = dict.fromkeys({w for *_, w in c}, 1)
+    V = len(r)
+    # the sums of the root's tables come back two sweeps late, the vocabulary one
+    tables, samples = [sum(r.values())], []
+    for number in range(1, L.BURN_IN + L.SAMPLES + 1):
+        s = min(number, L.BURN_IN + 1)
+        k, K, T1, T2, m = totals(t2, t1)
+        M, base, R = sum(m.values()), (1 / (V + 1) if s > 1 else 0.0), (tables[s - 2] if s > 1 else 0)
+        new2, new1, new_r = {}, {}, {}
+        for (b, a, w), n in c.items():
+            t, t_ = t2[b, a, w], t1[a, w]
+            left = k[a, w] - t
+            kept = max(min(t_, left), 1)
+            mm = m[w] + kept - t_
+            rr = min(r[w], mm)
+            p = (mm - d0 * rr + (s0 + d0 * (R - r[w] + rr)) * base) / (s0 + M + kept - t_)
+            parent = lambda i: (left + i - d1 * kept + (s1 + d1 * (T1[a] + kept - t_)) * p) / (s1 + K[a] - t + i)  # noqa: B023, E731
+            new2[b, a, w] = draw(n, L.leaf_key(u64(b), u64(a), u64(w)), number, 2, s2 + d2 * (T2[b, a] - t), d2, parent)
+        k2 = totals(new2, {})[0]
+        for (a, w), n in k2.items():
+            t = t1[a, w]
+            mm = m[w] - t
+            rr = max(min(r[w], mm), 1)
+            parent = lambda i: (mm + i - d0 * rr + (s0 + d0 * (R - r[w] + rr)) * base) / (s0 + M - t + i)  # noqa: B023, E731
+            new1[a, w] = draw(n, L.pair_key(u64(a), u64(w)), number, 1, s1 + d1 * (T1[a] - t), d1, parent)
+        m2 = totals(new2, new1)[4]
+        for w, n in m2.items():
+            new_r[w] = draw(n, u64(w), number, 0, s0 + d0 * max(R - r[w], 0), d0, lambda i: 1 / (V + 1)) if s > 1 else 1
+        if number <= L.BURN_IN:
+            t2, t1, r = new2, new1, new_r
+            tables.append(sum(r.values()))
+        else:
+            samples.append((new2, new1, new_r, totals(new2, new1)))
+    C2 = Counter()
+    for (b, a, _), n in c.items():
+        C2[b, a] += n
+
+    def probability(b, a, w):
+        out = 0.0
+        for x2, x1, x0, (k, K, T1, T2, m) in samples:
+            p = (m[w] - d0 * x0.get(w, 0) + (s0 + d0 * sum(x0.values())) / (V + 1)) / (s0 + sum(m.values()))
+            p = (k[a, w] - d1 * x1.get((a, w), 0) + (s1 + d1 * T1[a]) * p) / (s1 + K[a])
+            out += (c[b, a, w] - d2 * x2.get((b, a, w), 0) + (s2 + d2 * T2[b, a]) * p) / (s2 + C2[b, a])
+        return out / len(samples)
+
+    return probability, {i: sum(math.log10(probability(*x)) for x in leaves(w)) for i, w in own.items()}, sorted(r), end
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 13])
+def test_language_model_against_plain_loops(spark, partitions):
+    """Equal scores whatever the partitions, and with chunks, frequent words and frequent entries split or not."""
+    rows = small_corpus()
+    _, true, *_ = sampler(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    small = {"chunk": 400, "heavy": 3} if partitions == 4 else {}
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, t boolean").repartition(3)
+        got = {r.doc_id: r.score for r in language_model.score(df, "t", **small).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got.keys() == true.keys() and all(got[i] == pytest.approx(true[i], rel=1e-9) for i in true)
+
+
+def test_probabilities_add_up():
+    probability, _, words, end = sampler(small_corpus())
+    a, b = words[0], words[1]
+    for context in ((a, b), (b, a), (int(language_model.START), a), (1, 2), (1, a)):
+        assert sum(probability(*context, w) for w in words) + probability(*context, 12345) == pytest.approx(1)
+    assert end in words
 
 
 def test_without_training(spark):
