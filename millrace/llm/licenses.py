@@ -1,20 +1,23 @@
 """License scans: Dice coefficient over word bigrams against licence templates, in DataFrame functions only.
 
-A text, its paragraphs and its lines are units of comparison. A Dice coefficient of at least t needs
+A text, its paragraphs, lines and sentences are units of comparison; so is, for a template that a text holds most of, the
+block from the first to the last of the text's lines that are mostly the template's. A Dice coefficient of at least t needs
 b t / (2 - t) <= a <= b (2 - t) / t for the numbers of distinct bigrams a of the unit and b of the template, so only
-templates within these bounds are compared; texts without any of the words that a match must hold are passed over. The templates ride along as a literal; nothing is joined or shuffled.
+templates within these bounds are compared; texts without any of the words that a match must hold are passed over. The
+templates, notices and full texts, ride along as a literal; nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 from math import ceil, floor
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = Fraction(4, 5)
-MAX_TEMPLATE_BIGRAMS = 100_000  # over all templates, as they are part of the plan
+TEXTS = Path(__file__).parent / "license_texts"
 
 # Public licence notices
 TEMPLATES = {
@@ -33,11 +36,15 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
+def templates() -> dict[str, str]:
+    """The notices above and the full texts of licences, as `<name>-text`."""
+    return TEMPLATES | {f"{p.stem}-text": p.read_text("utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+
+
 def _bigrams(text: str) -> list[str]:
     words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
@@ -49,8 +56,6 @@ def _prepared(templates: dict[str, str], least: Fraction) -> list[tuple[str, int
         grams = _bigrams(text)
         if grams:
             rows.append((name, ceil(len(grams) * least / (2 - least)), floor(len(grams) * (2 - least) / least), grams))
-    if sum(len(r[3]) for r in rows) > MAX_TEMPLATE_BIGRAMS:
-        raise ValueError("too many templates for one plan; scan in several runs")
     return rows
 
 
@@ -82,44 +87,83 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: Fraction = LEAST) -> DataFrame:
-    """doc_id, unit (text, paragraph or line), number, license, n_bigrams, n_shared, dice: every unit and template that match.
+def _literal(known: list[tuple[str, int, int, list[str]]]) -> Column:
+    """The templates as one array. Bigrams come as one string each, which the optimizer splits once."""
+    rows = (F.struct(F.lit(n).alias("license"), F.lit(a).alias("low"), F.lit(b).alias("high"), F.split(F.lit("|".join(g)), r"\|").alias("grams")) for n, a, b, g in known)
+    return F.array(*rows).cast("array<struct<license:string,low:int,high:int,grams:array<string>>>")
+
+
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] | None = None, least: Fraction = LEAST) -> DataFrame:
+    """doc_id, unit (text, paragraph, line, sentence or block), number, license, n_bigrams, n_shared, dice: every unit and
+    template that match.
 
     A null or empty text has no match; neither has a unit of fewer than two words. Repeated rows match each; other
-    columns are not read. Paragraphs are set off by an empty line; a text of one line or paragraph is compared once.
+    columns are not read. Line ends are read as one line feed each; paragraphs are set off by empty lines, sentences by a
+    full stop, question or exclamation mark and white space. A text of one line, paragraph or sentence is compared once. A
+    block has the number of its first line, and is not given where it is the whole text.
     """
-    known = _prepared(TEMPLATES if templates is None else templates, least)
-    shape = "array<struct<license:string,low:int,high:int,grams:array<string>>>"
-    table = F.array(*(F.struct(F.lit(n).alias("license"), F.lit(a).alias("low"), F.lit(b).alias("high"), F.array(*map(F.lit, g)).alias("grams")) for n, a, b, g in known)).cast(shape)
+    known = _prepared(templates() if known is None else known, least)
     units = lambda kind, parts: F.transform(parts, lambda v, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), v.alias("v")))
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
     several = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
     probes = _probes(known)
     held = F.greatest(*(F.contains("__plain", F.lit(w)) for w in (*probes, *probes[:1]))) if probes else F.lit(False)
     # exploding one array keeps its value from being worked out again for each use
-    rows = docs.select(doc_id, text, F.explode(F.array(normalised(t))).alias("__plain")).where(held).select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(units("text", F.array(t)), units("paragraph", several(F.split(t, "\n\n"))), units("line", several(F.split(t, "\n"))))).alias("u"))
-    rows = rows.select("doc_id", "u.unit", "u.number", normalised(F.col("u.v")).alias("v"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), F.explode(F.array(normalised(t))).alias("__plain")).where(held)
+    cut = lambda pattern: several(F.split("t", pattern))
+    all_units = F.concat(units("text", F.array("t")), units("paragraph", cut(PARAGRAPH)), units("line", cut("\n")), units("sentence", cut(SENTENCE)))
+    rows = rows.select("doc_id", "t", F.explode(all_units).alias("u")).select("doc_id", F.when(F.col("u.unit") == "text", F.col("t")).alias("t"), "u.unit", "u.number", normalised(F.col("u.v")).alias("v"))
     rows = rows.where(F.contains("v", F.lit(" "))).withColumn("grams", F.explode(F.array(bigrams(F.col("v"))))).withColumn("n", F.size("grams"))
-    # a literal row of the plan, not a table: the bounds leave the few templates of a like size
-    rows = rows.withColumn("t", F.explode(F.filter(table, lambda x: (x["low"] <= F.col("n")) & (x["high"] >= F.col("n")))))
-    rows = rows.withColumn("n_shared", F.size(F.array_intersect("grams", "t.grams")))
-    rows = rows.withColumn("both", F.col("n") + F.size("t.grams")).where(F.col("n_shared") * 2 * least.denominator >= F.col("both") * least.numerator)
-    return rows.select("doc_id", "unit", "number", "t.license", F.col("n").alias("n_bigrams"), "n_shared", (F.col("n_shared") * F.lit(2.0) / F.col("both")).alias("dice"))
+    # a literal row of the plan, not a table: the bounds leave the few templates of a like size; of larger texts, a block may match
+    rows = rows.withColumn("c", F.explode(F.filter(_literal(known), lambda x: (x["low"] <= F.col("n")) & ((x["high"] >= F.col("n")) | F.col("t").isNotNull()))))
+    rows = rows.withColumn("n_shared", F.size(F.array_intersect("grams", "c.grams")))
+    fits = lambda n, shared: (F.col("c.high") >= n) & (F.col("c.low") <= n) & (shared * 2 * least.denominator >= (n + F.size("c.grams")) * least.numerator)
+    rows = rows.where(fits(F.col("n"), F.col("n_shared")) | (F.col("t").isNotNull() & (F.col("n_shared") >= F.col("c.low"))))
+    whole = F.array(F.struct("unit", F.col("number").cast("int").alias("number"), F.col("n"), F.col("n_shared").alias("shared")))
+    found = F.concat(F.filter(whole, lambda x: fits(x["n"], x["shared"])), F.when(F.col("t").isNotNull(), F.filter(_block(F.split("t", "\n"), F.col("c.grams")), lambda x: fits(x["n"], x["shared"]))).otherwise(F.array()))
+    rows = rows.select("doc_id", F.col("c.license").alias("license"), F.size("c.grams").alias("b"), F.explode(found).alias("x"))
+    return rows.select("doc_id", "x.unit", "x.number", "license", F.col("x.n").alias("n_bigrams"), F.col("x.shared").alias("n_shared"), (F.col("x.shared") * F.lit(2.0) / (F.col("x.n") + F.col("b"))).alias("dice"))
+
+
+PARAGRAPH, SENTENCE = r"\n[ \t]*\n+", r"[.?!][ \t]+"
+
+
+def _block(lines: Column, grams: Column) -> Column:
+    """The block of lines of a template's bigrams, as an array of one unit, or of none."""
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    own = lambda v: let(bigrams(normalised(v)), lambda g: (F.size(g) > 0) & (F.size(F.array_intersect(g, grams)) * 2 >= F.size(g)))
+    unit = lambda first, last: let(bigrams(normalised(F.array_join(F.slice(lines, first, last - first + 1), "\n"))), lambda g: F.struct(F.lit("block").alias("unit"), (first - 1).cast("int").alias("number"), F.size(g).alias("n"), F.size(F.array_intersect(g, grams)).alias("shared")))
+    ends = lambda f: F.struct(F.array_position(f, True).alias("first"), (F.size(f) - F.array_position(F.reverse(f), True) + 1).alias("last"), F.size(f).alias("size"))
+    found = let(F.transform(lines, own), lambda f: let(ends(f), lambda e: F.when((e["first"] > 0) & (e["last"] - e["first"] + 1 < e["size"]), unit(e["first"].cast("int"), e["last"].cast("int")))))
+    return F.filter(F.array(found), lambda x: x.isNotNull())
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-_ROWS = ", ".join("('{}', {}, {}, [{}])".format(n, a, b, ", ".join(f"'{x}'" for x in g)) for n, a, b, g in _prepared(TEMPLATES, LEAST))
+_ROWS = ", ".join("('{}', {}, {}, string_split('{}', '|'))".format(n, a, b, "|".join(g)) for n, a, b, g in _prepared(templates(), LEAST))
+_GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_WORDS = "string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_PART = "select doc_id, '{0}', unnest(range(0, len({1}))), unnest({1}), null from docs where len({1}) > 1"
+_FITS = f"{{n}} between low and high and {{shared}} * {2 * LEAST.denominator} >= ({{n}} + len(tgrams)) * {LEAST.numerator}"
 OP1_SQL = f"""
 with templates(license, low, high, tgrams) as (values {_ROWS}),
-docs as (select doc_id, coalesce(text, '') as t from documents),
-units as (select doc_id, 'text' as unit, 0 as number, t as v from docs
-    union all select doc_id, 'paragraph', i - 1, string_split(t, chr(10) || chr(10))[i] from docs, lateral (select unnest(range(1, len(string_split(t, chr(10) || chr(10))) + 1)) as i) where contains(t, chr(10) || chr(10))
-    union all select doc_id, 'line', i - 1, string_split(t, chr(10))[i] from docs, lateral (select unnest(range(1, len(string_split(t, chr(10))) + 1)) as i) where contains(t, chr(10))),
-words as (select doc_id, unit, number, string_split(trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g')), ' ') as w from units),
-grams as (select doc_id, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from words where len(w) > 1),
-compared as (select doc_id, unit, number, license, len(g) as n, len(list_intersect(g, tgrams)) as shared, len(g) + len(tgrams) as together from grams join templates on len(g) between low and high)
-select doc_id, unit, number::int as number, license, n::int as n_bigrams, shared::int as n_shared, shared * 2.0::double / together as dice from compared where shared * {2 * LEAST.denominator} >= together * {LEAST.numerator}
+docs as (select doc_id, regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g') as t from documents),
+units(doc_id, unit, number, v, t) as (select doc_id, 'text', 0, t, t from docs
+    union all {_PART.format("paragraph", f"string_split_regex(t, '{PARAGRAPH}')")}
+    union all {_PART.format("line", "string_split(t, chr(10))")}
+    union all {_PART.format("sentence", f"string_split_regex(t, '{SENTENCE}')")}),
+words as (select doc_id, unit, number, t, {_WORDS.format("v")} as w from units),
+grams as (select doc_id, unit, number, t, {_GRAMS.format("w")} as g from words where len(w) > 1),
+compared as (select doc_id, unit, number, t, license, low, high, tgrams, len(g) as n, len(list_intersect(g, tgrams)) as shared from grams join templates on len(g) >= low and (len(g) <= high or t is not null)),
+lined as (select doc_id, license, low, high, tgrams, list_transform(string_split(t, chr(10)), lambda v: {_GRAMS.format(_WORDS.format("v"))}) as lg, string_split(t, chr(10)) as lines from compared where t is not null and shared >= low),
+flagged as (select *, list_transform(lg, lambda g: len(g) > 0 and len(list_intersect(g, tgrams)) * 2 >= len(g)) as f from lined),
+ends as (select *, list_position(f, true) as first, len(f) - list_position(list_reverse(f), true) + 1 as last from flagged where list_contains(f, true)),
+block_words as (select doc_id, license, low, high, tgrams, first, {_WORDS.format("array_to_string(lines[first:last], chr(10))")} as w from ends where last - first + 1 < len(lines)),
+block_grams as (select doc_id, license, low, high, tgrams, first, {_GRAMS.format("w")} as g from block_words),
+blocks as (select doc_id, first - 1 as number, license, low, high, tgrams, len(g) as n, len(list_intersect(g, tgrams)) as shared from block_grams),
+found as (select doc_id, unit, number, license, n, shared, tgrams from compared where {_FITS.format(n="n", shared="shared")}
+    union all select doc_id, 'block', number, license, n, shared, tgrams from blocks where {_FITS.format(n="n", shared="shared")})
+select doc_id, unit, number::int as number, license, n::int as n_bigrams, shared::int as n_shared, shared * 2.0::double / (n + len(tgrams)) as dice from found
 """

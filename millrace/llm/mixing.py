@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 BIG = "decimal(38,0)"
+DEPTHS = 2  # of buckets: the documents of one of 65,536 are ordered together
 MAX_BROADCAST_LEAVES = 10_000  # rows of a leaf's names and three numbers
 LEVELS = ("domain", "lang", "source")
 
@@ -102,16 +103,21 @@ def mix(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id", text: str
     near = F.broadcast if part.count() <= MAX_BROADCAST_LEAVES else lambda df: df
     taken = ["doc_id", *LEVELS, "epoch", "n_tokens", "budget"]
     whole = rows.join(near(part.where("prefix >= tokens")), [*LEVELS]).select(*taken)
-    cut = rows.join(near(part.where("prefix < tokens")), [*LEVELS]).withColumn("order", order).withColumn("bucket", F.substring("order", 1, 2))
-    # where in its order a leaf's prefix ends: sums of 256 buckets first, then only the documents of the last bucket
-    sums = cut.groupBy(*LEVELS, "epoch", "prefix", "bucket").agg(F.sum("n_tokens").alias("sum"))
-    along = Window.partitionBy(*LEVELS, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(along), F.lit(0)))
-    last = sums.where("before < prefix and before + sum >= prefix").select(*LEVELS, "epoch", F.col("bucket").alias("end"), "before")
-    cut = cut.join(near(last), [*LEVELS, "epoch"])
-    within = Window.partitionBy(*LEVELS, "epoch").orderBy("order", "doc_id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    end = cut.where("bucket = end").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("start < prefix")
-    return whole.unionByName(cut.where("bucket < end").select(*taken)).unionByName(end.select(*taken))
+    cut = rows.join(near(part.where("prefix < tokens")), [*LEVELS]).withColumn("order", order).withColumn("before", F.lit(0).cast("long"))
+    # where in its order a leaf's prefix ends: the sums of DEPTHS times 256 ever smaller buckets, then the documents of the last
+    own, found = [*LEVELS, "epoch"], whole
+    for depth in range(DEPTHS):
+        cut = cut.withColumn("bucket", F.substring("order", 2 * depth + 1, 2))
+        sums = cut.groupBy(*own, "prefix", "before", "bucket").agg(F.sum("n_tokens").alias("sum"))
+        along = Window.partitionBy(*own).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("start", F.col("before") + F.coalesce(F.sum("sum").over(along), F.lit(0)))
+        last = sums.where("start < prefix and start + sum >= prefix").select(*own, F.col("bucket").alias("end"), "start")
+        cut = cut.join(near(last), own)
+        found = found.unionByName(cut.where("bucket < end").select(*taken))
+        cut = cut.where("bucket = end").drop("before", "end", "bucket").withColumnRenamed("start", "before")
+    within = Window.partitionBy(*own).orderBy("order", "doc_id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    end = cut.withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("start < prefix")
+    return found.unionByName(end.select(*taken))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

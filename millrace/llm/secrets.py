@@ -2,8 +2,8 @@
 
 Strong spans (assign, access, hex) stand alone. Weak candidates (a login name, a mixed-case key, a service address) are
 reported only when the parts that complete a credential lie within a scope of `SCOPE` code points: a key needs an
-identifier or an address, a name needs a secret, an address needs both. The join of intervals runs inside each row, on
-its few spans, so no row leaves its partition.
+identifier or an address, a name needs a secret, an address needs both. The join of intervals runs inside each row, over
+runs of its spans in order, so no row leaves its partition.
 """
 
 from __future__ import annotations
@@ -61,13 +61,37 @@ def _spans(text: Column, regex: str, kind: int, group: int = 0, least: int = 1,
     return F.aggregate(run(parts), runs, joined, lambda a: F.flatten(a["out"]))
 
 
+def _runs(spans: Column) -> Column:
+    """Spans in order, in runs of about the square root of their number: where each run begins and ends at the latest."""
+
+    def cut(o: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(o))).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / size).cast("int")), lambda k: F.slice(o, k * size + 1, size))
+        return F.transform(parts, lambda q: F.struct(F.get(q, F.lit(0))["s"].alias("s"), F.array_max(F.transform(q, lambda p: p["e"])).alias("e"), q.alias("spans")))
+
+    return _let(F.sort_array(spans), lambda o: F.when(F.size(o) > 0, cut(o)).otherwise(F.array().cast(f"array<struct<s:int,e:int,spans:array<{SPAN}>>>")))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), worked out once however often `use` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _meets(of: Column, others: Column, scope: int) -> Callable[[Callable], Column]:
+    """The spans less than `scope` code points from one of the others, or with `not` those that are not: whole runs of the
+    others are passed over, so that n spans take n times the square root of n."""
+    close = lambda c, p: (p["s"] - c["e"] < scope) & (c["s"] - p["e"] < scope)
+    return lambda keep: _let(_runs(others), lambda runs: F.filter(of, lambda c: keep(F.exists(runs, lambda r: close(c, r) & F.exists(r["spans"], lambda p: close(c, p))))))
+
+
 def _near(of: Column, others: Column) -> Column:
     """The spans that have one of the others within the scope."""
-    return F.filter(of, lambda c: F.exists(others, lambda p: (p["s"] - c["e"] <= SCOPE) & (c["s"] - p["e"] <= SCOPE)))
+    return _meets(of, others, SCOPE + 1)(lambda found: found)
 
 
 def _apart(of: Column, others: Column) -> Column:
-    return F.filter(of, lambda c: ~F.exists(others, lambda p: (p["s"] < c["e"]) & (c["s"] < p["e"])))
+    """The spans that overlap none of the others."""
+    return _meets(of, others, 0)(lambda found: ~found)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
@@ -109,15 +133,32 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", into: str = "secrets") -> DataFrame:
-    """docs whose `text` has each run of overlapping spans of `into` replaced by the mark; null texts stay null."""
+    """docs whose `text` has each run of overlapping spans of `into` replaced by the mark; null texts stay null.
 
-    def step(a: Column, p: Column) -> Column:
-        new = p["s"] >= a["at"]
-        piece = F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, p["s"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], p["e"]).alias("at"), F.when(new, piece).otherwise(a["out"]).alias("out"))
+    A text is put together from pieces of RUN spans each, so that very many spans don't copy it once a span.
+    """
+    t = F.col(text)
+
+    def piece(spans: Column, k: Column) -> Column:
+        own = F.slice(spans, k * RUN + 1, RUN)
+        before = F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), k * RUN), lambda p: p["e"])), F.lit(0))
+        after = F.get(spans, (k + 1) * RUN)["s"]
+        last = F.greatest(before, F.array_max(F.transform(own, lambda p: p["e"])))
+        start = F.when(k == 0, F.lit(0)).otherwise(F.greatest(before, F.get(spans, k * RUN)["s"]))
+        end = F.coalesce(F.greatest(after, last), F.length(t))
+
+        def put(b: Column) -> Column:
+            def step(a: Column, p: Column) -> Column:
+                given = F.substring(b["v"], F.greatest(a["at"] - b["start"], F.lit(0)) + 1, p["s"] - F.greatest(a["at"], b["start"]))
+                return F.struct(F.greatest(a["at"], p["e"]).alias("at"), F.when(p["s"] >= a["at"], F.concat(a["out"], given, F.lit(mark))).otherwise(a["out"]).alias("out"))
+
+            rest = lambda a: F.concat(a["out"], F.substring(b["v"], F.greatest(a["at"] - b["start"], F.lit(0)) + 1, F.length(b["v"])))
+            return F.aggregate(own, F.struct(b["before"].alias("at"), F.lit("").alias("out")), step, rest)
+
+        return _let(F.struct(before.alias("before"), start.alias("start"), F.substring(t, start + 1, end - start).alias("v")), put)
 
-    done = F.aggregate(F.col(into), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return docs.withColumn(text, F.when(F.size(into) > 0, done).otherwise(F.col(text)))
+    done = _let(F.col(into), lambda spans: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int")), lambda k: piece(spans, k)), ""))
+    return docs.withColumn(text, F.when(F.size(into) > 0, done).otherwise(t))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
