@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import PIECE, fold, mixed, pack, partitions, trim, unpack, words_of
 
 LEAF, MIDDLE, ROOT = (0.8, 0.5), (0.75, 0.5), (0.6, 1.0)  # discount and strength of the restaurants of pairs, of words, of the root
-BURN_IN, SAMPLES, SEED = 4, 3, 11
+BURN_IN, SAMPLES, SEED = 3, 3, 11
 EXACT = 512  # customers up to which Stirling numbers come from their table; beyond, from their saddle points
 CHUNK = 16 << 20  # bytes of texts that ask together
 HEAVY = 32  # documents of a chunk from which a bucket answers an entry's probability rather than the documents' sums
@@ -94,24 +94,33 @@ def _stirling(discount: float) -> np.ndarray:
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma of positive numbers, by Stirling's series above 8."""
+    """log Gamma of positive numbers, by Stirling's series eight further on."""
     x = np.asarray(x, float)
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift = np.where(low, shift + np.log(np.where(low, y, 1.0)), shift)
-        y = np.where(low, y + 1, y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    y, product = x + 8, x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+def _ratio(s: np.ndarray, d: float) -> np.ndarray:
+    """log (n / t) of the saddle point at s = -log(1 - x)."""
+    return np.log(-np.expm1(-s)) + math.log(d) - s * (d - 1) - np.log(-np.expm1(-d * s))
+
+
+@cache
+def _saddle_points(d: float) -> tuple[np.ndarray, np.ndarray]:
+    s = np.geomspace(1e-9, 700, 4096)
+    return _ratio(s, d), np.log(s)
 
 
 def _saddle(n: float, t: np.ndarray, d: float) -> np.ndarray:
     """log of n! / (t! d^t) [x^n] (1 - (1 - x)^d)^t at the saddle point, for t below n."""
-    low, high = np.full(len(t), 1e-12), np.full(len(t), 700.0)
-    for _ in range(70):  # s = -log(1 - x)
-        s = (low + high) / 2
-        over = np.log(-np.expm1(-s)) + math.log(d) - s * (d - 1) - np.log(-np.expm1(-d * s)) > np.log(n / t)
-        low, high = np.where(over, low, s), np.where(over, s, high)
-    s = (low + high) / 2
+    ratio, at = _saddle_points(d)
+    s = np.exp(np.interp(np.log(n / t), ratio, at))
+    for _ in range(2):
+        y = np.exp(-s)
+        slope = y / -np.expm1(-s) - (d - 1) - d * np.exp(-d * s) / -np.expm1(-d * s)
+        s = np.maximum(s - (_ratio(s, d) - np.log(n / t)) / np.maximum(slope, 1e-12), s / 2)
     x, f = -np.expm1(-s), -np.expm1(-d * s)
     one = d * np.exp(-s * (d - 1)) / f  # f'/f
     two = d * (1 - d) * np.exp(-s * (d - 2)) / f
@@ -137,6 +146,11 @@ def stirling_beyond(n: int, t: np.ndarray, d: float) -> np.ndarray:
     return _saddle(n, t, d) - np.where(x < 0, error[0] + x * (error[1] - error[0]) / at[1], np.interp(x, at, error))
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    x = np.round(x).astype(np.int64)
+    return x[np.append(True, x[1:] > x[:-1])]
+
+
 def _draw_large(c: int, u: float, a: float, d: float, g: float, h: float, step: int) -> int:
     """As draw_tables, for one dish of many customers: intervals of counts, then evenly within one."""
 
@@ -146,11 +160,11 @@ def _draw_large(c: int, u: float, a: float, d: float, g: float, h: float, step:
             return stirling_beyond(c, t, d) + more + _lgamma(g + t) - _lgamma(np.array([g + 1.0])) - _lgamma(h + t) + _lgamma(np.array([h + 1.0]))
         return stirling_beyond(c, t, d) + more + (t - 1) * (math.log(g / h) if g > 0 else -1e9)
 
-    t = np.unique(np.round(np.geomspace(1, c, 256)).astype(np.int64))
+    t = _steps(np.geomspace(1, c, 256))
     p = log_p(t.astype(float))
     some = np.flatnonzero(p > p.max() - 40)
     low, high = int(t[max(some[0] - 1, 0)]), int(t[min(some[-1] + 1, len(t) - 1)])
-    t = np.unique(np.linspace(low, high, min(513, high - low + 1)).astype(np.int64))
+    t = _steps(np.linspace(low, high, min(513, high - low + 1)))
     p = log_p(t.astype(float))
     width = np.diff(np.append(t, high + 1))
     p = np.cumsum(np.exp(p - p.max()) * width)
@@ -250,12 +264,12 @@ def asks(texts: list[str | None], train: np.ndarray, coder: Coder, hot: np.ndarr
     many = np.bincount(pair_entry, minlength=len(at)).astype(np.int32)
     heavy = many >= heavy_from
     spread = words[one] ^ np.where(np.isin(words, hot)[one], mixed(words[x] + np.uint64(1)), np.uint64(0))
-    bucket = (mixed(spread + _SALT) % np.uint64(n)).astype(np.int32)
+    bucket = (mixed(spread + _SALT) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int32)  # short ones sort faster
     order = np.argsort(bucket, kind="stable")
-    by_pair = np.argsort(bucket[pair_entry], kind="stable")
-    dense = heavy[pair_entry[by_pair]]
-    light, dense = by_pair[~dense], by_pair[dense]
-    lights = {b: (i, j) for b, i, j in _edges(bucket[pair_entry[light]])}
+    own, dense = bucket[pair_entry], heavy[pair_entry]
+    light, dense = np.flatnonzero(~dense), np.flatnonzero(dense)
+    light, dense = light[np.argsort(own[light], kind="stable")], dense[np.argsort(own[dense], kind="stable")]
+    lights = {b: (i, j) for b, i, j in _edges(own[light])}
     ranks, number = coder.ranks(words), np.empty(len(words), np.int32)
     out, flags = [], np.zeros(len(words), bool)
     for b, i, j in _edges(bucket[order]):
