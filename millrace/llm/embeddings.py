@@ -6,8 +6,7 @@ spread over; where these are few it is the bound that no pair escapes. Shards th
 pivots of their own. Each shard builds a graph: a vector's neighbours are pruned so that none is much nearer to another
 neighbour than to the vector. A vector's adjacency lists from its shards are united, and every vector searches its shards
 over the united lists: greedily from the medoid first, then expanding whatever lies near the range. What it finds is
-verified by its cosine in double precision. Shards that pivots can't split, as most of their vectors are in range of each
-other, are compared block by block: a search could not visit fewer.
+verified by its cosine in double precision. Shards that pivots can't split are compared block by block.
 """
 
 from __future__ import annotations
@@ -220,7 +219,8 @@ def _searcher(least: float):
 
 
 def _placed(found: DataFrame, least: float) -> DataFrame:
-    """label, dim, rep, node, shard, dense: the shards of each vector; dense ones are those that pivots don't split."""
+    """label, dim, rep, node, shard, dense: the shards of each vector; dense ones are those that pivots don't split, as
+    comparing all within the parts would take more than half of comparing all at once."""
     group, ids = ["label", "dim"], ["rep", "node"]
     placed, done, level = found.select(*group, *ids, F.lit(0).cast("long").alias("shard")), None, 0
     limit = SHARD
@@ -240,10 +240,12 @@ def _placed(found: DataFrame, least: float) -> DataFrame:
         keys = [*group, "shard", "salt"]
         parts = dealt.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInPandas(_assigner(least), "rep long, node long, shard long, parts array<int>")
         # a vector's label follows from its id
-        parts = parts.join(found.select(*group, *ids), ids).select(*group, *ids, "shard", F.explode("parts").alias("part"))
-        parts = checkpoint(parts.select(*group, *ids, F.xxhash64("shard", "part", F.lit(level)).alias("shard"), (F.col("part") < 0).alias("dense")))
-        done = done.unionByName(parts.where("dense"))
-        placed, limit, level = parts.where("not dense").drop("dense"), LARGE, level + 1
+        parts = checkpoint(parts.join(found.select(*group, *ids), ids).select(*group, *ids, "shard", F.explode("parts").alias("part")))
+        cost = parts.groupBy(*group, "shard", "part").agg(F.count("*").alias("n")).groupBy(*group, "shard").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
+        judged = checkpoint(large.join(cost, [*group, "shard"]).select(*group, "shard", (F.col("cost") * 2 < F.col("k").cast("double") * F.col("k")).alias("split")))
+        done = done.unionByName(placed.join(judged.where("not split"), [*group, "shard"], "left_semi").withColumn("dense", F.lit(True)))
+        placed = parts.join(judged.where("split"), [*group, "shard"], "left_semi").select(*group, *ids, F.xxhash64("shard", "part", F.lit(level)).alias("shard"))
+        limit, level = LARGE, level + 1
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:

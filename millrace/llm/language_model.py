@@ -35,9 +35,9 @@ from .common import PIECE, fold, mixed, pack, partitions, trim, unpack, words_of
 LEAF, MIDDLE, ROOT = (0.8, 0.5), (0.75, 0.5), (0.6, 1.0)  # discount and strength of the restaurants of pairs, of words, of the root
 BURN_IN, SAMPLES, SEED = 3, 3, 11
 EXACT = 512  # customers up to which Stirling numbers come from their table; beyond, from their saddle points
-CHUNK = 16 << 20  # bytes of texts that ask together
+CHUNK = 12 << 20  # bytes of texts that ask together
 HEAVY = 32  # documents of a chunk from which a bucket answers an entry's probability rather than the documents' sums
-SAMPLE_DOCUMENTS, COMMON = 2_000, 1 << 15  # words are coded, and frequent ones dealt, by what a sample shows
+SAMPLE_DOCUMENTS, COMMON = 8_000, 1 << 18  # words are coded, and frequent ones dealt, by what a sample shows
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT, _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 # what a row holds
@@ -69,7 +69,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _before(x: np.ndarray, doc: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The token before each and the one before that, `start` beyond a text's beginning."""
-    one, two = np.append(start, x[:-1])[: len(x)], np.append([start, start], x[:-2])[: len(x)]
+    one, two = (np.concatenate([np.full(k, start, x.dtype), x[:-k]])[: len(x)] for k in (1, 2))
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(x)])
     one[first] = two[first] = start
     second = first + 1
@@ -238,28 +238,40 @@ class Coder:
         return np.where(self.ordered[at] == words, self.rank[at], -1)
 
 
+def _keys(first: np.ndarray, second: np.ndarray, third: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of triples of numbers below `bound`, and where another triple begins."""
+    if bound < 1 << 21:
+        key = first.astype(np.uint64) << np.uint64(42)
+        key |= second.astype(np.uint64) << np.uint64(21)
+        key |= third.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.append(True, key[1:] != key[:-1])[: len(key)]
+    order = np.lexsort((third, second, first))
+    return order, np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0) | (np.diff(third[order]) != 0))[: len(order)]
+
+
 def asks(texts: list[str | None], train: np.ndarray, coder: Coder, hot: np.ndarray, n: int, chunk: int, heavy_from: int) -> list[tuple]:
     """What a chunk of texts asks each bucket, and what it keeps for itself: tokens of each text, entries in many texts."""
     w, doc = tokens(texts)
     words, x = np.unique(np.append(w, START), return_inverse=True)
-    start, x = int(x[-1]), x[:-1]
+    del w
+    x, doc = x.astype(np.int32), doc.astype(np.int32)
+    sizes = np.bincount(doc, minlength=len(texts)).astype(np.int64)
+    start, x = x[-1], x[:-1]
     one, two = _before(x, doc, start)
-    if len(words) < 1 << 21:
-        key = one.astype(np.uint64) << np.uint64(42) | (x << 21 | two).astype(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        entry = np.append(True, key[1:] != key[:-1])[: len(x)]
-    else:
-        order = np.lexsort((two, x, one))
-        entry = np.append(True, (np.diff(one[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(two[order]) != 0))[: len(x)]
+    order, entry = _keys(one, x, two, len(words))
     at = np.flatnonzero(entry)
-    one, x, two = one[order[at]], x[order[at]], two[order[at]]
-    of, doc_of = np.cumsum(entry) - 1, doc[order]
+    first = order[at]
+    one, x, two = one[first], x[first], two[first]
+    of, doc_of = (np.cumsum(entry) - 1).astype(np.int32), doc[order]
+    del order, doc, first
     many = np.diff(np.append(at, len(of)))
     again = np.flatnonzero(many[of] > 1)  # tokens of entries that occur again, by document
     doc_of[again] = doc_of[again][np.lexsort((doc_of[again], of[again]))]
     place = np.flatnonzero(entry | np.append(True, doc_of[1:] != doc_of[:-1])[: len(of)])
-    pair_entry, pair_doc, pair_n = of[place], doc_of[place].astype(np.int32), np.diff(np.append(place, len(of))).astype(np.int32)
+    pair_entry, pair_doc, pair_n = of[place], doc_of[place], np.diff(np.append(place, len(of))).astype(np.int32)
+    del of, doc_of, again, place, entry
     c = np.bincount(pair_entry, weights=pair_n * train[pair_doc], minlength=len(at)).astype(np.int32)
     many = np.bincount(pair_entry, minlength=len(at)).astype(np.int32)
     heavy = many >= heavy_from
@@ -291,7 +303,7 @@ def asks(texts: list[str | None], train: np.ndarray, coder: Coder, hot: np.ndarr
         runs = np.diff(np.append(np.flatnonzero(head), len(own))).astype(np.int32)
         out.append((b, chunk, ASK, pack(words[local], a[head], runs, e, f, c[own], np.where(heavy[own], 0, many[own]).astype(np.int32), pair_doc[pairs], pair_n[pairs])))
     home = int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(n))
-    out.append((home, chunk, DOCS, pack(np.bincount(doc, minlength=len(texts)).astype(np.int64), many[order[heavy[order]]], pair_doc[dense], pair_n[dense])))
+    out.append((home, chunk, DOCS, pack(sizes, many[order[heavy[order]]], pair_doc[dense], pair_n[dense])))
     return out
 
 
@@ -309,6 +321,8 @@ def _asker(shared, n: int, schema: pa.Schema, chunk: int, heavy: int):
                 writer.write_table(table.select(["doc_id"]))
             rows.append((rows[-1][0], base + k, IDS, sink.getvalue().to_pybytes()))
             held, size, k = [], 0, k + 1
+            del table
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -331,17 +345,6 @@ def _asker(shared, n: int, schema: pa.Schema, chunk: int, heavy: int):
 # buckets
 
 
-def _keys(first: np.ndarray, second: np.ndarray, third: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of triples of numbers below `bound`, and where another triple begins."""
-    if bound < 1 << 21:
-        key = first.astype(np.uint64) << np.uint64(42) | (second << 21 | third).astype(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        return order, np.append(True, key[1:] != key[:-1])[: len(key)]
-    order = np.lexsort((third, second, first))
-    return order, np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0) | (np.diff(third[order]) != 0))[: len(order)]
-
-
 class Bucket:
     """All entries of a bucket: leaves (first, word, second), their pairs (first, word), their words."""
 

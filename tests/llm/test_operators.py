@@ -240,6 +240,45 @@ def test_embeddings(spark):
     assert embeddings.audit(df, found).first().recall >= 0.9
 
 
+def test_embeddings_of_one_id(spark):
+    """An id with several labels or vectors names several vectors; very large and very small components count."""
+    rows = [(7, [1.0, 0.0], 1), (8, [1.0, 0.01], 1), (7, [0.0, 1.0], 2), (9, [0.01, 1.0], 2), (7, [-1.0, 0.0], 1), (20, [1e200, 1e200], 3), (21, [1e200, 1.01e200], 3), (22, [1e-170, 1e-170], 3), (23, [0.0, -1e-300], 3)]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect())
+    assert got == [(7, 0, 7, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False), (20, 2, 20, True), (21, 2, 20, False), (22, 2, 20, False), (23, 0, 23, True)]
+
+
+def test_graph_is_pruned_and_searched():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 24)) + 3 * r.normal(size=(12, 24))[r.integers(0, 12, 600)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.arange(600)
+    graph = embeddings.robust_graph(x, own)
+    for i in range(0, 600, 50):
+        near = [j for j in graph[i] if j >= 0]
+        far = lambda a, b: np.sqrt(max(0, 2 - 2 * x[a] @ x[b]))
+        assert near and all(embeddings.ALPHA * far(a, b) > far(i, b) for k, a in enumerate(near) for b in near[k + 1 :])
+    found = embeddings.range_search(x, own, graph, 0.8)
+    true = x @ x.T >= 0.8
+    assert not (found & ~true).any() and found.sum() >= 0.97 * true.sum()
+
+
+def test_shards_that_are_dealt_again(spark, monkeypatch):
+    """Labels and shards above their bounds, dense ones among them, against brute force."""
+    monkeypatch.setattr(embeddings, "SHARD", 60)
+    monkeypatch.setattr(embeddings, "LARGE", 120)
+    r = np.random.default_rng(6)
+    centre = r.normal(size=(40, 32))
+    x = np.concatenate([centre[r.integers(0, 40, 900)] + 0.25 * r.normal(size=(900, 32)), centre[0] + 0.05 * r.normal(size=(400, 32))])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(1300), "embedding": x.tolist(), "label": 0}), "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    root = brute.roots(range(1300), np.argwhere(np.triu(near)).tolist())
+    assert sum(g.n_links for g in got.values()) >= 0.99 * near.sum() and all(got[i].n_links <= near[i].sum() for i in got)
+    assert sum(got[i].component_id != root[i] for i in got) <= 13
+
+
 def test_embeddings_recall(spark, sf):
     found = embeddings.op5_embedding_dedup(spark, sf)
     a = embeddings.audit(spark.read.parquet(f"{sf}/embeddings.parquet"), found).first()
