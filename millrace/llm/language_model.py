@@ -355,20 +355,22 @@ class Bucket:
         self.chunks = list(zip(rows["src"].tolist(), [len(p[3]) for p in parts], [len(p[7]) for p in parts], strict=True))
         self.words = np.unique(np.concatenate([coder.common, *(p[0] for p in parts)]))
         common = np.searchsorted(self.words, coder.common)
-        at = [np.concatenate([common, np.searchsorted(self.words, p[0])]) for p in parts]
-        one = np.concatenate([np.empty(0, np.int64), *(np.repeat(x[p[1]], p[2]) for x, p in zip(at, parts, strict=True))])
-        word, two = (np.concatenate([np.empty(0, np.int64), *(x[p[k]] for x, p in zip(at, parts, strict=True))]) for k in (3, 4))
+        at = [np.concatenate([common, np.searchsorted(self.words, p[0])]).astype(np.int32) for p in parts]
+        one = np.concatenate([np.empty(0, np.int32), *(np.repeat(x[p[1]], p[2]) for x, p in zip(at, parts, strict=True))])
+        word, two = (np.concatenate([np.empty(0, np.int32), *(x[p[k]] for x, p in zip(at, parts, strict=True))]) for k in (3, 4))
+        given = [cat(k, np.int32) for k in (5, 6, 7, 8)]
+        del parts, at
         order, new = _keys(one, word, two, len(self.words))
         self.leaf_of = np.empty(len(order), np.int32)
         self.leaf_of[order] = np.cumsum(new) - 1
         of = order[new]
-        first, word, self.second = (v[of].astype(np.int32) for v in (one, word, two))
+        first, word, self.second = (v[of] for v in (one, word, two))
         del one, two, order
-        self.c = np.bincount(self.leaf_of, weights=cat(5, np.int32), minlength=len(of)).astype(np.int64)
+        c, self.many, self.pair_doc, self.pair_n = given
+        self.c = np.bincount(self.leaf_of, weights=c, minlength=len(of)).astype(np.int64)
         new = np.append(True, (first[1:] != first[:-1]) | (word[1:] != word[:-1]))[: len(of)]
         self.pair_of = (np.cumsum(new) - 1).astype(np.int32)
         self.first, self.word = first[new], word[new]
-        self.many, self.pair_doc, self.pair_n = cat(6, np.int32), cat(7, np.int32), cat(8, np.int32)
         left, left_of = np.unique(first.astype(np.int64) << 32 | self.second, return_inverse=True)
         self.left_of = left_of.astype(np.int32)
         self.c2 = np.bincount(self.left_of, weights=self.c, minlength=len(left)).astype(np.int64)
@@ -633,15 +635,12 @@ def _relay(n: int):
 # scores
 
 
-def probabilities(b: Bucket, drawn: list, sums: list[dict], c2: np.ndarray, M: list[int], R: list[int], V: int) -> np.ndarray:
-    """The mean predictive probability of each leaf's word."""
+def probability(b: Bucket, t2: np.ndarray, t1: np.ndarray, x: dict, c2: np.ndarray, M: int, R: int, V: int) -> np.ndarray:
+    """The predictive probability of each leaf's word, given all tables."""
     (d2, s2), (d1, s1), (d0, s0) = LEAF, MIDDLE, ROOT
-    base, out = 1 / (V + 1), np.zeros(len(b.c))
-    for (t2, t1), x, M_, R_ in zip(drawn, sums, M, R, strict=True):
-        p = (x["m"] - d0 * x["r"] + (s0 + d0 * R_) * base) / (s0 + M_)
-        p = (x["k"] - d1 * t1 + (s1 + d1 * x["T1"][b.first]) * p[b.word]) / (s1 + x["K"][b.first])
-        out += (b.c - d2 * t2 + (s2 + d2 * x["T2"][b.left_of]) * p[b.pair_of]) / (s2 + c2[b.left_of])
-    return out / len(drawn)
+    p = (x["m"] - d0 * x["r"] + (s0 + d0 * R) / (V + 1)) / (s0 + M)
+    p = (x["k"] - d1 * t1 + (s1 + d1 * x["T1"][b.first]) * p[b.word]) / (s1 + x["K"][b.first])
+    return (b.c - d2 * t2 + (s2 + d2 * x["T2"][b.left_of]) * p[b.pair_of]) / (s2 + c2[b.left_of])
 
 
 def _answerer(shared, n: int):
@@ -653,25 +652,30 @@ def _answerer(shared, n: int):
         if (asked["kind"] == ASK).any():
             b = Bucket(asked, *shared.value, n)
             state, replies = _one(rows, STATE), _replied(rows, len(SETS) * SAMPLES + 2)
-            drawn = [b.tables(state[2 * s], state[2 * s + 1]) for s in range(SAMPLES)]
-            sums = [b.totals(*d, replies[5 * s : 5 * s + 5]) for s, d in enumerate(drawn)]
             known, c2 = np.zeros(len(b.words), np.int64), b.c2.copy()
             known[b.lists[0][0]], c2[b.lists[2][0]] = replies[-2:]
             ((*M, N, _, _),), ((V, *R),) = ([v.tolist() for v in _one(rows, kind)] for kind in (ALL, PART))
-            score = np.log10(probabilities(b, drawn, sums, c2, M, R, V))[b.leaf_of]
-            known = known[b.word[b.pair_of]][b.leaf_of]
+            score = np.zeros(len(b.c))
+            for s in range(SAMPLES):
+                t2, t1 = b.tables(state[2 * s], state[2 * s + 1])
+                score += probability(b, t2, t1, b.totals(t2, t1, replies[5 * s : 5 * s + 5]), c2, M[s], R[s], V)
+                del t2, t1
+            score = np.log10(score / SAMPLES)
+            del c2, state, replies
+            known = known[b.word]
             base = np.log10((known + 0.5) / (N + 0.5 * (V + 1)))
             at = at_pair = 0
             for chunk, entries, pairs in b.chunks:
-                e, q = slice(at, at + entries), slice(at_pair, at_pair + pairs)
+                leaf, q = b.leaf_of[at : at + entries], slice(at_pair, at_pair + pairs)
+                many, pair = b.many[at : at + entries], b.pair_of[leaf]
                 at, at_pair = at + entries, at_pair + pairs
-                which, times = np.repeat(np.arange(entries), b.many[e]), b.pair_n[q]
+                which, times = np.repeat(np.arange(entries), many), b.pair_n[q]
                 docs, of = np.unique(b.pair_doc[q], return_inverse=True)
                 add = lambda v: np.bincount(of, weights=v[which] * times, minlength=len(docs))  # noqa: B023, E731
-                out.append((chunk, me, SUMS, pack(np.diff(docs, prepend=0).astype(np.int32), add(known[e] > 0).astype(np.int32), add(base[e]), add(score[e]))))
-                heavy = np.flatnonzero(b.many[e] == 0) + e.start
+                out.append((chunk, me, SUMS, pack(np.diff(docs, prepend=0).astype(np.int32), add(known[pair] > 0).astype(np.int32), add(base[pair]), add(score[leaf]))))
+                heavy = np.flatnonzero(many == 0)
                 if len(heavy):
-                    out.append((chunk, me, HEAVIES, pack((known[heavy] > 0).astype(np.int32), base[heavy], score[heavy])))
+                    out.append((chunk, me, HEAVIES, pack((known[pair[heavy]] > 0).astype(np.int32), base[pair[heavy]], score[leaf[heavy]])))
             out += [(s, me, ALL, pack(np.array([N], np.int64))) for s in sorted({c for c, *_ in b.chunks})]
             trim()
         return pd.DataFrame(out, columns=["dest", "src", "kind", "blob"])
