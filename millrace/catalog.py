@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.queries import graph, listings, logs, search, upkeep, words
+from millrace.queries import graph, intake, listings, logs, pages, search, upkeep, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (search, words, logs, graph, upkeep, listings):
+for _part in (search, words, logs, graph, upkeep, listings, pages, intake):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

@@ -46,6 +46,23 @@ def excluded(path: Column, patterns: Sequence[str]) -> Column:
     return path.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
+def blog_links(html: Column) -> Column:
+    """Links of a blog's page: without its tag cloud, and without those of the blog's own machinery (wp-)."""
+    from millrace.functions.urls import links
+
+    return F.filter(links(F.regexp_replace(html, r'(?is)<div class="tagcloud">.*?</div>', "")), lambda u: ~F.contains(u, F.lit("wp-")))
+
+
+def redirect_links(redirects: DataFrame) -> DataFrame:
+    """src, dst: a redirect counts as a link from its page to its target, which is not followed."""
+    return redirects.where(F.col("response").isin(301, 302)).select(F.col("url").alias("src"), F.trim("body").alias("dst"))
+
+
+def expired(rows: DataFrame, now: Column) -> DataFrame:
+    """Stored results whose time and rate in seconds lie before now."""
+    return rows.where(F.col("modified") + F.col("rate") < now)
+
+
 def storable(html: Column) -> Column:
     """Not over the size limit and not barred by the page's own robots tag."""
     from millrace.functions.urls import robots_blocks

@@ -122,6 +122,7 @@ def rank_fields(posts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     by = F.lit(0).cast("long")
     for f in ranks.FIELD_POINTS:
         by = F.when(F.col("field") == f, ranks.points(f, n)).otherwise(by)
+    by = F.when(F.col("field") == "main_url", ranks.MAIN_URL_WORD).otherwise(by)
     first = F.when((F.col("field") == "title") & F.array_contains("positions", 0), ranks.FIRST_TITLE_WORD).otherwise(0)
     if "rank" in posts.columns:
         rows = posts.groupBy("doc_id").agg(F.sum(by + first).alias("score"), F.max("rank").alias("rank"))
@@ -138,6 +139,43 @@ def with_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*(c for c in docs.columns if c != text), F.inline(both))
 
 
+ANCHOR = r'(?is)<a[^>]+href="([^"#]+)"[^>]*>(.*?)</a>'
+
+
+def page_fields(pages: DataFrame, anchors: DataFrame | None = None, doc_id: str = "doc_id", url: str = "url", html: str = "html") -> DataFrame:
+    """doc_id, field, text: each page's title, headlines, URL, the main word of its host, and body; the texts of links that
+    lead to it (doc_id, text) as its anchors."""
+    joined = lambda c: F.array_join(c, " ")
+    labels = F.split(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1)), r"\.")
+    fields = {
+        "title": F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1),
+        "headline": joined(F.regexp_extract_all(html, F.lit("(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))),
+        "url": F.col(url),
+        "main_url": F.coalesce(F.try_element_at(labels, F.lit(-2)), F.element_at(labels, -1)),
+        "body": F.regexp_replace(F.regexp_replace(html, "(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>", " "), "<[^>]*>", " "),
+    }
+    rows = pages.select(F.col(doc_id).alias("doc_id"), F.inline(F.array(*(F.struct(F.lit(k).alias("field"), F.coalesce(v, F.lit("")).alias("text")) for k, v in fields.items()))))
+    return rows if anchors is None else rows.unionByName(anchors.select("doc_id", F.lit("anchor").alias("field"), "text"))
+
+
+def document_scan(rows: DataFrame, response: int | None = None, language: str | None = None, tld: str | None = None) -> DataFrame:
+    """Rows of a document index (url, response, lang) that meet every condition given; those without a URL are passed over."""
+    out = rows.where(F.coalesce("url", F.lit("")) != "")
+    for column, wanted in (("response", response), ("lang", language)):
+        out = out if wanted is None else out.where(F.col(column) == wanted)
+    return out if tld is None else out.where(F.substring_index(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]*)", 1)), ".", -1) == tld)
+
+
+def by_rank_bucket(rows: DataFrame, rank: str = "rank", by: str = "doc_id") -> DataFrame:
+    """Rows in order of their rank's bucket, the smallest first, ties by `by`: a range partitioned sort."""
+    return rows.withColumn("bucket", ranks.rank_bucket(F.col(rank))).orderBy("bucket", by)
+
+
+def of_lots(rows: DataFrame, lots: DataFrame, size: int = 500_000, doc_id: str = "doc_id") -> DataFrame:
+    """Rows whose lot is among those of a server."""
+    return rows.withColumn("lot", F.floor(F.col(doc_id) / size)).join(lots.select("lot").distinct(), "lot", "left_semi")
+
+
 def page(rows: DataFrame, number: int = 1, size: int = 10, order: str = "relevance", most: int = 250, by: str = "doc_id") -> DataFrame:
     """A page of results, from 1. Orders: relevance (also for unknown names), newest, oldest; ties by doc_id."""
     first = {"newest": [F.desc("time")], "oldest": [F.asc("time")]}.get(order, [F.desc("score")])

@@ -10,7 +10,7 @@ from millrace.functions.urls import host
 from millrace.operators import admin, ingest, records, search
 
 from .search import _attributes
-from .tables import TOKENS, log, read
+from .tables import CRC32, TOKENS, log, read
 
 
 def index_log(spark, sf):
@@ -60,7 +60,7 @@ def sizes_as_text(spark, sf):
 
 
 def case_listing(spark, sf):
-    return read(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.upper("c_name")).alias("name")).orderBy(F.lower("name"), "name").limit(40)
+    return read(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.upper("c_name")).alias("name")).orderBy(F.lower("name"), "name")
 
 
 def log_tail(spark, sf):
@@ -80,9 +80,9 @@ def supported_languages(spark, sf):
 
 
 def redirect_resource(spark, sf):
-    """Pages that answer with a redirect, with the text length of the page they lead to."""
+    """Every page as a redirect, with the text length of the page it leads to."""
     p = read(spark, sf, "pages")
-    r = p.where(F.col("page_id") % 5 == 0).select("page_id", F.floor(F.col("page_id") / 5).alias("to"))
+    r = p.select("page_id", F.floor(F.col("page_id") / 5).alias("to"))
     return r.join(p.select(F.col("page_id").alias("to"), F.length("html").cast("long").alias("size")), "to").select("page_id", "to", "size")
 
 
@@ -127,6 +127,7 @@ QUERIES = {f.__name__: f for f in (index_log, unknown_types, access_log_users, m
 _SIZE = "case when n_chars < 1000 then 'small' when n_chars < 5000 then 'medium' else 'large' end"
 _H = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))"
 SQL = {
+    "url_partitions": f"select {CRC32.format('url')} % 64 as part, count(*) as n, count(distinct url) as n_urls from pages group by 1",
     "index_log": "select o_orderkey as time, o_custkey % 9 as new, o_custkey % 5 as recrawled, 7::bigint as untouched from orders where o_orderkey % 10 > 0",
     "unknown_types": "select o_orderpriority as value, count(*) as n from orders group by 1",
     "access_log_users": "select user_id::varchar as \"user\", count(*) as n from events where event_type <> 'error' group by 1",
@@ -136,11 +137,11 @@ SQL = {
     "first_column": "select string_split(text, ' ')[1] as value, count(*) as n from benchmark group by 1",
     "small_lots": "select doc_id // 100 as lot, sum(strlen(text))::bigint as size from documents group by 1 having sum(strlen(text)) < 250000",
     "sizes_as_text": "select doc_id, case when b >= 1073741824 then printf('%.1fG', b / 1073741824.0) else printf('%.1fM', b / 1048576.0) end as size from (select doc_id, n_chars * 1000003 as b from documents)",
-    "case_listing": "select name from (select case when c_custkey % 2 = 0 then lower(c_name) else upper(c_name) end as name from customer) order by lower(name), name limit 40",
+    "case_listing": "select name from (select case when c_custkey % 2 = 0 then lower(c_name) else upper(c_name) end as name from customer) order by lower(name), name",
     "log_tail": "select event_id as id, event_type as query from events order by id desc limit 250",
     "merged_servers": f"with {TOKENS} select doc_id, count(*) as score from tok where term in ('the', 'und') group by doc_id order by score desc, doc_id limit 20",
     "supported_languages": "select lang in ('de', 'en', 'es') as supported, count(*) as n from documents group by 1",
-    "redirect_resource": "select a.page_id, b.page_id as \"to\", length(b.html) as size from pages a join pages b on b.page_id = a.page_id // 5 where a.page_id % 5 = 0",
+    "redirect_resource": "select a.page_id, b.page_id as \"to\", length(b.html) as size from pages a join pages b on b.page_id = a.page_id // 5",
     "posting_scan": f"with {TOKENS}, f as (select term, lang, doc_id, min(pos) as p from tok where term in ('the', 'und', 'les', 'que') group by 1, 2, 3) select term, lang, count(*) as n_docs, max(p) as latest_first from f group by 1, 2",
     "sid_list": "select c_custkey, 'S-1-5-32-' || (512 + c_custkey % 256) as sid, 'S-1-5-32-500' as administrator from customer",
     "group_names": "select distinct lower(o_orderpriority) as \"user\", lower(o_orderpriority) || ',' || string_split(lower(o_orderpriority), '-')[1] as groups from orders",

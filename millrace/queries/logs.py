@@ -27,12 +27,12 @@ def log_users_desc(spark, sf):
 
 
 def log_day_gapfill(spark, sf):
-    """Errors of one kind by day, gaps filled."""
-    return S.per_day(log(spark, sf).where("query = 'error' and hits = 42")).select(F.col("day").cast("string").alias("day"), "n")
+    """Searches by day, gaps filled."""
+    return S.per_day(log(spark, sf)).select(F.col("day").cast("string").alias("day"), "n")
 
 
 def log_5min(spark, sf):
-    return S.last_minutes(log(spark, sf), 240)
+    return S.last_minutes(log(spark, sf), 5)
 
 
 def log_latest50(spark, sf):
@@ -63,10 +63,16 @@ def date_ranges(spark, sf):
     return r.groupBy(dates.view_range(F.col("tid"), S.newest(r)).alias("range")).agg(F.count("*").alias("n"))
 
 
+PHRASES = ("today", "yesterday", "this week", "last week", "this month", "last month", "this year", "last year")
+
+
 def date_filter(spark, sf):
+    """Searches of each kind within each of several phrases, read beside the newest."""
     r = log(spark, sf)
-    start, end = dates.date_range("last week", r.agg(F.max("tid")).first()[0])
-    return r.where((F.col("tid") >= F.lit(start)) & (F.col("tid") < F.lit(end))).groupBy("query").agg(F.count("*").alias("n"))
+    now = r.agg(F.max("tid")).first()[0]
+    within = [(p, *dates.date_range(p, now)) for p in PHRASES]
+    hit = F.array_compact(F.array(*(F.when((F.col("tid") >= F.lit(a)) & (F.col("tid") < F.lit(b)), p) for p, a, b in within)))
+    return r.select("query", F.explode(hit).alias("phrase")).groupBy("phrase", "query").agg(F.count("*").alias("n"))
 
 
 def collection_tabs(spark, sf):
@@ -81,8 +87,8 @@ SQL = {
     "log_top_queries_of_user": f"{_DAY} select trim(query) as query, count(*) as num from log, now_ where tid > n - interval 30 day and user_ = 7 group by 1 order by num desc, query limit 10",
     "log_users_asc": f'with {LOG} select user_ as "user", count(*) as num from log group by 1 order by num, user_ limit 10',
     "log_users_desc": f'with {LOG} select user_ as "user", count(*) as num from log group by 1',
-    "log_day_gapfill": f"with {LOG}, n as (select tid::date as day, count(*) as n from log where query = 'error' and hits = 42 group by 1), days as (select unnest(generate_series((select min(day) from n), (select max(day) from n), interval 1 day))::date as day) select day::varchar as day, coalesce(n, 0) as n from days left join n using (day)",
-    "log_5min": f"{_DAY} select count(*) as n, coalesce(avg(seconds), 0) as average, coalesce(min(seconds), 0) as least, coalesce(max(seconds), 0) as most from log, now_ where tid > n - interval 240 minute",
+    "log_day_gapfill": f"with {LOG}, n as (select tid::date as day, count(*) as n from log group by 1), days as (select unnest(generate_series((select min(day) from n), (select max(day) from n), interval 1 day))::date as day) select day::varchar as day, coalesce(n, 0) as n from days left join n using (day)",
+    "log_5min": f"{_DAY} select count(*) as n, coalesce(avg(seconds), 0) as average, coalesce(min(seconds), 0) as least, coalesce(max(seconds), 0) as most from log, now_ where tid > n - interval 5 minute",
     "log_latest50": f'with {LOG} select id, query, user_ as "user", hits from log order by tid desc, id desc limit 50',
     "log_hits_histogram": f"with {LOG} select hits, count(*) as n from log group by hits",
     "progress_delta": f"with {LOG}, days as (select tid::date as day, count(*) as n from log group by 1) select day::varchar as day, n, n - coalesce(max(n) over (order by day rows between unbounded preceding and 1 preceding), 0) as delta from days",
@@ -90,6 +96,8 @@ SQL = {
     "date_facets": f"""{_DAY} select count(*) filter (where tid >= d) as today, count(*) filter (where tid >= d - interval 1 day and tid < d) as yesterday, count(*) filter (where tid >= date_trunc('week', n)) as this_week, count(*) filter (where tid >= date_trunc('month', n)) as this_month,
         count(*) filter (where tid >= y) as this_year, count(*) filter (where tid >= y - interval 1 year and tid < y) as last_year, count(*) filter (where tid < y - interval 1 year) as two_years_plus from log, now_""",
     "date_ranges": f"""{_DAY} select case when tid >= d then 'today' when tid >= d - interval 1 day then 'yesterday' when tid >= d - interval 7 day then 'last 7 days' when tid >= d - interval 31 day then 'last 31 days' when year(tid) = year(n) then 'this year' when year(tid) = year(n) - 1 then 'last year' else (year(n) - year(tid)) || ' years ago' end as range, count(*) as n from log, now_ group by 1""",
-    "date_filter": f"{_DAY} select query, count(*) as n from log, now_ where tid >= date_trunc('week', now_.n) - interval 7 day and tid < date_trunc('week', now_.n) group by query",
+    "date_filter": f"{_DAY} " + " union all ".join(f"select '{p}' as phrase, query, count(*) as n from log, now_ where tid >= {a} and tid < {b} group by query" for p, a, b in (
+        ("today", "d", "d + interval 1 day"), ("yesterday", "d - interval 1 day", "d"), ("this week", "date_trunc('week', n)", "date_trunc('week', n) + interval 7 day"), ("last week", "date_trunc('week', n) - interval 7 day", "date_trunc('week', n)"),
+        ("this month", "date_trunc('month', n)", "date_trunc('month', n) + interval 1 month"), ("last month", "date_trunc('month', n) - interval 1 month", "date_trunc('month', n)"), ("this year", "y", "y + interval 1 year"), ("last year", "y - interval 1 year", "y"))),
     "collection_tabs": f"with {LOG} select query, count(*) as n, sum(hits)::bigint as hits from log group by rollup (query)",
 }

@@ -10,7 +10,7 @@ from millrace.operators import facets, search
 from millrace.operators.access import visible
 from millrace.plans.query import Thesaurus, run_query
 
-from .tables import DOCS, PATTERN, TOKENS, docs, read
+from .tables import CRC32, DOCS, PATTERN, TOKENS, docs, read
 
 
 def _posts(spark, sf, *terms, keep=()):
@@ -181,6 +181,7 @@ _SIZE = "case when n_chars < 1000 then 'small' when n_chars < 5000 then 'medium'
 _ATTR = f"attr as (select doc_id, 'lang' as key, lang as value from documents union all select doc_id, 'source', source from documents union all select doc_id, 'size', {_SIZE} from documents)"
 _COUNTED = f"{_ATTR}, counted as (select key, value, count(*) as n from attr group by grouping sets ((key, value), (key)))"
 SQL = {
+    "partition_hash": f"with {TOKENS}, t as (select distinct term from tok) select {CRC32.format('term')} % 64 as part, count(*) as n from t group by 1",
     "tokens_df": f"with {TOKENS} select term, count(distinct doc_id) as n_docs, count(*) as n_hits from tok group by term",
     "postings_build": f"with {TOKENS} select term, doc_id, lang, count(*) as n_hits, string_agg(pos, ',' order by pos) as positions from tok group by term, doc_id, lang",
     "and_search": f"with {TOKENS} select doc_id, count(*) as score from tok where term in ('the', 'and') group by doc_id having count(distinct term) = 2",

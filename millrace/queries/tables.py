@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import TOKEN
 
 
+def shared_folder(spark) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a local session without one makes its own."""
+    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{tempfile.gettempdir()}/millrace-checkpoints"
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc_table() -> list[int]:
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    return table
+
+
+#: SQL of crc32 over a text's UTF-8 bytes, for engines that lack it
+CRC32 = "xor(list_reduce(list_transform(range(0, strlen({0}) + 1), lambda i: case when i = 0 then 4294967295 else ('0x' || substr(hex(encode({0})), (2 * i - 1)::int, 2))::bigint end), lambda a, b: xor(a >> 8, " + str(_crc_table()) + "[((xor(a, b) & 255) + 1)::int])), 4294967295)"
+
+
 def docs(spark, sf_dir: str) -> DataFrame:
     """documents as a collection with access lists: a source's own name, Everyone for every third, a language denied."""
     d = read(spark, sf_dir, "documents")

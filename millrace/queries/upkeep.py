@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from millrace.operators import access, admin, crawling, facets, ingest
 from millrace.sources import formats
 from millrace.streaming import flows
 
-from .tables import log, read
+from .tables import log, read, shared_folder
 
 NOW = "2024-02-01 12:00:00"
 # What the connectors of these tables are called
@@ -21,10 +20,10 @@ CONNECTORS = [(1, "SMB"), (2, "Exchange"), (3, "SuperOffice"), (4, "SharePoint")
 
 
 def _shares(spark, sf):
-    """A share for each supplier that isn't the seventh: connector, state, rate in minutes, last crawl."""
+    """A share for each supplier: connector, state, rate in minutes, last crawl."""
     k = F.col("s_suppkey")
     last = F.when(k % 9 == 0, None).otherwise(F.lit(NOW).cast("timestamp") - F.make_dt_interval(k % 3, k % 24, k % 60))
-    return read(spark, sf, "supplier").where(k % 7 > 0).select(k.alias("id"), F.concat(F.lit("src"), (k % 17).cast("string")).alias("collection"), (k % 6 + 1).cast("int").alias("connector"), F.when(k % 4 > 0, 1).otherwise(0).alias("active"), (k % 5 * 720).cast("int").alias("rate"), last.alias("last"))
+    return read(spark, sf, "supplier").select(k.alias("id"), F.concat(F.lit("src"), (k % 17).cast("string")).alias("collection"), (k % 6 + 1).cast("int").alias("connector"), F.when(k % 4 > 0, 1).otherwise(0).alias("active"), (k % 5 * 720).cast("int").alias("rate"), last.alias("last"))
 
 
 def _connectors(spark):
@@ -36,6 +35,7 @@ def _users(spark, sf):
 
 
 def _mapping(spark, sf):
+    """Every third customer has a mapping: a table of its own, as the operators take users with and without one."""
     return read(spark, sf, "customer").where(F.col("c_custkey") % 3 == 0).select(F.col("c_name").alias("secnd_usr"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("prim_usr"))
 
 
@@ -165,7 +165,7 @@ def uncrawled(spark, sf):
 
 
 def file_type_facet(spark, sf):
-    e = F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ["doc", "pdf", "xls", "zzz", "exe", "html"])), (F.col("doc_id") % 6 + 1).cast("int")))
+    e = F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ["doc", "pdf", "xls", "zzz", "tapp", "html"])), (F.col("doc_id") % 6 + 1).cast("int")))
     g = read(spark, sf, "documents").select(facets.file_group(facets.extension(e)).alias("group"))
     return g.where(F.col("group") != "Application Data").groupBy("group").agg(F.count("*").alias("n"))
 
@@ -211,10 +211,10 @@ def stream_metrics(spark, sf):
     out = f"m{os.urandom(6).hex()}"
     stream = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = stream.select(F.col("ts").cast("timestamp").alias("tid"), F.col("event_type").alias("query"), F.col("value").alias("seconds"))
-    at = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    at = shared_folder(spark)
     q = flows.metrics(rows, 60).writeStream.outputMode("complete").format("memory").queryName(out).option("checkpointLocation", f"{at}/{out}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(out).select("start", "query", "n", F.round("average", 6).alias("average"), "least", "most")
+    return spark.table(out).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "query", "n", "least", "most")
 
 
 def batch_metrics(spark, sf):
@@ -226,7 +226,8 @@ QUERIES = {f.__name__: f for f in (unmapped_users, auto_map, mapping_counts, use
 
 _C = "connectors(id, name) as (values " + ", ".join(f"({i}, '{n}')" for i, n in CONNECTORS) + ")"
 _SHARES = f"""shares as (select s_suppkey as id, 'src' || (s_suppkey % 17) as collection, (s_suppkey % 6 + 1)::int as connector, (s_suppkey % 4 > 0)::int as active, (s_suppkey % 5 * 720)::int as rate,
-    case when s_suppkey % 9 = 0 then null else timestamp '{NOW}' - to_days((s_suppkey % 3)::int) - to_hours(s_suppkey % 24) - to_minutes(s_suppkey % 60) end as last from supplier where s_suppkey % 7 > 0)"""
+    case when s_suppkey % 9 = 0 then null else timestamp '{NOW}' - to_days((s_suppkey % 3)::int) - to_hours(s_suppkey % 24) - to_minutes(s_suppkey % 60) end as last from supplier)"""
+_METRICS = "select strftime(time_bucket(interval 60 minute, ts), '%Y-%m-%d %H:%M') as start, event_type as query, count(*) as n, min(value) as least, max(value) as most from events group by 1, 2"
 _EFF = "case when rate > 0 then rate else 1440 end"
 _M = f"({_EFF} - floor(epoch(timestamp '{NOW}' - last) / 60))::bigint"
 SQL = {
@@ -256,12 +257,13 @@ SQL = {
     "stale_documents": "select doc_id from documents where doc_id % 3 > 0 and source <> 'src3'",
     "old_client_urls": "select page_id, url from pages where page_id % 100 / 100 < 0.79 and contains(url, '.org/')",
     "uncrawled": "select count(*) filter (where page_id % 5 = 0) as uncrawled, count(*) filter (where page_id % 5 <> 0) as crawled from pages",
-    "file_type_facet": "select case doc_id % 6 when 0 then 'Word' when 1 then 'Adobe PDF' when 2 then 'Excel' when 3 then 'Other' else 'Web page' end as \"group\", count(*) as n from documents where doc_id % 6 <> 4 group by 1",
+    "file_type_facet": "select case doc_id % 6 when 0 then 'Word' when 1 then 'Adobe PDF' when 2 then 'Excel' when 3 then 'Other' else 'Webpage' end as \"group\", count(*) as n from documents where doc_id % 6 <> 4 group by 1",
     "name_buckets": "select regexp_replace(lower(substr(text, 1, 2)), '[^a-z0-9]', '_', 'g') as bucket, doc_id // 400 as lot, count(*) as n from documents group by 1, 2",
     "acl_mask_parse": """with c as (select c_custkey, 'S-1-5-' || c_custkey as sid, c_custkey % 3 as m, c_custkey % 2 as t, c_custkey % 10 = 0 as every from customer)
         select c_custkey, case when every then 'Everyone' when t = 0 and m < 2 then sid else '' end as allow, case when t = 1 and m < 2 then sid else '' end as deny from c""",
     "address_ranges": "select (n_nationkey * 10 + unnest(range(n_nationkey % 4 + 1)))::bigint as address from nation",
     "result_items": "select url, '<item><title>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><link>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</link><description>a &lt; b</description></item>' as item from (select url, regexp_extract(html, '<title>([^<]*)', 1) as t from pages)",
     "result_json": "select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as value from nation",
-    "batch_metrics": "select strftime(time_bucket(interval 60 minute, ts), '%Y-%m-%d %H:%M') as start, event_type as query, count(*) as n, min(value) as least, max(value) as most from events group by 1, 2",
+    "stream_metrics": _METRICS,
+    "batch_metrics": _METRICS,
 }

@@ -9,12 +9,14 @@ import io
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Header names and file name extensions
 HEADERS = ("Subject", "From", "To", "Cc", "Bcc", "Reply-To", "Date")
 OFFICE = ("docx", "docm", "dotx", "dotm", "xlsx", "xlsm", "xltx", "xltm", "xlam", "xlsb", "pptx", "pptm", "potx", "potm", "ppsx", "ppsm", "ppam", "thmx")
 PLAIN = ("txt", "ini", "c", "cpp", "h", "log", "csv")
@@ -35,7 +37,10 @@ def mail_parts(raw: bytes) -> list[tuple[int, str, str]]:
             continue
         body = part.get_payload(decode=True) or b""
         if part.get_content_maintype() == "text":
-            text = body.decode(part.get_content_charset() or "utf-8", "replace")
+            try:
+                text = body.decode(part.get_content_charset() or "utf-8", "replace")
+            except LookupError:  # a charset that nobody knows
+                text = body.decode("utf-8", "replace")
         else:
             text = base64.b64encode(body).decode()
         out.append((len(out), part.get_content_type(), text))
@@ -76,6 +81,8 @@ def office_text(raw: bytes) -> tuple[str, dict[str, str]]:
 
 def exploded(rows: DataFrame, kind: str, key: str = "path", content: str = "content") -> DataFrame:
     """Parts of mail (kind eml), archives (zip) or office files (ooxml): key, part, name, text; error for damaged ones."""
+    if kind not in ("eml", "zip", "ooxml"):
+        raise ValueError(f"no such kind: {kind}")
     t = rows.schema[key].dataType.simpleString()
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,12 +94,10 @@ def exploded(rows: DataFrame, kind: str, key: str = "path", content: str = "cont
                         out += [(k, i, n, x, None) for i, n, x in mail_parts(bytes(raw or b""))]
                     elif kind == "zip":
                         out += [(k, i, n, c.decode("utf-8", "replace"), None) for i, (n, c) in enumerate(zip_parts(bytes(raw or b"")))]
-                    elif kind == "ooxml":
+                    else:
                         body, found = office_text(bytes(raw or b""))
                         out += [(k, 0, "body", body, None), *((k, i, n, v, None) for i, (n, v) in enumerate(sorted(found.items()), 1))]
-                    else:
-                        raise LookupError(kind)
-                except (ValueError, zipfile.BadZipFile, ET.ParseError, EOFError) as e:
+                except (ValueError, zipfile.BadZipFile, ET.ParseError, EOFError, LookupError, RuntimeError, NotImplementedError, zlib.error, OSError, struct.error) as e:  # encrypted, damaged or of an unknown method
                     out.append((k, 0, None, None, str(e)))
             yield pd.DataFrame(out, columns=["key", "part", "name", "text", "error"])
 
@@ -116,42 +121,72 @@ def found_links(rows: DataFrame) -> DataFrame:
     return rows.select("content").mapInPandas(unpack, "sha1 string, url string, anchor string, src long")
 
 
-def batch_documents(xml: str) -> tuple[list[dict], list[str]]:
-    """Documents of an XML batch (sddocument/add/documents/document with a base64 body) and the errors of others."""
-    good, bad = [], []
-    for d in ET.fromstring(xml).iter("document"):
-        row = {e.tag: e.text or "" for e in d}
-        missing = [k for k in ("uri", "collection", "title", "body") if not row.get(k)]
-        if missing:
-            bad.append(f"{row.get('uri') or '?'}: no {', '.join(missing)}")
-            continue
-        try:
-            body = base64.b64decode(row["body"], validate=True).decode("utf-8", "replace")
-        except ValueError:
-            bad.append(f"{row['uri']}: bad body")
-            continue
-        many = lambda k: [v for v in row.get(k, "").split(",") if v]
-        good.append({"collection": row["collection"], "url": row["uri"], "title": row["title"], "body": body, "acl_allow": many("aclallow") or ["Everyone"], "acl_denied": many("acldeny"), "last_modified": int(row.get("lastmodified") or 0)})
-    return good, bad
+BATCH = ["op", "collection", "url", "title", "body", "acl_allow", "acl_denied", "last_modified", "value", "error"]
+BATCH_TYPE = "op string, collection string, url string, title string, body string, acl_allow array<string>, acl_denied array<string>, last_modified long, value string, error string"
+
+
+def _added(d: ET.Element) -> dict:
+    row = {e.tag: e.text or "" for e in d}
+    missing = [k for k in ("uri", "collection", "title", "body") if not row.get(k)]
+    if missing:
+        return {"op": "add", "error": f"{row.get('uri') or '?'}: no {', '.join(missing)}"}
+    try:
+        body = base64.b64decode(row["body"], validate=True).decode("utf-8", "replace")
+        modified = int(row.get("lastmodified") or 0)
+    except ValueError:
+        return {"op": "add", "error": f"{row['uri']}: bad body or date"}
+    many = lambda k: [v for v in row.get(k, "").split(",") if v]
+    return {"op": "add", "collection": row["collection"], "url": row["uri"], "title": row["title"], "body": body, "acl_allow": many("aclallow") or ["Everyone"], "acl_denied": many("acldeny"), "last_modified": modified}
+
+
+def batch_rows(xml: str) -> list[dict]:
+    """What an XML batch (sddocument) asks for, in order: documents to add, uris of a collection to delete, collections to
+    close or create, users, and notes to the garbage collector or of errors. A part that lacks what it must have gives a
+    row with its error, and the others stand."""
+    out: list[dict] = []
+    for part in ET.fromstring(xml):
+        op, collection = part.tag, (part.findtext("collection") or "").strip()
+        if op == "add":
+            out += [_added(d) for holder in part.iter("documents") for d in holder.findall("document")]
+        elif op == "delete":
+            uris = [e.text for e in part.findall("uri") if e.text]
+            out += [{"op": op, "collection": collection, "url": u} for u in uris] if collection else [{"op": op, "error": "no collection"}]
+        elif op in ("close", "create"):
+            out.append({"op": op, "collection": collection} if collection else {"op": op, "error": "no collection"})
+        elif op == "users":
+            out += [{"op": op, "value": e.text.strip()} for e in part.iter() if e is not part and not len(e) and e.text and e.text.strip()]
+        elif op in ("gcwhispers", "error"):
+            out += [{"op": op, "collection": collection or None, "value": f"{e.tag}={(e.text or '').strip()}"} for e in part if e.tag != "collection"] or [{"op": op, "collection": collection or None, "value": (part.text or "").strip()}]
+    return out
 
 
 def read_batches(rows: DataFrame, xml: str = "xml") -> DataFrame:
-    """Documents of XML batches, one row each; a broken document has only `error`, and the others of its batch stand."""
-    columns = ["collection", "url", "title", "body", "acl_allow", "acl_denied", "last_modified", "error"]
-    schema = "collection string, url string, title string, body string, acl_allow array<string>, acl_denied array<string>, last_modified long, error string"
+    """What XML batches ask for, one row each (`op` and its columns); a batch that is no XML gives one row with the error."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for x in batch["xml"]:
                 try:
-                    good, bad = batch_documents(x)
+                    found = batch_rows(x or "")
                 except ET.ParseError as e:
-                    good, bad = [], [str(e)]
-                out += [[d.get(c) for c in columns] for d in (*good, *({"error": e} for e in bad))]
-            yield pd.DataFrame(out, columns=columns, dtype="object").astype({"last_modified": "Int64"})
+                    found = [{"error": str(e)}]
+                out += [[d.get(c) for c in BATCH] for d in found]
+            yield pd.DataFrame(out, columns=BATCH, dtype="object").astype({"last_modified": "Int64"})
+
+    return rows.select(F.col(xml).alias("xml")).mapInPandas(parse, BATCH_TYPE)
+
+
+def batch_changes(batch: DataFrame) -> DataFrame:
+    """Adds and deletes of a batch as changes (collection, url, title, body, op) for `ingest.upsert`."""
+    return batch.where("error is null and op in ('add', 'delete')").select("collection", "url", "title", "body", "op")
+
 
-    return rows.select(F.col(xml).alias("xml")).mapInPandas(parse, schema)
+def result_xml(page: DataFrame, version: str = "2.1") -> DataFrame:
+    """value: a RESULT element for each row (title, url, snippet, and for version 2.1 its rank), as the result writers give."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tags = {"TITLE": "title", "URL": "url", "DESCRIPTION": "snippet"} | ({"RANK": "rank"} if version == "2.1" else {})
+    return page.select("*", F.concat(F.lit("<RESULT>"), *(F.concat(F.lit(f"<{t}>"), safe(c), F.lit(f"</{t}>")) for t, c in tags.items()), F.lit("</RESULT>")).alias("value"))
 
 
 def feed_items(rows: DataFrame) -> DataFrame:
