@@ -1,12 +1,12 @@
 """Near-duplicate embeddings by a robust-pruned flat graph over overlapping cluster shards.
 
-Vectors of a label are dealt to the shards of their nearest pivots: the two nearest, and every other within a margin of
-the nearest. The margin follows from how far apart two vectors in range can lie and from the dimensions that the pivots
-spread over; where these are few it is the bound that no pair escapes. Shards that are still large are dealt again to
-pivots of their own. Each shard builds a graph: a vector's neighbours are pruned so that none is much nearer to another
-neighbour than to the vector. A vector's adjacency lists from its shards are united, and every vector searches its shards
-over the united lists: greedily from the medoid first, then expanding whatever lies near the range. What it finds is
-verified by its cosine in double precision. Shards that pivots can't split are compared block by block.
+A label of many vectors is dealt to overlapping shards: a vector goes to its two nearest pivots, and to every other within
+a margin of the nearest. The margin follows from how far apart two vectors in range can lie and from the dimensions that
+the pivots spread over; where these are few it is the bound that no pair escapes. Shards that are still large are dealt
+again to pivots of their own. Each shard builds a graph: a vector's neighbours are pruned so that none is much nearer to
+another neighbour than to the vector. A vector's adjacency lists from its shards are united, and every vector searches
+its shards over the united lists: greedily from the medoid first, then expanding whatever lies near the range. What it
+finds is verified by its cosine in double precision. Large shards that pivots don't split are compared block by block.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .graph import components
 
 LEAST = 0.93
 SLACK = 0.05  # how far below the range vectors are still expanded
-SHARD = 1000  # vectors that search together, and of a label that needs no pivots
-LARGE = 8 * SHARD  # a larger shard is dealt again
+SHARD = 1000  # vectors that search together
+LARGE = 8 * SHARD  # a larger label or shard is dealt to pivots
 PIVOTS = 256  # of a shard at most; fitted on a sample of about so many vectors
 APART = 0.8  # pivots are less similar than this, so that one cluster of near copies has one pivot
 SPREADS = 1.25  # margin, in standard deviations of what a pair in range differs by between two pivots
@@ -223,13 +223,12 @@ def _placed(found: DataFrame, least: float) -> DataFrame:
     comparing all within the parts would take more than half of comparing all at once."""
     group, ids = ["label", "dim"], ["rep", "node"]
     placed, done, level = found.select(*group, *ids, F.lit(0).cast("long").alias("shard")), None, 0
-    limit = SHARD
     while True:
         sizes = placed.groupBy(*group, "shard").agg(F.count("*").alias("k"))
         sizes = checkpoint(sizes.withColumn("salts", F.ceil(F.col("k") / SALT).cast("int")))
-        small = placed.join(sizes.where(F.col("k") <= limit), [*group, "shard"], "left_semi").withColumn("dense", F.lit(False))
+        small = placed.join(sizes.where(F.col("k") <= LARGE), [*group, "shard"], "left_semi").withColumn("dense", F.lit(False))
         done = small if done is None else done.unionByName(small)
-        large = sizes.where(F.col("k") > limit)
+        large = sizes.where(F.col("k") > LARGE)
         if large.isEmpty():
             return done
         open_ = placed.join(large, [*group, "shard"]).join(found.select(*group, *ids, "embedding"), [*group, *ids])
@@ -245,7 +244,7 @@ def _placed(found: DataFrame, least: float) -> DataFrame:
         judged = checkpoint(large.join(cost, [*group, "shard"]).select(*group, "shard", (F.col("cost") * 2 < F.col("k").cast("double") * F.col("k")).alias("split")))
         done = done.unionByName(placed.join(judged.where("not split"), [*group, "shard"], "left_semi").withColumn("dense", F.lit(True)))
         placed = parts.join(judged.where("split"), [*group, "shard"], "left_semi").select(*group, *ids, F.xxhash64("shard", "part", F.lit(level)).alias("shard"))
-        limit, level = LARGE, level + 1
+        level += 1
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:

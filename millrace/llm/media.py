@@ -110,10 +110,52 @@ def mux(payload: bytes) -> bytes:
     return np.concatenate(packets).tobytes()
 
 
+# Fixed values of ISO/IEC 13818-1: stream ids whose elementary packets have no further header, and the one of padding
+PLAIN_IDS, PADDING_ID = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}, 0xBE
+
+
+def _sections(p: np.ndarray, own: np.ndarray, offset: np.ndarray) -> list[bytes]:
+    """The whole table sections in one PID's packets, each once, in order; a section may span packets and share them."""
+    out, held = [], None
+
+    def cut(held: bytes) -> bytes:
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 15) << 8 | held[2])
+            if len(held) < size:
+                return held
+            if crc32_mpeg(held[:size]):
+                raise ValueError("damaged table")
+            if held[:size] not in out:
+                out.append(held[:size])
+            held = held[size:]
+        return b"" if held[:1] == b"\xff" else held
+
+    for k in own.tolist():
+        data = p[k, offset[k] :].tobytes()
+        if p[k, 1] & 0x40:
+            lead, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if held:
+                cut(held + lead)
+            held = cut(data)
+        elif held is not None:
+            held = cut(held + data)
+    if held:
+        raise ValueError("damaged table")
+    return out
+
+
+def _stamp_read(h: list[int]) -> int:
+    return (h[0] >> 1 & 7) << 30 | h[1] << 22 | h[2] >> 1 << 15 | h[3] << 7 | h[4] >> 1
+
+
 def demux(media: bytes) -> dict:
-    """What a transport stream holds: payload, programs, streams, discontinuities, times, random-access offsets.
+    """What a transport stream holds: payload, programs, streams, discontinuities, times, random-access points.
 
-    Raises ValueError where sync bytes, table checksums or PES headers are damaged.
+    All of a PAT's and PMTs' sections are read, whether repeated, spread over packets or added later. Packets sent twice
+    count once; a counter may jump where its packet says so. An elementary packet without a length, as video may have,
+    ends before the next. Times (presentation and decoding, the first where there is no other) and random-access points
+    (offsets in a stream's payload) have their stream beside them; the payload is that of all streams, one after another.
+    Raises ValueError where sync bytes, table checksums or elementary packets are damaged.
     """
     if len(media) % PACKET or not media:
         raise ValueError("not whole transport packets")
@@ -123,48 +165,63 @@ def demux(media: bytes) -> dict:
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     starts, control, counter = (p[:, 1] & 0x40) > 0, p[:, 3] >> 4 & 3, p[:, 3] & 15
     offset = 4 + np.where(control & 2, 1 + p[:, 4].astype(np.int32), 0)
-
-    def section(of: int) -> bytes:
-        k = int(np.flatnonzero((pid == of) & starts)[0])
-        at = int(offset[k])
-        at += 1 + int(p[k, at])
-        size = 3 + ((int(p[k, at + 1]) & 15) << 8 | int(p[k, at + 2]))
-        data = p[k, at : at + size].tobytes()
-        if len(data) != size or crc32_mpeg(data):
-            raise ValueError("damaged table")
-        return data
-
-    pat = section(PAT_PID)
-    programs = {pat[i] << 8 | pat[i + 1]: (pat[i + 2] & 31) << 8 | pat[i + 3] for i in range(8, len(pat) - 4, 4)}
+    flags = np.where((control & 2 > 0) & (p[:, 4] > 0), p[:, 5], 0)
+    if (offset > PACKET).any():
+        raise ValueError("damaged packets")
+    gaps = 0
+
+    def packets(of: int) -> np.ndarray:
+        """A PID's packets with payload, without those sent twice; counts the jumps of its counter."""
+        nonlocal gaps
+        own = np.flatnonzero((pid == of) & (control & 1 > 0))
+        if len(own) > 1:
+            step = (counter[own][1:] - counter[own][:-1]) & 15
+            twice = (step == 0) & (p[own[1:], 4:] == p[own[:-1], 4:]).all(axis=1)
+            gaps += int(((step != 1) & ~twice & (flags[own[1:]] & 0x80 == 0)).sum())
+            own = own[np.append(True, ~twice)]
+        return own
+
+    pat = _sections(p, packets(PAT_PID), offset)
+    if not pat:
+        raise ValueError("no program association table")
+    programs = {s[i] << 8 | s[i + 1]: (s[i + 2] & 31) << 8 | s[i + 3] for s in pat if s[0] == 0 for i in range(8, len(s) - 4, 4)}
+    programs.pop(0, None)  # the network's
     streams = {}
-    for program in programs.values():
-        pmt = section(program)
-        at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-        while at < len(pmt) - 4:
-            streams[(pmt[at + 1] & 31) << 8 | pmt[at + 2]] = pmt[at]
-            at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
-    gaps, payload, times, random = 0, [], [], []
+    for of in dict.fromkeys(programs.values()):
+        for pmt in _sections(p, packets(of), offset):
+            at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+            while pmt[0] == 2 and at < len(pmt) - 4:
+                streams[(pmt[at + 1] & 31) << 8 | pmt[at + 2]] = pmt[at]
+                at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
+    payload, times, decode, time_streams, random, random_streams = [], [], [], [], [], []
     for of in streams:
-        own = np.flatnonzero((pid == of) & ((control & 1) > 0))
-        gaps += int(((counter[own][1:] - counter[own][:-1] - 1) & 15 != 0).sum())
+        own = packets(of)
         body = np.arange(PACKET)[None, :] >= offset[own][:, None]
         data, size = p[own][body], body.sum(axis=1)
         ends = np.cumsum(size)
         heads = np.flatnonzero(starts[own])
         edges = np.append((ends - size)[heads], ends[-1] if len(ends) else 0)
-        flagged = (control[own[heads]] & 2 > 0) & (p[own[heads], 4] > 0) & (p[own[heads], 5] & 0x40 > 0)
+        flagged = flags[own[heads]] & 0x40 > 0
         done = 0
         for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            h = data[a : a + 14].tolist()
-            if h[:3] != [0, 0, 1] or (h[4] << 8 | h[5]) + 6 != b - a:
+            h = data[a : a + 19].tolist()
+            if len(h) < 6 or h[:3] != [0, 0, 1]:
                 raise ValueError("damaged elementary packet")
-            if h[7] & 0x80:
-                times.append((h[9] >> 1 & 7) << 30 | h[10] << 22 | h[11] >> 1 << 15 | h[12] << 7 | h[13] >> 1)
+            length, plain = h[4] << 8 | h[5], h[3] in PLAIN_IDS
+            begin = a + 6 if plain else a + 9 + (h[8] if len(h) > 8 else PACKET)
+            if (length and length + 6 != b - a) or begin > b:
+                raise ValueError("damaged elementary packet")
+            if not plain and h[7] & 0x80:
+                times.append(_stamp_read(h[9:14]))
+                decode.append(_stamp_read(h[14:19]) if h[7] & 0x40 else times[-1])
+                time_streams.append(of)
             if flagged[k]:
                 random.append(done)
-            payload.append(data[a + 9 + h[8] : b])
-            done += b - a - 9 - h[8]
-    return {"payload": np.concatenate(payload).tobytes() if payload else b"", "programs": programs, "streams": streams, "discontinuities": gaps, "times": times, "random_access": random, "packets": len(p)}
+                random_streams.append(of)
+            if h[3] != PADDING_ID:
+                payload.append(data[begin:b])
+                done += b - begin
+    return {"payload": np.concatenate(payload).tobytes() if payload else b"", "programs": programs, "streams": streams, "discontinuities": gaps, "times": times, "decode_times": decode, "time_streams": time_streams, "random_access": random, "random_streams": random_streams, "packets": len(p)}
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -190,29 +247,36 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(stored, f"doc_id {kind}, n_bytes long, media binary")
 
 
-FEATURES = "payload binary, programs int, streams int, packets long, discontinuities long, times array<long>, random_access array<long>, mean double, rms double"
+FEATURES = "payload binary, programs int, streams int, packets long, discontinuities long, times array<long>, decode_times array<long>, time_streams array<int>, random_access array<long>, random_streams array<int>, mean double, rms double"
 
 
 def read_back(media: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every column of `media` with what its stream holds: payload, tables, counters, times, random-access points,
-    and the mean and root mean square of the samples."""
-
-    names = ["payload", "programs", "streams", "packets", "discontinuities", "times", "random_access", "mean", "rms", "payload_bytes", "payload_sha256", "tail_crc32"]
-
-    def one(stream: bytes) -> tuple:
-        x = demux(stream)
+    """Every column of `media` with what its stream holds: payload, tables, counters, times, random-access points, and the
+    mean and root mean square of the samples. A null medium or a damaged one has `error`, and null in all other columns."""
+
+    lists = ["times", "decode_times", "time_streams", "random_access", "random_streams"]
+    names = ["payload", "programs", "streams", "packets", "discontinuities", *lists, "mean", "rms", "payload_bytes", "payload_sha256", "tail_crc32", "error"]
+
+    def one(stream: bytes | None) -> tuple:
+        try:
+            if stream is None:
+                raise ValueError("no medium")
+            x = demux(stream)
+        except (ValueError, IndexError) as e:  # an index beyond a cut table or header
+            return (*(None,) * (len(names) - 1), str(e) or "damaged")
         samples = np.bincount(np.frombuffer(x["payload"], np.uint8), minlength=256)
         level, n = np.arange(256), max(1, len(x["payload"]))
-        return (x["payload"] if with_payload else None, len(x["programs"]), len(x["streams"]), x["packets"], x["discontinuities"], x["times"], x["random_access"], float((samples * level).sum() / n), float(np.sqrt((samples * level**2).sum() / n)), len(x["payload"]), hashlib.sha256(x["payload"]).hexdigest(), zlib.crc32(x["payload"][-32:]))
+        return (x["payload"] if with_payload else None, len(x["programs"]), len(x["streams"]), x["packets"], x["discontinuities"], *(x[k] for k in lists), float((samples * level).sum() / n), float(np.sqrt((samples * level**2).sum() / n)), len(x["payload"]), hashlib.sha256(x["payload"]).hexdigest(), zlib.crc32(x["payload"][-32:]), None)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.iloc[k : k + 500].reset_index(drop=True)
-                yield pd.concat([part, pd.DataFrame([one(m) for m in part["media"]], columns=names)], axis=1)
+                found = pd.DataFrame([one(m) for m in part["media"]], columns=names, dtype="object")
+                yield pd.concat([part, found], axis=1)
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInPandas(read, f"{own}, {FEATURES}, payload_bytes long, payload_sha256 string, tail_crc32 long")
+    return media.mapInPandas(read, f"{own}, {FEATURES}, payload_bytes long, payload_sha256 string, tail_crc32 long, error string")
 
 
 def op3_transport_stream(spark, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", into: st
         after = F.get(spans, (k + 1) * RUN)["s"]
         last = F.greatest(before, F.array_max(F.transform(own, lambda p: p["e"])))
         start = F.when(k == 0, F.lit(0)).otherwise(F.greatest(before, F.get(spans, k * RUN)["s"]))
-        end = F.coalesce(F.greatest(after, last), F.length(t))
+        end = F.when(after.isNull(), F.length(t)).otherwise(F.greatest(after, last))
 
         def put(b: Column) -> Column:
             def step(a: Column, p: Column) -> Column:

@@ -13,7 +13,7 @@ def main() -> None:
 
     from millrace.llm import embeddings
 
-    spark = SparkSession.builder.master("local[6]").config("spark.sql.shuffle.partitions", "12").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", tempfile.mkdtemp()).config("spark.log.level", "ERROR").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "12").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", tempfile.mkdtemp()).config("spark.log.level", "ERROR").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     table = spark.read.parquet(f"{sys.argv[1]}/embeddings.parquet")
     began = time.time()
     found = embeddings.op5_embedding_dedup(spark, sys.argv[1]).cache()

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -115,8 +116,80 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in d.collect()} == {1: "é [SECRET] end [SECRET]", 2: "clean", 3: None}
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 700])
+def test_redaction_of_many(spark, n):
+    """Overlapping spans and spans around the bounds of pieces, against plain Python."""
+    r = random.Random(n)
+    text, spans = "".join(r.choice("abcdé🙂 ") for _ in range(4 * n + 20)), sorted({(a := r.randrange(4 * n + 10), r.randrange(3), a + r.randrange(1, 9)) for _ in range(n)})
+    out, at = "", 0
+    for a, _, b in spans:
+        out += text[at:a] + "[SECRET]" if a >= at else ""
+        at = max(at, b)
+    rows = spark.createDataFrame([(1, text, spans)], "doc_id long, text string, secrets array<struct<s:int,k:int,e:int>>")
+    assert secrets.redact(rows).first().text == out + text[at:]
+
+
+def test_linking_of_many(spark):
+    """Names and secrets in turn, some too far apart, against plain loops."""
+    r = random.Random(1)
+    t = "".join(f"user: name{k} " + "x " * r.choice([0, 20, 150]) + (f"token=abcdefgh{k} " if k % 3 else "") for k in range(1200))
+    got = [tuple(p) for p in secrets.find_secrets(frame(spark, [(1, t)])).first().secrets]
+    names, found = [(m.start(), 3, m.end()) for m in re.finditer(r"user: name[0-9]+", t)], brute.secrets(t)
+    near = [c for c in names if any(p[0] - c[2] <= 200 and c[0] - p[2] <= 200 for p in found)]
+    assert got == sorted(found + near) and 0 < len(near) < len(names)
+
+
 # 3
 
+def ts_packet(pid, counter, payload, start=False, flags=None, pcr=False):
+    """A transport packet as the standard draws it, with stuffing in its adaptation field."""
+    room = 184 - len(payload)
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255])
+    if room == 0 and flags is None:
+        return head + bytes([0x10 | counter & 15]) + payload
+    field = b"" if room == 1 and flags is None else bytes([flags or 0]) + b"\xff" * (room - 2)
+    return head + bytes([0x30 | counter & 15, len(field)]) + field + payload
+
+
+def section(table, number, body):
+    head = bytes([table, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
+    return head + media.crc32_mpeg(head).to_bytes(4, "big")
+
+
+def stamp(mark, t):
+    return bytes([mark << 4 | t >> 29 & 14 | 1, t >> 22 & 255, t >> 14 & 254 | 1, t >> 7 & 255, t << 1 & 254 | 1])
+
+
+def test_streams_of_others():
+    """Two programs, a table over several packets and tables repeated, packets sent twice, jumps that are announced, lengths
+    left out, decoding times, and padding: none of it made by the writer here."""
+    pat = section(0, 1, bytes([0, 0, 0xE0, 0x10, 0, 1, 0xE1, 0x00, 0, 2, 0xE2, 0x00]))
+    one = section(2, 1, bytes([0xE1, 0x01, 0xF1, 0x2C]) + b"\x05\xff" * 150 + bytes([0x1B, 0xE1, 0x01, 0xF0, 0x00, 0x0F, 0xE1, 0x02, 0xF0, 0x02, 9, 9]))
+    two = section(2, 2, bytes([0xE2, 0x01, 0xF0, 0x00, 0x06, 0xE2, 0x01, 0xF0, 0x00]))
+    tables = lambda c: [ts_packet(0, c, b"\0" + pat, True), ts_packet(0x100, 2 * c, b"\0" + one[:183], True), ts_packet(0x100, 2 * c + 1, one[183:]), ts_packet(0x200, c, b"\0" + two + b"\xff" * 20, True)]
+    video = b"\0\0\1\xe0\0\0\x80\xc0\x0a" + stamp(3, 9000) + stamp(1, 5400) + b"v" * 400
+    sound = b"\0\0\1\xc0" + (3 + 5 + 50).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(2, (1 << 33) - 1) + b"s" * 50
+    padding = b"\0\0\1\xbe" + (30).to_bytes(2, "big") + b"\xff" * 30
+    private = b"\0\0\1\xbf" + (7).to_bytes(2, "big") + b"private"
+    packets = [*tables(0), ts_packet(0x101, 14, video[:170], True, 0x40), ts_packet(0x101, 15, video[170:354])]
+    packets += [ts_packet(0x101, 15, video[170:354]), *tables(1), ts_packet(0x101, 0, video[354:]), ts_packet(0x102, 3, sound, True), ts_packet(0x102, 9, sound, True, 0x80)]
+    packets += [ts_packet(0x101, 1, padding, True), ts_packet(0x201, 0, private, True, 0x40), ts_packet(0x1FFF, 0, b"\xff" * 184), ts_packet(0x101, 2, video[:100], True, 0x40)]
+    assert all(len(x) == 188 for x in packets)
+    x = media.demux(b"".join(packets))
+    assert x["programs"] == {1: 0x100, 2: 0x200} and x["streams"] == {0x101: 0x1B, 0x102: 0x0F, 0x201: 0x06} and x["discontinuities"] == 0
+    assert x["payload"] == b"v" * 400 + b"v" * 81 + b"s" * 100 + b"private"
+    assert x["times"] == [9000, 9000, (1 << 33) - 1, (1 << 33) - 1] and x["decode_times"] == [5400, 5400, (1 << 33) - 1, (1 << 33) - 1] and x["time_streams"] == [0x101] * 2 + [0x102] * 2
+    assert list(zip(x["random_streams"], x["random_access"], strict=True)) == [(0x101, 0), (0x101, 400), (0x201, 0)]
+    assert media.demux(b"".join(packets[:13] + [ts_packet(0x102, 5, sound, True)]))["discontinuities"] == 1
+
+
+def test_media_that_cannot_be_read(spark):
+    good = media.mux(b"a" * 576)
+    rows = [(1, bytearray(good)), (2, None), (3, bytearray(good[:-1])), (4, bytearray(b"")), (5, bytearray(good[188:])), (6, bytearray(b"\x47" * 188))]
+    got = {r.doc_id: r for r in media.read_back(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 576 and all(got[k].error and got[k].payload is None and got[k].times is None for k in range(2, 7))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=12_000))
 def test_stream_round_trip(data):
