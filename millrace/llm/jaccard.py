@@ -3,8 +3,9 @@
 Documents with equal sets are one class. Under any order of all tokens, two sets of at least the similarity share a
 token among the first n - ceil(t n) + 1 of each; how many they must share there follows from their sizes. Two
 independent orders are used, both with frequent tokens last, and only pairs that pass both filters are verified on the
-whole sets. Classes made up of frequent tokens, such as thousands of copies with small changes, are compared with one
-leader for each frequent token first; then those outside the largest component meet the others in blocks.
+whole sets. Classes made up of frequent tokens, such as thousands of copies with small changes, and those that share a
+prefix token with more than GROUP classes, are compared with one leader for each such token first; then those outside the
+largest component meet the others in blocks. So no group gives more than its GROUP^2 / 2 pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .graph import components
 WIDTH = 5
 LEAST = Fraction(3, 4)
 FREQUENT = 8  # documents that make a token frequent, counted where a chunk of CHUNK tokens has it twice or more
+GROUP = 64  # classes that share a prefix token and meet in pairs; more of them go the way of frequent tokens
 MAX_FREQUENT = 1 << 19  # of the most frequent ones are put last: 4 MB at most go to each executor
 BITMAP_BITS = 27  # 16 MB whatever the number of ids; more ids let more texts through, which a join then drops
 CHUNK_BITS = 19
@@ -91,14 +93,18 @@ def _profiles(width: int, buckets: int):
     return profile
 
 
-def _often(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's frequent tokens, the most frequent ones if there are more than fit."""
-    parts = [unpack(b) for b in rows["blob"]]
-    tokens, which = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-    df = np.bincount(which, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
-    x = np.flatnonzero(df >= FREQUENT)
-    x = x[np.argsort(-df[x], kind="stable")[:MAX_FREQUENT]]
-    return pd.DataFrame({"token": tokens[x].view(np.int64), "df": df[x]})
+def _often(least: int):
+    """A bucket's tokens in at least so many documents, the most frequent ones if there are more than fit."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(b) for b in rows["blob"]]
+        tokens, which = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        df = np.bincount(which, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+        x = np.flatnonzero(df >= least)
+        x = x[np.argsort(-df[x], kind="stable")[:MAX_FREQUENT]]
+        return pd.DataFrame({"token": tokens[x].view(np.int64), "df": df[x]})
+
+    return count
 
 
 def _postings(frequent, least: Fraction, width: int, buckets: int):
@@ -160,9 +166,9 @@ def _share(na, nb, least: Fraction):
     return -(-(na + nb) * t.numerator // t.denominator)
 
 
-def _pairs(least: Fraction):
+def _pairs(least: Fraction, most: int):
     """Within a bucket: pairs of sets that share prefix tokens under each order, how many, and how many they need; and
-    the frequent tokens in prefixes with their sets (kind 2, as a and b)."""
+    the tokens in prefixes that are frequent, or that more than `most` sets share, with their sets (kind 2, as a and b)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         trim()  # of the bucket before
@@ -184,7 +190,10 @@ def _pairs(least: Fraction):
                 continue
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(start, len(token)))
-            start, size = start[size > 1], size[size > 1]
+            large = np.repeat(size > most, size)
+            if large.any():
+                found.append(pd.DataFrame({"kind": 2, "a": token[large].view(np.int64), "b": sig[large], "need": [meta[x][0] for x in sig[large].tolist()], "c0": 0, "c1": 0}))
+            start, size = start[(size > 1) & (size <= most)], size[(size > 1) & (size <= most)]
             if not len(start):
                 continue
             first, second = [], []
@@ -279,7 +288,7 @@ def _fits(na: Column, nb: Column, least: Fraction) -> Column:
     return F.least(na, nb) * least.denominator >= F.greatest(na, nb) * least.numerator
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: Fraction = LEAST, width: int = WIDTH) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: Fraction = LEAST, width: int = WIDTH, often: int = FREQUENT, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reached by links, itself included): a row for each row.
 
     Texts without words, null ones too, have no shingles and link with nothing. Equal texts and rows that repeat are one
@@ -291,14 +300,14 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = checkpoint(rows.mapInPandas(_profiles(width, partitions(spark)), "doc_id long, n long, sig long, kind int, blob binary"))
     classes = seen.where("kind = 0").select("doc_id", "n", "sig")
-    often = seen.where("kind = 1").groupBy("n").applyInPandas(_often, "token long, df long")
-    often = often.orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).select("token").toPandas()["token"]
-    frequent = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
+    last = seen.where("kind = 1").groupBy("n").applyInPandas(_often(often), "token long, df long")
+    last = last.orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).select("token").toPandas()["token"]
+    frequent = spark.sparkContext.broadcast(np.sort(last.to_numpy(np.int64).view(np.uint64)))
     reps = classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
     posted = rows.select("text").mapInPandas(_postings(frequent, least, width, partitions(spark)), "kind int, bucket long, blob binary")
-    met = checkpoint(posted.groupBy("bucket").applyInPandas(_pairs(least), "kind int, a long, b long, need long, c0 long, c1 long"))
-    heavy = met.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("need").alias("n"))
+    met = checkpoint(posted.groupBy("bucket").applyInPandas(_pairs(least, group), "kind int, a long, b long, need long, c0 long, c1 long"))
+    heavy = met.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("need").alias("n")).distinct()
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     candidates = pairs.where("c0 >= need and c1 >= need").select("a", "b")
 

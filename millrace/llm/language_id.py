@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, trim
+from .common import PIECE, fold, small_batches, trim
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -43,14 +43,24 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate((x[x != 32], two, three))
 
 
-def ranked(keys: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent n-grams, more frequent ones first, equal ones by their letters."""
-    if not len(keys):
-        return keys
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    count = np.diff(np.append(at, len(keys)))
-    return keys[at][np.argsort(-count, kind="stable")[:size]]
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct n-grams in order and how often it has each; long texts in pieces of whole words."""
+    text, found, at = (text or "").lower(), [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        found.append(np.unique(grams(text[at:end]), return_counts=True))
+        at = end
+    if len(found) < 2:
+        return found[0] if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    keys, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(which, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def ranked(keys: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent of n-grams in order, more frequent ones first, equal ones by their letters."""
+    return keys[np.argsort(-count, kind="stable")[:size]]
 
 
 def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,8 +68,9 @@ def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in rows:
         for lang, texts in batch.groupby("lang", sort=False)["text"]:
             for k in range(0, len(texts), 200):
-                keys, n = np.unique(np.concatenate([grams(t) for t in texts.iloc[k : k + 200]]), return_counts=True)
-                more = pd.Series(n, index=keys)
+                found = [counted(t) for t in texts.iloc[k : k + 200]]
+                keys, which = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+                more = pd.Series(np.bincount(which, weights=np.concatenate([n for _, n in found])).astype(np.int64), index=keys)
                 total[lang] = more if lang not in total else total[lang].add(more, fill_value=0)
     for lang, n in total.items():
         yield pd.DataFrame({"lang": lang, "gram": n.index.to_numpy(np.int64), "n": n.to_numpy(np.int64)})
@@ -75,7 +86,8 @@ def learn_profiles(rows: DataFrame, text: str = "text", lang: str = "lang", size
     pairs = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = pairs.mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).select("lang", "gram", "place")
+    # the bound on row_number() lets every task keep its own first ones only
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("place"))
 
 
 def identifier(profiles: DataFrame, size: int = PROFILE):
@@ -92,7 +104,7 @@ def identifier(profiles: DataFrame, size: int = PROFILE):
         known.append((lang, t["gram"].to_numpy(np.int64), t["place"].to_numpy(np.int64)))
 
     def one(text: str | None) -> tuple[str, float]:
-        own = ranked(grams(text), size)
+        own = ranked(*counted(text), size)
         if not len(own) or not known:
             return UNKNOWN, 0.0
         place, best = np.arange(len(own)), (0, "")

@@ -403,7 +403,7 @@ def test_language_distance(spark):
     texts = ["aab", "cd", "qq", "123 !", "", None]
     got = language_id.identify(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), p).collect()
     for r in got:
-        own = language_id.ranked(language_id.grams(r.text), 300).tolist()
+        own = language_id.ranked(*language_id.counted(r.text), 300).tolist()
         if not own:
             assert tuple(r.language) == ("und", 0.0)
             continue
@@ -509,6 +509,18 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(frame(spark, rows)).collect()} == brute.similar(rows)
 
 
+def test_jaccard_of_tokens_that_no_chunk_holds_twice(spark):
+    """Prefix tokens of very many sets that were not found to be frequent: no all-pairs group, and the same links."""
+    r = random.Random(8)
+    rows = []
+    for k in range(160):
+        own = " ".join(f"u{k}x{j}" for j in range(r.randrange(0, 3)))
+        rows.append((k, f"one common passage of words that stands in every text here and has some length of its own {own}"))
+    rows += [(200 + k, " ".join(f"v{k}y{j}" for j in range(20)) + " one common passage of words") for k in range(120)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(frame(spark, rows), often=10**9, group=5).collect()}
+    assert got == brute.similar(rows)
+
+
 # 10
 
 def seatings(c, d, weights):

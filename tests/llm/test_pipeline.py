@@ -19,7 +19,7 @@ def test_against_plain_stages(spark, sf):
     table = [(lang, [r.gram for r in sorted(rows, key=lambda r: r.place)]) for lang, rows in _grouped(profiles.collect())]
 
     def score(t):
-        own = language_id.ranked(language_id.grams(t), 300).tolist()
+        own = language_id.ranked(*language_id.counted(t), 300).tolist()
         far = [sum(abs(p[g] - j) if g in p else 300 for j, g in enumerate(own)) for p in ({g: k for k, g in enumerate(x)} for _, x in table)]
         return 1 - min(far) / (300 * len(own)) if own else 0
 
@@ -60,3 +60,12 @@ def test_clean_documents_stay(spark, sf):
     assert P.identify(spark, d, sf).count() == d.count()
     n = P.redact(spark, d, sf).join(d.withColumnRenamed("text", "before"), "doc_id").where(F.col("text") != F.col("before"))
     assert all("[SECRET]" in r.text for r in n.select("text").collect())
+
+
+def test_ids_that_repeat(spark):
+    """Rows that share an id but not a text are documents of their own; each group of similar ones keeps one."""
+    copy = "one two three four five six seven eight nine ten eleven twelve " * 3
+    rows = [(1, "a text that stands alone here", "en", "s", 1), (1, copy, "en", "s", 1), (2, copy, "en", "s", 1), (3, copy + "more", "en", "s", 1), (3, "another text of its own", "en", "s", 1), (3, "another text of its own", "en", "s", 1), (None, copy, "en", "s", 1), (None, copy, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in P.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(0, copy), (0, copy), (1, "a text that stands alone here"), (1, copy), (3, "another text of its own")])
