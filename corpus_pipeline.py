@@ -32,13 +32,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of similar ones; one row of those that repeat a doc_id. Rows
-    without a doc_id stay, as nothing names them."""
-    found = checkpoint(jaccard.similar_components(docs))
-    keep = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(keep.distinct(), "doc_id", "left_semi")
-    if keep.count() != keep.distinct().count():
-        kept = kept.dropDuplicates(["doc_id"])
+    """Keeps the document of smallest doc_id of each group of similar ones, of equal ids the one whose id and text have the
+    smaller hash; one row of those that repeat both. Rows without a doc_id stay, as nothing names them."""
+    own, named = fresh(docs, "__key"), docs.where("doc_id is not null")
+    rows = named.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    key = F.col("doc_id") if rows[0] == rows[1] else F.xxhash64("doc_id", "text")  # a row is known by its id, or by both
+    keyed = named.withColumn(own, key)
+    found = checkpoint(jaccard.similar_components(keyed.select(F.col(own).alias("doc_id"), "text")))
+    if rows[0] == rows[1]:
+        kept = keyed.join(found.where("doc_id = component_id").select(F.col("doc_id").alias(own)), own, "left_semi")
+    else:
+        ids = keyed.select(F.col(own).alias("doc_id"), F.col("doc_id").alias("id"))
+        first = found.distinct().join(ids.distinct(), "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("m"))
+        kept = keyed.join(checkpoint(first.select(F.col("m.doc_id").alias(own))), own, "left_semi").dropDuplicates([own])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
