@@ -24,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
     return context.getCheckpointDir()
 
