@@ -90,18 +90,34 @@ def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="object")
 
 
+def shortened(word: Column, most: int) -> Column:
+    """The word and all that is left of it without up to `most` letters: words within so many edits share one of these."""
+    without = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    found = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, without)))
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
 def correct(words: DataFrame, dictionary: DataFrame, distance: Column | None = None, most: int = 2) -> DataFrame:
     """word, correction, distance: known words and numbers stay; others get the nearest dictionary word, null and -1 if none.
 
     Our definition: at most two edits, the same first letter and a length within two; then more frequent, then by name.
-    Candidates meet by first letter and length, so that no word is compared with the whole dictionary.
+    Candidates meet by first letter and what is left of both without a few letters, so that a word meets those near it,
+    however large the dictionary. A distance of one's own is worked out only where the edits of letters allow it.
     """
-    d = F.levenshtein("word", "candidate") if distance is None else distance
+    d = F.levenshtein("word", "candidate", most) if distance is None else distance
     known = dictionary.select(F.col("word").alias("candidate"), "freq")
     asked = words.select("word").distinct()
     fine = asked.join(known.select(F.col("candidate").alias("word")), "word", "left_semi").union(asked.where(F.col("word").rlike("^[0-9]+$"))).distinct()
-    rest = asked.join(fine, "word", "left_anti").withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - most), F.length("word") + most))).withColumn("first", F.substring("word", 1, 1))
-    near = rest.join(known.withColumns({"len": F.length("candidate"), "first": F.substring("candidate", 1, 1)}), ["first", "len"]).withColumn("distance", d).where(F.col("distance") <= most)
+    first = lambda c: F.substring(c, 1, 1).alias("first")
+    rest = asked.join(fine, "word", "left_anti").select("word", first("word"), F.explode(shortened(F.col("word"), most)).alias("left"))
+    met = rest.join(known.select("candidate", "freq", first("candidate"), F.explode(shortened(F.col("candidate"), most)).alias("left")), ["first", "left"])
+    met = met.select("word", "candidate", "freq").distinct().where(F.abs(F.length("word") - F.length("candidate")) <= most)
+    # a swap of neighbours is two edits of single letters
+    met = met if distance is None else met.where(F.levenshtein("word", "candidate", 2 * most) >= 0)
+    near = met.withColumn("distance", d).where(F.col("distance").between(0, most))
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("freq")).alias("f"), "candidate")).alias("b"))
     found = asked.join(fine.withColumn("ok", F.lit(True)), "word", "left").join(best, "word", "left")
     return found.select("word", F.when(F.col("ok"), F.col("word")).otherwise(F.col("b.candidate")).alias("correction"), F.coalesce(F.when(F.col("ok"), 0).otherwise(F.col("b.distance")), F.lit(-1)).cast("int").alias("distance"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
+
+from millrace.storage import checkpoint
 
 
 def latest(log: DataFrame, key: Sequence[str] = ("doc_id",), version: str = "version") -> DataFrame:
@@ -25,7 +30,8 @@ def changed(found: DataFrame, stored: DataFrame, by: Sequence[str] = ("url", "la
 
 
 def upsert(stored: DataFrame, log: DataFrame, key: Sequence[str] = ("collection", "url")) -> DataFrame:
-    """The state after a log of adds and deletes (op, ts and the columns of stored): the last entry of a key counts.
+    """The state after a log of adds and deletes (op, ts and the columns of stored): the last entry of a key counts, of
+    equally late ones a delete, then the greatest in its columns' order.
 
     A delete with a null url empties the collection of what came before it.
     """
@@ -33,7 +39,7 @@ def upsert(stored: DataFrame, log: DataFrame, key: Sequence[str] = ("collection"
     wiped = log.where("op = 'delete' and url is null").groupBy("collection").agg(F.max("ts").alias("wiped"))
     rows = stored.select(*columns, F.lit(None).cast(log.schema["ts"].dataType).alias("ts"), F.lit("add").alias("op")).unionByName(log.where("url is not null").select(*columns, "ts", "op"))
     rows = rows.join(wiped, "collection", "left").where(F.col("wiped").isNull() | (F.col("ts") > F.col("wiped"))).drop("wiped")
-    last = rows.groupBy(*key).agg(F.max_by(F.struct("op", *[c for c in columns if c not in key]), F.coalesce(F.col("ts").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))).alias("_r"))
+    last = rows.groupBy(*key).agg(F.max(F.struct(F.coalesce(F.col("ts").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("_ts"), "op", *[c for c in columns if c not in key])).alias("_r"))
     return last.where("_r.op <> 'delete'").select(*[F.col(c) if c in key else F.col(f"_r.{c}") for c in columns])
 
 
@@ -48,15 +54,21 @@ def stale(rows: DataFrame, now: Column, keep: Column) -> Column:
 
 
 def numbered(rows: DataFrame, order: str, into: str = "n") -> DataFrame:
-    """Rows with their number from 0 in a global order: sorted by range, counted by partition, numbered inside each."""
-    x = rows.orderBy(order).withColumn("_part", F.spark_partition_id()).persist()
-    counts = x.groupBy("_part").agg(F.count("*").alias("k")).collect()  # a row for each partition
-    before, offsets = 0, []
-    for r in sorted(counts, key=lambda r: r["_part"]):
-        offsets += [F.lit(r["_part"]), F.lit(before).cast("long")]
-        before += r["k"]
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return x.withColumn(into, (inside + F.element_at(F.create_map(*offsets), F.col("_part"))) if offsets else F.lit(0).cast("long")).drop("_part")
+    """Rows with their number from 0 in a global order: sorted by range once, counted by partition, and numbered where they
+    lie. Only a count for each partition comes to the driver."""
+    x = checkpoint(rows.orderBy(order))
+    before, offsets = 0, {}
+    for part, k in sorted(map(tuple, x.groupBy(F.spark_partition_id().alias("part")).count().collect())):
+        offsets[part], before = before, before + k
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = offsets.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            n = pa.array(range(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, into])
+
+    return x.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*x.schema.fields, StructField(into, LongType())]))
 
 
 def interleaved(large: DataFrame, small: DataFrame, order: str) -> DataFrame:

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import TOKEN
-
-
-def shared_folder(spark) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only a local session without one makes its own."""
-    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return f"{tempfile.gettempdir()}/millrace-checkpoints"
+from millrace.storage import shared_folder as shared_folder
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:

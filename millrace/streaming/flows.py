@@ -24,7 +24,8 @@ def unseen(urls: DataFrame, late: str = "1 day", time: str = "ts") -> DataFrame:
 def apply_changes(changes: DataFrame, path: str, base: Callable[[], DataFrame], checkpoint: str):
     """A query that keeps the table of documents at `path` up to date; a batch becomes visible as a whole.
 
-    Each batch is written beside the table as a version of its own, so that a batch that runs again gives the same.
+    Each batch is written beside the table as a version of its own, so that a batch that runs again gives the same; the
+    version before stays for that, older ones go.
     """
     from millrace.operators.ingest import upsert
 
@@ -32,6 +33,9 @@ def apply_changes(changes: DataFrame, path: str, base: Callable[[], DataFrame],
         spark = batch.sparkSession
         stored = base() if number == 0 else spark.read.parquet(f"{path}/v{number - 1}")
         upsert(stored, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        if number > 1:
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
 
