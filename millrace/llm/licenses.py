@@ -9,6 +9,7 @@ templates, notices and full texts, ride along as a literal; nothing is joined or
 
 from __future__ import annotations
 
+from collections import Counter
 from fractions import Fraction
 from math import ceil, floor
 from pathlib import Path
@@ -59,21 +60,26 @@ def _prepared(templates: dict[str, str], least: Fraction) -> list[tuple[str, int
     return rows
 
 
-def _probes(known: list[tuple[str, int, int, list[str]]]) -> list[str]:
-    """Words and bigrams of which every unit that matches holds one.
+def _probes(known: list[tuple[str, int, int, list[str]]]) -> list[list[str]]:
+    """For each template words and bigrams of which every unit that matches it holds one.
 
     A match shares at least `low` of a template's b bigrams, so one of any b - low + 1 of them: enough are chosen, by
     long words that lie in several of them first.
     """
-    chosen: list[str] = []
+    chosen: dict[str, None] = {}
+    out = []
     for _, low, _, grams in known:
-        left = {g for g in grams if not any(p == g or p in g.split(" ") for p in chosen)}
+        parts = {g: g.split(" ") for g in grams}
+        own = [p for p in chosen if any(p == g or p in w for g, w in parts.items())]
+        left = {g for g, w in parts.items() if not any(p == g or p in w for p in own)}
         while len(grams) - len(left) < len(grams) - low + 1:
-            words = sorted({w for g in left for w in g.split(" ") if len(w) > 6})
-            best = max(words, key=lambda w: (sum(w in g.split(" ") for g in left), w)) if words else max(left)
-            chosen.append(best)
-            left = {g for g in left if best != g and best not in g.split(" ")}
-    return chosen
+            count = Counter(w for g in left for w in set(parts[g]) if len(w) > 6)
+            best = max(count, key=lambda w: (count[w], w)) if count else max(left)
+            own.append(best)
+            chosen[best] = None
+            left = {g for g in left if best != g and best not in parts[g]}
+        out.append(own)
+    return out
 
 
 def normalised(text: Column) -> Column:
@@ -87,10 +93,11 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def _literal(known: list[tuple[str, int, int, list[str]]]) -> Column:
+def _literal(known: list[tuple[str, int, int, list[str]]], probes: list[list[str]]) -> Column:
     """The templates as one array. Bigrams come as one string each, which the optimizer splits once."""
-    rows = (F.struct(F.lit(n).alias("license"), F.lit(a).alias("low"), F.lit(b).alias("high"), F.split(F.lit("|".join(g)), r"\|").alias("grams")) for n, a, b, g in known)
-    return F.array(*rows).cast("array<struct<license:string,low:int,high:int,grams:array<string>>>")
+    many = lambda v: F.split(F.lit("|".join(v)), r"\|")
+    rows = (F.struct(F.lit(n).alias("license"), F.lit(a).alias("low"), F.lit(b).alias("high"), many(g).alias("grams"), many(p).alias("probes")) for (n, a, b, g), p in zip(known, probes, strict=True))
+    return F.array(*rows).cast("array<struct<license:string,low:int,high:int,grams:array<string>,probes:array<string>>>")
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] | None = None, least: Fraction = LEAST) -> DataFrame:
@@ -107,21 +114,29 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
     several = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
     probes = _probes(known)
-    held = F.greatest(*(F.contains("__plain", F.lit(w)) for w in (*probes, *probes[:1]))) if probes else F.lit(False)
+    every = sorted({p for own in probes for p in own})
+    words, pairs = [p for p in every if " " not in p], [p for p in every if " " in p]
+    text_ = F.array().cast("array<string>")
+    lit = lambda v: F.split(F.lit("|".join(v)), r"\|") if v else text_
+    hits = F.concat(F.array_intersect(F.split("__plain", " "), lit(words)), F.filter(lit(pairs), lambda w: F.contains("__plain", w)))
     # exploding one array keeps its value from being worked out again for each use
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), F.explode(F.array(normalised(t))).alias("__plain")).where(held)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), F.explode(F.array(normalised(t))).alias("__plain"))
+    rows = rows.select("doc_id", "t", F.explode(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
     cut = lambda pattern: several(F.split("t", pattern))
     all_units = F.concat(units("text", F.array("t")), units("paragraph", cut(PARAGRAPH)), units("line", cut("\n")), units("sentence", cut(SENTENCE)))
-    rows = rows.select("doc_id", "t", F.explode(all_units).alias("u")).select("doc_id", F.when(F.col("u.unit") == "text", F.col("t")).alias("t"), "u.unit", "u.number", normalised(F.col("u.v")).alias("v"))
+    rows = rows.select("doc_id", "t", "hits", F.explode(all_units).alias("u")).select("doc_id", "hits", F.when(F.col("u.unit") == "text", F.col("t")).alias("t"), "u.unit", "u.number", normalised(F.col("u.v")).alias("v"))
     rows = rows.where(F.contains("v", F.lit(" "))).withColumn("grams", F.explode(F.array(bigrams(F.col("v"))))).withColumn("n", F.size("grams"))
-    # a literal row of the plan, not a table: the bounds leave the few templates of a like size; of larger texts, a block may match
-    rows = rows.withColumn("c", F.explode(F.filter(_literal(known), lambda x: (x["low"] <= F.col("n")) & ((x["high"] >= F.col("n")) | F.col("t").isNotNull()))))
-    rows = rows.withColumn("n_shared", F.size(F.array_intersect("grams", "c.grams")))
-    fits = lambda n, shared: (F.col("c.high") >= n) & (F.col("c.low") <= n) & (shared * 2 * least.denominator >= (n + F.size("c.grams")) * least.numerator)
-    rows = rows.where(fits(F.col("n"), F.col("n_shared")) | (F.col("t").isNotNull() & (F.col("n_shared") >= F.col("c.low"))))
+    # a literal of the plan, not a table: the bounds leave the few templates of a like size; of larger texts, a block may match
+    table = _literal(known, probes)
+    fit = lambda i: (F.get(table, i)["low"] <= F.col("n")) & ((F.get(table, i)["high"] >= F.col("n")) | F.col("t").isNotNull()) & F.arrays_overlap("hits", F.get(table, i)["probes"])
+    rows = rows.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(known) - 1)), fit)))
+    of = lambda name: F.get(table, F.col("i"))[name]
+    rows = rows.withColumn("n_shared", F.explode(F.array(F.size(F.array_intersect("grams", of("grams"))))))
+    fits = lambda n, shared: (of("high") >= n) & (of("low") <= n) & (shared * 2 * least.denominator >= (n + F.size(of("grams"))) * least.numerator)
+    rows = rows.where(fits(F.col("n"), F.col("n_shared")) | (F.col("t").isNotNull() & (F.col("n_shared") >= of("low"))))
     whole = F.array(F.struct("unit", F.col("number").cast("int").alias("number"), F.col("n"), F.col("n_shared").alias("shared")))
-    found = F.concat(F.filter(whole, lambda x: fits(x["n"], x["shared"])), F.when(F.col("t").isNotNull(), F.filter(_block(F.split("t", "\n"), F.col("c.grams")), lambda x: fits(x["n"], x["shared"]))).otherwise(F.array()))
-    rows = rows.select("doc_id", F.col("c.license").alias("license"), F.size("c.grams").alias("b"), F.explode(found).alias("x"))
+    found = F.concat(F.filter(whole, lambda x: fits(x["n"], x["shared"])), F.when(F.col("t").isNotNull(), F.filter(_block(F.split("t", "\n"), of("grams")), lambda x: fits(x["n"], x["shared"]))).otherwise(F.array()))
+    rows = rows.select("doc_id", of("license").alias("license"), F.size(of("grams")).alias("b"), F.explode(found).alias("x"))
     return rows.select("doc_id", "x.unit", "x.number", "license", F.col("x.n").alias("n_bigrams"), F.col("x.shared").alias("n_shared"), (F.col("x.shared") * F.lit(2.0) / (F.col("x.n") + F.col("b"))).alias("dice"))
 
 
