@@ -128,9 +128,35 @@ def test_mail():
 
 
 def test_xml_batch(spark):
-    x = "<sddocument><add><documents><document><uri>u</uri><collection>c</collection><title>t</title><body>aGk=</body></document><document><uri>v</uri></document></documents></add></sddocument>"
-    got = formats.read_batches(spark.createDataFrame([(x,), ("<broken",)], "xml string")).collect()
-    assert [(r.url, r.body, r.acl_allow) for r in got if r.error is None] == [("u", "hi", ["Everyone"])] and sum(r.error is not None for r in got) == 2
+    add = "<add><documents><document><uri>u</uri><collection>c</collection><title>t</title><body>aGk=</body></document><document><uri>v</uri></document></documents></add>"
+    gone = "<delete><collection>c</collection><uri>w</uri><uri>x</uri><document><uri>y</uri><collection>c</collection><title>t</title><body>aGk=</body></document></delete><delete><uri>z</uri></delete>"
+    rest = "<close><collection>c</collection></close><create/><users><user>ann</user><user>bob</user></users><gcwhispers><collection>c</collection><notold>1</notold></gcwhispers><error>oops</error><unknown/>"
+    rows = spark.createDataFrame([(f"<sddocument><version>1</version>{add}{gone}{rest}</sddocument>",), ("<broken",), (None,)], "xml string")
+    got = [(r.op, r.collection, r.url, r.body, r.value, r.error is not None) for r in formats.read_batches(rows).collect()]
+    assert got == [
+        ("add", "c", "u", "hi", None, False), ("add", None, None, None, None, True), ("delete", "c", "w", None, None, False), ("delete", "c", "x", None, None, False), ("delete", None, None, None, None, True),
+        ("close", "c", None, None, None, False), ("create", None, None, None, None, True), ("users", None, None, None, "ann", False), ("users", None, None, None, "bob", False), ("gcwhispers", "c", None, None, "notold=1", False),
+        ("error", None, None, None, "oops", False), (None, None, None, None, None, True), (None, None, None, None, None, True),
+    ]
+    changes = [tuple(r) for r in formats.batch_changes(formats.read_batches(rows)).select("op", "url").collect()]
+    assert changes == [("add", "u"), ("delete", "w"), ("delete", "x")]
+
+
+def test_files_that_cannot_be_read(spark):
+    """An unknown charset, an encrypted archive and one of an unknown method: no file ends the job."""
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("a.txt", "hello")
+    locked, odd = bytearray(b.getvalue()), bytearray(b.getvalue())
+    for raw, at, mark in ((locked, 6, 1), (odd, 8, 99)):
+        centre = raw.index(b"PK\1\2")
+        raw[at] = raw[centre + at + 2] = mark
+    d = spark.createDataFrame([("locked", locked), ("odd", odd), ("empty", bytearray()), ("null", None)], "path string, content binary")
+    assert all(r.error and r.name is None for r in formats.exploded(d, "zip").collect()) and formats.exploded(d, "zip").count() == 4
+    mail = b"Subject: x\r\nContent-Type: text/plain; charset=no-such\r\n\r\nbody"
+    assert formats.mail_parts(mail)[1][2] == "body"
+    with pytest.raises(ValueError, match="no such kind"):
+        formats.exploded(d, "rar")
 
 
 def test_packed_links(spark):
