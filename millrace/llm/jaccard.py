@@ -361,3 +361,18 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP9_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < {WIDTH} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) end as g from d),
+c as (select doc_id, len(g) as n, md5(array_to_string(list_sort(g), '|')) as sum from s),
+reps as (select sum, min(doc_id) as rep, any_value(n) as n from c where n > 0 group by sum),
+tok as (select rep, n, unnest(g) as t from reps join s on doc_id = rep),
+shared as (select a.rep as a, b.rep as b, a.n as na, b.n as nb, count(*) as k from tok a join tok b on a.t = b.t and a.rep <> b.rep where least(a.n, b.n) * {LEAST.denominator} >= greatest(a.n, b.n) * {LEAST.numerator} group by 1, 2, 3, 4),
+links as (select a, b from shared where k * {LEAST.denominator} >= (na + nb - k) * {LEAST.numerator}),
+reach(a, b) as (select rep, rep from reps union select reach.a, links.b from reach join links on links.a = reach.b),
+part as (select a as rep, min(b) as component from reach group by a)
+select doc_id, c.n as n_shingles, coalesce(component, doc_id) as component_id from c left join reps on c.sum = reps.sum and c.n > 0 left join part using (rep)
+"""

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.queries.tables import CRC32
+
 from .common import PIECE, fold, small_batches, trim
 
 PROFILE = 300
@@ -143,3 +145,20 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
     found = identify(docs.select("doc_id", "text"), profiles)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
+_CRC = CRC32.format("coalesce(doc_id::varchar, '')")
+OP6_SQL = f"""
+with d as (select doc_id, lang, {_CRC} % 5 = 0 as held_out, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') as w, text is not null as given from documents),
+x as (select *, ' ' || array_to_string(w, ' ') || ' ' as s from d),
+g as (select doc_id, lang, held_out, given, unnest(list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1)) || list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) || list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) as gram from x where len(w) > 0),
+own as (select doc_id, gram, count(*) as n from g where gram <> ' ' group by 1, 2),
+ranked as (select doc_id, gram, row_number() over (partition by doc_id order by n desc, length(gram), gram) - 1 as place from own qualify place < {PROFILE}),
+learned as (select lang, gram, count(*) as n from g where gram <> ' ' and not held_out and lang is not null and given group by 1, 2),
+profile as (select lang, gram, row_number() over (partition by lang order by n desc, length(gram), gram) - 1 as place from learned qualify place < {PROFILE}),
+size as (select doc_id, count(*) as k from ranked group by 1),
+near as (select r.doc_id, p.lang, sum({PROFILE} - abs(r.place - p.place)) as saved from ranked r join profile p on r.gram = p.gram group by 1, 2),
+far as (select s.doc_id, l.lang, ({PROFILE} * k - coalesce(saved, 0))::bigint as far, k from size s cross join (select distinct lang from profile) l left join near n on n.doc_id = s.doc_id and n.lang = l.lang),
+best as (select doc_id, lang, 1.0::double - far::double / ({PROFILE} * k)::double as score from far qualify row_number() over (partition by doc_id order by far, lang) = 1)
+select d.doc_id, d.held_out, coalesce(best.lang, '{UNKNOWN}') as lang_pred, coalesce(score, 0::double) as score from d left join best on best.doc_id = d.doc_id
+"""

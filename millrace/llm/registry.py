@@ -19,5 +19,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
     "op2_secret_scan": secrets.OP2_SQL,
+    "op6_language_id": language_id.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_ngram_jaccard": jaccard.OP9_SQL,
 }
