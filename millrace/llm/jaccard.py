@@ -107,22 +107,25 @@ def _often(least: int):
     return count
 
 
+NOBODY = (1 << 63) - 1  # stands for a null doc_id
+
+
 def _postings(frequent, least: Fraction, width: int, buckets: int):
     """Prefix tokens of each set under both orders, as sorted runs for each bucket (kinds 0 and 1); and the frequent
-    tokens in prefixes under the first (kind 2)."""
+    tokens in prefixes under the first (kind 2). Each set has the smallest doc_id seen beside it."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = frequent.value
-        held: list[tuple] = []
-        known: set[int] = set()
+        held: list[list] = []
+        known: dict[int, list] = {}
         size = 0
 
         def runs() -> pd.DataFrame:
             out = []
-            meta = np.array([x[:4] for x in held], np.int64).reshape(-1, 4)
+            meta = np.array([x[:5] for x in held], np.int64).reshape(-1, 5)
             for order in (0, 1, 2):
-                tokens = np.concatenate([x[4 + order] for x in held])
-                owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[4 + order]) for x in held])
+                tokens = np.concatenate([x[5 + order] for x in held])
+                owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[5 + order]) for x in held])
                 bucket = (tokens % np.uint64(buckets)).astype(np.int64)
                 at = np.lexsort((tokens, bucket))
                 tokens, owner, bucket = tokens[at], owner[at], bucket[at]
@@ -132,26 +135,30 @@ def _postings(frequent, least: Fraction, width: int, buckets: int):
                     if i < j:
                         own, local = np.unique(owner[i:j], return_inverse=True)
                         m = meta[own]
-                        out.append((order, b, pack(tokens[i:j], local.astype(np.uint16 if len(own) <= 65536 else np.uint32), m[:, 0], m[:, 1].astype(np.int32), m[:, 2].astype(np.int32), m[:, 3].astype(np.int32))))
+                        out.append((order, b, pack(tokens[i:j], local.astype(np.uint16 if len(own) <= 65536 else np.uint32), m[:, 0], m[:, 1].astype(np.int32), m[:, 2].astype(np.int32), m[:, 3].astype(np.int32), m[:, 4])))
             return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
 
         for batch in batches:
-            for text in batch["text"]:
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text if isinstance(text, str) else None, width)
-                if not len(s) or (sig := signature(s)) in known:
+                if not len(s):
+                    continue
+                sig, i = signature(s), NOBODY if pd.isna(i) else int(i)
+                if sig in known:
+                    known[sig][4] = min(known[sig][4], i)
                     continue
-                known.add(sig)
                 n = len(s)
                 at = np.minimum(np.searchsorted(last, s), max(0, len(last) - 1))
                 late = last[at] == s if len(last) else np.zeros(n, bool)
                 own, often = s[~late], s[late]
                 p = n - needed(n, least) + 1
                 ph = max(0, p - len(own))
-                held.append((sig, n, len(often), ph, own[:p], own[np.argsort(mixed(own ^ SECOND))[:p]] if len(own) > p else own, often[:ph]))
+                known[sig] = [sig, n, len(often), ph, i, own[:p], own[np.argsort(mixed(own ^ SECOND))[:p]] if len(own) > p else own, often[:ph]]
+                held.append(known[sig])
                 size += 2 * p
             if size > CHUNK:
                 yield runs()
-                held, size, known = [], 0, set()
+                held, size, known = [], 0, {}
         if held:
             yield runs()
         held = []
@@ -168,7 +175,16 @@ def _share(na, nb, least: Fraction):
 
 def _pairs(least: Fraction, most: int):
     """Within a bucket: pairs of sets that share prefix tokens under each order, how many, and how many they need; and
-    the tokens in prefixes that are frequent, or that more than `most` sets share, with their sets (kind 2, as a and b)."""
+    for prefix tokens that are frequent, or that more than `most` sets share, each set with the token's leader, the set of
+    the smallest doc_id (kind 2: a the set, need its size, c0 its doc_id; b, size and c1 the leader's)."""
+
+    def led(token: np.ndarray, sig: np.ndarray, meta: dict) -> pd.DataFrame:
+        size, ids = np.array([(meta[x][0], meta[x][3]) for x in sig.tolist()], np.int64).reshape(-1, 2).T
+        order = np.lexsort((sig, ids, token))
+        first = np.append(True, token[order][1:] != token[order][:-1])
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        x = pd.DataFrame({"kind": 2, "a": sig[order], "b": sig[head], "need": size[order], "c0": ids[order], "c1": ids[head], "size": size[head]})
+        return x[x["a"] != x["b"]].drop_duplicates(["a", "b"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         trim()  # of the bucket before
@@ -176,23 +192,25 @@ def _pairs(least: Fraction, most: int):
         for order, own in rows.groupby("kind", sort=True):
             tokens, sigs, meta = [], [], {}
             for blob in own["blob"]:
-                t, local, sig, n, h, ph = unpack(blob)
+                t, local, sig, n, h, ph, ids = unpack(blob)
                 tokens.append(t)
                 sigs.append(sig[local])
-                meta.update(zip(sig.tolist(), zip(n.tolist(), h.tolist(), ph.tolist(), strict=True), strict=True))
+                for x, own in zip(sig.tolist(), zip(n.tolist(), h.tolist(), ph.tolist(), ids.tolist(), strict=True), strict=True):
+                    if x not in meta or own[3] < meta[x][3]:
+                        meta[x] = own
             token, sig = np.concatenate(tokens), np.concatenate(sigs)
             at = np.lexsort((sig, token))
             token, sig = token[at], sig[at]
             new = np.append(True, (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]))
             token, sig = token[new], sig[new]
             if order == 2:
-                found.append(pd.DataFrame({"kind": 2, "a": token.view(np.int64), "b": sig, "need": [meta[x][0] for x in sig.tolist()], "c0": 0, "c1": 0}))
+                found.append(led(token, sig, meta))
                 continue
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(start, len(token)))
             large = np.repeat(size > most, size)
             if large.any():
-                found.append(pd.DataFrame({"kind": 2, "a": token[large].view(np.int64), "b": sig[large], "need": [meta[x][0] for x in sig[large].tolist()], "c0": 0, "c1": 0}))
+                found.append(led(token[large], sig[large], meta))
             start, size = start[(size > 1) & (size <= most)], size[(size > 1) & (size <= most)]
             if not len(start):
                 continue
@@ -205,18 +223,18 @@ def _pairs(least: Fraction, most: int):
                     second.append(members[:, j[lo : lo + (1 << 16)]].ravel())
             a, b = np.concatenate(first), np.concatenate(second)
             known = np.unique(np.concatenate((a, b)))
-            n, _, ph = np.array([meta[x] for x in known.tolist()], np.int64).T
+            n, _, ph, _ = np.array([meta[x] for x in known.tolist()], np.int64).T
             ia, ib = np.searchsorted(known, a), np.searchsorted(known, b)
             fits = np.minimum(n[ia], n[ib]) * least.denominator >= np.maximum(n[ia], n[ib]) * least.numerator
             pair, count = np.unique(ia[fits] * len(known) + ib[fits], return_counts=True)
             ia, ib = pair // len(known), pair % len(known)
             rest = np.maximum(needed(n[ia], least), needed(n[ib], least)) - 1  # of the larger set behind its prefix
             need = np.maximum(1, _share(n[ia], n[ib], least) - rest) - np.minimum(ph[ia], ph[ib])
-            x = pd.DataFrame({"kind": 0, "a": known[ia], "b": known[ib], "need": need, "c0": 0, "c1": 0})
+            x = pd.DataFrame({"kind": 0, "a": known[ia], "b": known[ib], "need": need, "c0": 0, "c1": 0, "size": 0})
             x[f"c{order}"] = count.astype(np.int64)
             found.append(x)
         if not found:
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "need": [], "c0": [], "c1": []})
+            return pd.DataFrame({k: [] for k in ("kind", "a", "b", "need", "c0", "c1", "size")})
         return pd.concat(found)
 
     return meet
@@ -305,16 +323,15 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     frequent = spark.sparkContext.broadcast(np.sort(last.to_numpy(np.int64).view(np.uint64)))
     reps = classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    posted = rows.select("text").mapInPandas(_postings(frequent, least, width, partitions(spark)), "kind int, bucket long, blob binary")
-    met = checkpoint(posted.groupBy("bucket").applyInPandas(_pairs(least, group), "kind int, a long, b long, need long, c0 long, c1 long"))
-    heavy = met.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("need").alias("n")).distinct()
+    posted = rows.mapInPandas(_postings(frequent, least, width, partitions(spark)), "kind int, bucket long, blob binary")
+    met = checkpoint(posted.groupBy("bucket").applyInPandas(_pairs(least, group), "kind int, a long, b long, need long, c0 long, c1 long, size long"))
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     candidates = pairs.where("c0 >= need and c1 >= need").select("a", "b")
 
-    # one leader for each frequent token: the class of the smallest document
-    members = heavy.join(reps, "sig")
-    leader = members.groupBy("token").agg(F.min(F.struct("rep", "sig", "n")).alias("l"))
-    star = checkpoint(members.join(leader, "token").where(F.col("sig") != F.col("l.sig")).select("sig", "rep", "n", F.col("l.sig").alias("l_sig"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n")).distinct())
+    # each set that shares a frequent prefix token, with that token's leader
+    nobody = lambda c: F.when(F.col(c) < NOBODY, F.col(c))
+    star = met.where("kind = 2").select(F.col("a").alias("sig"), nobody("c0").alias("rep"), F.col("need").alias("n"), F.col("b").alias("l_sig"), nobody("c1").alias("l_rep"), F.col("size").alias("l_n"))
+    star = checkpoint(star.distinct())
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     first = checkpoint(candidates.union(star.where(_fits(F.col("n"), F.col("l_n"), least)).select(*ordered(F.col("sig"), F.col("l_sig")))).distinct())
 
