@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,34 +41,29 @@ def _quoted(word: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in word)
 
 
-def snippet(text: Column, words: list[str], size: int = 30) -> Column:
-    """The run of `size` tokens with most hits, the first of equal ones; the text's head where nothing hits."""
-    wanted = {w.lower() for w in words}
+EDGES = r"""^[.,;:!?()"']+|[.,;:!?()"']+$"""
+
 
-    @F.pandas_udf("string")
-    def best(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            parts = t.split()
-            hits = [sum(x in wanted for x in {p.lower().strip(".,;:!?()\"'")}) for p in parts]
-            count = sum(hits[:size])
-            most, at = count, 0
-            for k in range(1, max(1, len(parts) - size + 1)):
-                count += hits[k + size - 1] - hits[k - 1]
-                if count > most:
-                    most, at = count, k
-            return ("… " if at else "") + " ".join(parts[at : at + size]) + (" …" if at + size < len(parts) else "")
+def snippet(text: Column, words: list[str], size: int = 30) -> Column:
+    """The run of `size` words with most hits, the first of equal ones; the text's head where nothing hits."""
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    wanted = F.array(*map(F.lit, sorted({w.lower() for w in words}))).cast("array<string>")
+    hit = lambda p: F.when(F.array_contains(wanted, F.regexp_replace(F.lower(p), EDGES, "")), 1).otherwise(0)
+    total = lambda h, i: F.aggregate(F.slice(h, i + 1, size), F.lit(0), lambda a, b: a + b)
 
-        return texts.map(one)
+    def shown(parts: Column) -> Column:
+        n = F.size(parts)
+        best = let(F.transform(parts, hit), lambda h: F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(total(h, i).alias("n"), (-i).alias("at")))))
+        cut = lambda at: F.concat(F.when(at > 0, "… ").otherwise(""), F.array_join(F.slice(parts, at + 1, size), " "), F.when(at + size < n, " …").otherwise(""))
+        return let(-best["at"], cut)
 
-    return best(text)
+    return F.when(text.isNotNull(), let(F.filter(F.split(text, r"\s+"), lambda p: p != ""), shown))
 
 
 def summary(html: Column) -> Column:
     """struct(title, keywords, description, body) of a page, by patterns; empty where absent."""
     meta = lambda name: F.regexp_extract(html, rf"(?is)<meta\s+name=[\"']{name}[\"']\s+content=[\"']([^\"']*)", 1)
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|title)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>", " "), "<[^>]*>", " ")
     return F.struct(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), meta("keywords").alias("keywords"), meta("description").alias("description"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("body"))
 
 

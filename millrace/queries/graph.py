@@ -165,6 +165,8 @@ SQL = {
     "domains_per_group": f"with {_HP} select string_split(path, '/')[2] as segment, count(distinct host) as n from hp group by 1 having count(distinct host) >= 3",
     "url_clean": f"with {_HP} select page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', ''), '(?i)/default[.]aspx$', '/') as url, regexp_matches(url, '(?i)^https?://[a-z0-9-]+([.][a-z0-9-]+)+(:[0-9]+)?([/?#]|$)') and not contains(lower(url), 'javascript:') as valid, host from hp",
     "same_host_first": f"with {_HP} select host, page_id, size from (select host, page_id, length(html) as size, row_number() over (partition by host order by length(html) desc, page_id) as p from hp) where p = 1",
+    "html_summary": """select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title,
+        md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) as body_sum from pages""",
     "html_strip": "select page_id, md5(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\\x01-\\x0a]', '', 'g')) as sum from pages",
     "robots": "select page_id, strlen(html) <= 26214400 and not regexp_matches(html, '(?is)<meta\\s+name\\s*=\\s*[\"'']?robots[^>]*noindex') as storable, not regexp_matches(html, '(?is)<meta\\s+name\\s*=\\s*[\"'']?robots[^>]*nofollow') as follow from pages",
     "redirect_classify": f"""with {_HP}, r as (select page_id as doc_id, {_CODE} as response, case when page_id % 3 = 0 then 'http://' || host || '/moved/here' when page_id % 2 = 0 then regexp_replace(url, '^https', 'http') else 'nowhere' end as target,

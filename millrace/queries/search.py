@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import ranks
-from millrace.functions.text import tokens
+from millrace.functions.text import EDGES, tokens
 from millrace.operators import facets, search
 from millrace.operators.access import visible
 from millrace.plans.query import Thesaurus, run_query
@@ -181,6 +181,10 @@ _SIZE = "case when n_chars < 1000 then 'small' when n_chars < 5000 then 'medium'
 _ATTR = f"attr as (select doc_id, 'lang' as key, lang as value from documents union all select doc_id, 'source', source from documents union all select doc_id, 'size', {_SIZE} from documents)"
 _COUNTED = f"{_ATTR}, counted as (select key, value, count(*) as n from attr group by grouping sets ((key, value), (key)))"
 SQL = {
+    "snippets": f"""with p as (select doc_id, text is null as gone, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') as w from documents),
+        h as (select *, list_transform(w, lambda x: (regexp_replace(lower(x), '{EDGES.replace("'", "''")}', '', 'g') in ('the', 'from'))::int) as h from p),
+        s as (select *, list_transform(range(0, greatest(len(w) - 12, 0) + 1), lambda i: coalesce(list_sum(h[i + 1:i + 12]), 0)) as t from h), a as (select *, list_position(t, list_max(t)) - 1 as i from s)
+        select doc_id, case when gone then null else case when i > 0 then '… ' else '' end || array_to_string(w[i + 1:i + 12], ' ') || case when i + 12 < len(w) then ' …' else '' end end as snippet from a""",
     "partition_hash": f"with {TOKENS}, t as (select distinct term from tok) select {CRC32.format('term')} % 64 as part, count(*) as n from t group by 1",
     "tokens_df": f"with {TOKENS} select term, count(distinct doc_id) as n_docs, count(*) as n_hits from tok group by term",
     "postings_build": f"with {TOKENS} select term, doc_id, lang, count(*) as n_hits, string_agg(pos, ',' order by pos) as positions from tok group by term, doc_id, lang",

@@ -101,6 +101,22 @@ _BUILD = f"""{DOCS}, {TOKENS}, kept as (select t.term as word, d.acl_allow, d.ac
     dict as (select word, count(*) as freq, list_sort(list_distinct(flatten(list(acl_allow)))) as acl_allow, list_sort(list_distinct(flatten(list(acl_denied)))) as acl_denied, list_sort(list(distinct collection)) as collections from kept group by word)"""
 _FLAT = "select word, freq, array_to_string(acl_allow, ',') as acl_allow, array_to_string(acl_denied, ',') as acl_denied, array_to_string(collections, ',') as collections from dict"
 _COUNT = {k: "len(list_filter(w, lambda x: x in (" + ", ".join(f"'{v}'" for v in own) + ")))" for k, own in D.STOP_WORDS.items()}
+# letters whose bytes SQL's distances would count, each as one byte that no word has
+_ODD = "éèêëçàâäîïôöùûüßñáíóúœæåø"
+_BYTES = "translate({0}, '" + _ODD + "', " + " || ".join(f"chr({k + 1})" for k in range(len(_ODD))) + ")"
+
+
+def _spelled(distance: str, also: str = "") -> str:
+    """SQL of a spelling by the nearest word within two edits."""
+    d = distance.format("a.word", "k.word")
+    return f"""with {_BUILD}, known as (select word, freq from dict where freq >= 15{also.format('word')}),
+        asked as (select distinct w[1] || substr(w, 3, 100) as word from (select unnest(regexp_extract_all(lower(text), {PATTERN})) as w from benchmark) where length(w) >= 5{also.format('w[1] || substr(w, 3, 100)')}),
+        near as (select a.word, k.word as c, {d} as d, k.freq from asked a join known k on a.word[1] = k.word[1] and abs(length(a.word) - length(k.word)) <= 2 where {d} <= 2),
+        best as (select word, c, d from (select *, row_number() over (partition by word order by d, freq desc, c) as p from near) where p = 1)
+        select a.word, case when k.word is not null or regexp_matches(a.word, '^[0-9]+$') then a.word else b.c end as correction, coalesce(case when k.word is not null or regexp_matches(a.word, '^[0-9]+$') then 0 else b.d end, -1)::int as distance
+        from asked a left join known k using (word) left join best b using (word)"""
+
+
 SQL = {
     "dictionary_build": f"with {_BUILD} {_FLAT}",
     "dictionary_top": f"with {_BUILD} select word, freq from dict order by freq desc, word limit 500",
@@ -111,12 +127,8 @@ SQL = {
     "suggest_prefix": f"with {_BUILD} select 'the ' || word as word, freq from dict where starts_with(word, 'on') and freq >= 15 and list_has_any(acl_allow, {ME}) and not list_has_any(acl_denied, {ME}) and list_has_any(collections, ['src3', 'src4', 'src5']) order by freq desc, word limit 10",
     "suggest_topk_table": f"with {_BUILD}, p as (select word, freq, unnest(list_transform(range(1, least(length(word), 5) + 1), lambda k: substr(word, 1, k))) as prefix from dict where freq >= 15) select prefix, place, word, freq from (select *, row_number() over (partition by prefix order by freq desc, word) as place from p) where place <= 10",
     "stopword_filter": f"with {TOKENS} select lang, count(*) as n, count(distinct term) as n_words from tok where length(term) >= 2 and term not in {_S} group by lang",
-    "spell_ascii": f"""with {_BUILD}, known as (select word, freq from dict where freq >= 15 and regexp_full_match(word, '[ -~]+')),
-        asked as (select distinct w[1] || substr(w, 3, 100) as word from (select unnest(regexp_extract_all(lower(text), {PATTERN})) as w from benchmark) where length(w) >= 5 and regexp_full_match(w[1] || substr(w, 3, 100), '[ -~]+')),
-        near as (select a.word, k.word as c, levenshtein(a.word, k.word) as d, k.freq from asked a join known k on a.word[1] = k.word[1] and abs(length(a.word) - length(k.word)) <= 2 where levenshtein(a.word, k.word) <= 2),
-        best as (select word, c, d from (select *, row_number() over (partition by word order by d, freq desc, c) as p from near) where p = 1)
-        select a.word, case when k.word is not null or regexp_matches(a.word, '^[0-9]+$') then a.word else b.c end as correction, coalesce(case when k.word is not null or regexp_matches(a.word, '^[0-9]+$') then 0 else b.d end, -1)::int as distance
-        from asked a left join known k using (word) left join best b using (word)""",
+    "spell_ascii": _spelled("levenshtein({0}, {1})", " and regexp_full_match({0}, '[ -~]+')"),
+    "spell_levenshtein": _spelled(f"levenshtein({_BYTES.format('{0}')}, {_BYTES.format('{1}')})"),
     "language_by_stop_words": f"""with {TOKENS}, n as (select doc_id, {', '.join(f'{v} as {k}' for k, v in _COUNT.items())} from words), m as (select *, greatest({', '.join(_COUNT)}) as best from n)
         select doc_id, case when best = 0 then null {' '.join(f"when {k} = best then '{k}'" for k in sorted(_COUNT))} end as language, best::bigint as hits from m""",
 }
