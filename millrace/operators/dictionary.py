@@ -25,13 +25,17 @@ STOP_WORDS = {
 def build(docs: DataFrame, stop_words: Sequence[str], allow: str = "acl_allow", deny: str = "acl_denied", collection: str = "collection", text: str = "text") -> DataFrame:
     """word, freq, acl_allow, acl_denied, collections: hits and united lists of each word; short and stop words left out.
 
-    Hits are summed inside a document's row first, and lists are made distinct before they are gathered.
+    Hits are summed before they are shuffled, and every principal of a word's lists is told apart before it is gathered,
+    so that no task holds more of a word than its row.
     """
     words = F.explode(tokens(F.col(text)))
     rows = docs.select(words.alias("word"), F.col(allow).alias("allow"), F.col(deny).alias("deny"), F.col(collection).alias("collection")).where((F.octet_length("word") >= LEAST_BYTES) & ~F.col("word").isin(*stop_words))
     hits = rows.groupBy("word", "allow", "deny", "collection").agg(F.count("*").alias("n"))
-    sets = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    return hits.groupBy("word").agg(F.sum("n").alias("freq"), sets("allow").alias("acl_allow"), sets("deny").alias("acl_denied"), F.array_sort(F.collect_set("collection")).alias("collections"))
+    of = lambda kind, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    each = hits.select("word", F.inline(F.concat(of(0, F.col("allow")), of(1, F.col("deny")), of(2, F.array("collection"))))).where("value is not null").distinct()
+    gathered = lambda kind, name: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(name)
+    lists = each.groupBy("word").agg(gathered(0, "acl_allow"), gathered(1, "acl_denied"), gathered(2, "collections"))
+    return hits.groupBy("word").agg(F.sum("n").alias("freq")).join(lists, "word", "left").select("word", "freq", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("acl_allow", "acl_denied", "collections")))
 
 
 def top(dictionary: DataFrame, most: int = MAX_WORDS) -> DataFrame:
