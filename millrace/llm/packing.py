@@ -20,6 +20,7 @@ from .common import checkpoint, small_batches, trim
 
 CAPACITY = 4096
 END = 1
+LOOSE = 0.98  # sequences filled less are packed once more
 SHARD = 16_384
 CACHED_WORDS = 150_000  # of a generation, a few dozen MB in each worker
 _TOKENIZERS: dict[str, tuple] = {}
@@ -142,23 +143,35 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset.
 
-    The pieces are dealt at random to shards of about `shard` pieces, which pack independently and longest first; a
-    shard leaves a few bins unfilled, so at that size the sequences needed stay within about a hundredth of the least
-    possible. Pieces longer than `capacity` or shorter than 1 are an error; no piece gives no sequence.
+    The pieces are dealt at random to shards of about `shard` pieces, which pack independently and longest first. What lies
+    in sequences that a shard leaves less than full (LOOSE) is packed once more, dealt together from all shards. Pieces
+    longer than `capacity` or shorter than 1 are an error; no piece gives no sequence.
     """
     n = max(1, -(-pieces.count() // shard))
-
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        lengths = rows["length"].to_numpy(np.int64)
-        if len(lengths) and not 1 <= lengths[-1] <= lengths[0] <= capacity:
-            raise ValueError("a piece's length is out of bounds")
-        bins, offsets = place(lengths, capacity)
-        return rows.drop(columns="shard").assign(sequence_id=(key[0] << 32) + bins, offset=offsets)
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("shard").applyInPandas(packed, f"{columns}, sequence_id long, offset long")
+
+    def packed(turn: int):
+        def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+            lengths = rows["length"].to_numpy(np.int64)
+            if len(lengths) and not 1 <= lengths[-1] <= lengths[0] <= capacity:
+                raise ValueError("a piece's length is out of bounds")
+            bins, offsets = place(lengths, capacity)
+            loose = (np.bincount(bins, weights=lengths) < LOOSE * capacity)[bins]
+            return rows.drop(columns="shard").assign(sequence_id=(turn << 60) + (key[0] << 32) + bins, offset=offsets, loose=loose)
+
+        return pack
+
+    def dealt(rows: DataFrame, turn: int, shards: int) -> DataFrame:
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(turn)), F.lit(shards)))
+        return rows.groupBy("shard").applyInPandas(packed(turn), f"{columns}, sequence_id long, offset long, loose boolean")
+
+    if n == 1:
+        return dealt(pieces, 0, 1).drop("loose")
+    done = checkpoint(dealt(pieces, 0, n))
+    loose = done.where("loose").drop("sequence_id", "offset", "loose")
+    again = dealt(loose, 1, max(1, -(-loose.count() // shard)))
+    return done.where("not loose").unionByName(again).drop("loose")
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -461,6 +461,20 @@ def test_packing(spark, sf, docs):
     assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 4096) + 3
 
 
+def test_shards_are_packed_together(spark):
+    """Pieces of many small shards: none lost, none over, and hardly more sequences than the least possible."""
+    r = random.Random(2)
+    rows = [(k, 0, 0, r.choice([r.randrange(1, 4097), r.randrange(1, 400)])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").repartition(4)
+    got = packing.pack_pieces(df, shard=200).collect()
+    assert sorted((g.doc_id, g.length) for g in got) == [(k, n) for k, _, _, n in rows]
+    used = {}
+    for g in sorted(got, key=lambda g: (g.sequence_id, g.offset)):
+        assert used.get(g.sequence_id, 0) == g.offset
+        used[g.sequence_id] = g.offset + g.length
+    assert max(used.values()) <= 4096 and len(used) <= 1.01 * sum(n for *_, n in rows) / 4096 + 1
+
+
 def test_sum_of_squares_rule():
     r = random.Random(5)
     lengths = [r.randint(1, 20) for _ in range(200)]
