@@ -165,6 +165,12 @@ SQL = {
     "domains_per_group": f"with {_HP} select string_split(path, '/')[2] as segment, count(distinct host) as n from hp group by 1 having count(distinct host) >= 3",
     "url_clean": f"with {_HP} select page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', ''), '(?i)/default[.]aspx$', '/') as url, regexp_matches(url, '(?i)^https?://[a-z0-9-]+([.][a-z0-9-]+)+(:[0-9]+)?([/?#]|$)') and not contains(lower(url), 'javascript:') as valid, host from hp",
     "same_host_first": f"with {_HP} select host, page_id, size from (select host, page_id, length(html) as size, row_number() over (partition by host order by length(html) desc, page_id) as p from hp) where p = 1",
+    "url_normalise": """with a as (select page_id, trim(url) as u from pages), b as (select page_id, u, lower(regexp_extract(u, '(?i)^(https?)://', 1)) as sc, lower(regexp_extract(u, '(?i)^https?://([^/?#]*)', 1)) as h, regexp_extract(u, '(?i)^https?://[^/?#]*([^#]*)', 1) as r from a),
+        c as (select page_id, sc, r, sc = '' or contains(lower(r), 'javascript:') as bad, case when sc = 'http' then regexp_replace(h, ':80$', '') else regexp_replace(h, ':443$', '') end as h from b),
+        d as (select page_id, sc, bad, case when regexp_full_match(h, '.*[.](?:com|net|org|no)index[.][a-z]+') then regexp_extract(h, '^(.*[.](?:com|net|org|no))index[.][a-z]+$', 1) else h end as h, case when regexp_full_match(h, '.*[.](?:com|net|org|no)index[.][a-z]+') then '/' || regexp_extract(h, '(index[.][a-z]+)$', 1) || r else r end as r from c),
+        e as (select page_id, sc, bad or not regexp_full_match(h, '[a-z0-9-]+([.][a-z0-9-]+)+(:[0-9]+)?') as bad, case when length(h) - length(replace(h, '.', '')) = 1 then 'www.' || h else h end as h, case when starts_with(r, '/') then r else '/' || r end as r from d),
+        f as (select *, string_split(string_split(r, '?')[1], '/')[2:] as p from e)
+        select page_id, case when not bad and len(list_filter(range(1, len(p) + 1), lambda i: len(list_filter(range(2, len(p) // 3 + 1), lambda k: i + 3 * k - 1 <= len(p) and not list_contains(p[i:i + k - 1], '') and p[i:i + k - 1] = p[i + k:i + 2 * k - 1] and p[i:i + k - 1] = p[i + 2 * k:i + 3 * k - 1])) > 0)) = 0 then sc || '://' || h || r end as url from f""",
     "html_summary": """select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title,
         md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) as body_sum from pages""",
     "html_strip": "select page_id, md5(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\\x01-\\x0a]', '', 'g')) as sum from pages",

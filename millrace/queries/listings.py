@@ -10,7 +10,7 @@ from millrace.functions.urls import host
 from millrace.operators import admin, ingest, records, search
 
 from .search import _attributes
-from .tables import CRC32, TOKENS, log, read
+from .tables import CRC32, PATTERN, TOKENS, log, read
 
 
 def index_log(spark, sf):
@@ -126,7 +126,13 @@ def synonym_list(spark, sf):
 QUERIES = {f.__name__: f for f in (index_log, unknown_types, access_log_users, media_types, attribute_decode, zone_domains, first_column, small_lots, sizes_as_text, case_listing, log_tail, merged_servers, supported_languages, redirect_resource, posting_scan, url_partitions, sid_list, sound_alikes, group_names, synonym_list)}
 _SIZE = "case when n_chars < 1000 then 'small' when n_chars < 5000 then 'medium' else 'large' end"
 _H = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))"
+_CODE = "translate(regexp_replace(upper({0}), '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+_RUNS = f"{_CODE.format('w[1]')} || replace({_CODE.format('substr(w, 2)')}, '7', '')"
+for _d in range(7):
+    _RUNS = f"regexp_replace({_RUNS}, '{_d}+', '{_d}', 'g')"
 SQL = {
+    "sound_alikes": f"""with t as (select distinct unnest(regexp_extract_all(lower(text), {PATTERN})) as w from benchmark), s as (select w, case when regexp_matches(w, '^[a-z]') then upper(w[1]) || substr(replace(substr({_RUNS}, 2), '0', '') || '000', 1, 3) else w end as sound from t)
+        select sound, count(*) as n, min(w) as first from s group by sound""",
     "url_partitions": f"select {CRC32.format('url')} % 64 as part, count(*) as n, count(distinct url) as n_urls from pages group by 1",
     "index_log": "select o_orderkey as time, o_custkey % 9 as new, o_custkey % 5 as recrawled, 7::bigint as untouched from orders where o_orderkey % 10 > 0",
     "unknown_types": "select o_orderpriority as value, count(*) as n from orders group by 1",

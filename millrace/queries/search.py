@@ -180,7 +180,10 @@ _SHORT = "case when {0} <= 0 then 0 else least(255, floor(log10({0}) * 53)) end:
 _SIZE = "case when n_chars < 1000 then 'small' when n_chars < 5000 then 'medium' else 'large' end"
 _ATTR = f"attr as (select doc_id, 'lang' as key, lang as value from documents union all select doc_id, 'source', source from documents union all select doc_id, 'size', {_SIZE} from documents)"
 _COUNTED = f"{_ATTR}, counted as (select key, value, count(*) as n from attr group by grouping sets ((key, value), (key)))"
+_MARK = r"(?i)(^|[^\p{L}\p{N}_@])(the|and)($|[^\p{L}\p{N}_])"
 SQL = {
+    # words that share a mark between them are met in two turns; the second passes over what the first has marked
+    "highlighted": f"select item_id, regexp_replace(regexp_replace(text, '{_MARK.replace('@', '')}', '\\1<b>\\2</b>\\3', 'g'), '{_MARK.replace('@', '>')}', '\\1<b>\\2</b>\\3', 'g') as marked from benchmark",
     "snippets": f"""with p as (select doc_id, text is null as gone, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') as w from documents),
         h as (select *, list_transform(w, lambda x: (regexp_replace(lower(x), '{EDGES.replace("'", "''")}', '', 'g') in ('the', 'from'))::int) as h from p),
         s as (select *, list_transform(range(0, greatest(len(w) - 12, 0) + 1), lambda i: coalesce(list_sum(h[i + 1:i + 12]), 0)) as t from h), a as (select *, list_position(t, list_max(t)) - 1 as i from s)

@@ -264,6 +264,8 @@ SQL = {
     "address_ranges": "select (n_nationkey * 10 + unnest(range(n_nationkey % 4 + 1)))::bigint as address from nation",
     "result_items": "select url, '<item><title>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><link>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</link><description>a &lt; b</description></item>' as item from (select url, regexp_extract(html, '<title>([^<]*)', 1) as t from pages)",
     "result_json": "select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as value from nation",
+    "eml_explode": """select conv_id, 0 as part, 'headers' as name, 'Subject: talk ' || conv_id || chr(10) || 'From: a@example.com' as text, null::varchar as error from conversations group by conv_id
+        union all select conv_id, (row_number() over (partition by conv_id order by turn, text))::int, 'text/plain', text, null from conversations""",
     "stream_metrics": _METRICS,
     "batch_metrics": _METRICS,
 }
