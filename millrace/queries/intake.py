@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from millrace.functions import ranks
 from millrace.operators import records
 from millrace.sources import connector, formats, media
+from millrace.storage import shared_folder
 
-from .tables import CRC32, read, shared_folder
+from .tables import CRC32, read
 
 
 def xml_batch(spark, sf):

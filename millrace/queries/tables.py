@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import TOKEN
-from millrace.storage import shared_folder as shared_folder
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:

@@ -10,9 +10,10 @@ from millrace.functions import ranks
 from millrace.functions.urls import host
 from millrace.operators import access, admin, crawling, facets, ingest
 from millrace.sources import formats
+from millrace.storage import shared_folder
 from millrace.streaming import flows
 
-from .tables import log, read, shared_folder
+from .tables import log, read
 
 NOW = "2024-02-01 12:00:00"
 # What the connectors of these tables are called
