@@ -25,7 +25,7 @@ from .graph import components
 WIDTH = 5
 LEAST = Fraction(3, 4)
 FREQUENT = 8  # documents that make a token frequent, counted where a chunk of CHUNK tokens has it twice or more
-GROUP = 16  # classes that share a prefix token and meet in pairs; more of them go the way of frequent tokens
+GROUP = 1000  # classes that share a prefix token and meet in pairs; more of them go the way of frequent tokens
 MAX_FREQUENT = 1 << 19  # of the most frequent ones are put last: 4 MB at most go to each executor
 BITMAP_BITS = 27  # 16 MB whatever the number of ids; more ids let more texts through, which a join then drops
 CHUNK_BITS = 19
